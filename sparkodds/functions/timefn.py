@@ -85,17 +85,16 @@ def iso_to_utc(text: Column | str) -> Column:
     return F.timestamp_add("MINUTE", -offset, wall.try_cast("timestamp_ntz"))
 
 
-def month_ranges(spark, start, end):
-    """Calendar-month ranges ``(from_date, to_date)`` covering [start, end], the
-    first and last clipped. ``start`` and ``end`` are dates or ISO strings."""
-    bounds = spark.range(1).select(
-        F.lit(str(start)).cast("date").alias("lo"), F.lit(str(end)).cast("date").alias("hi")
-    )
+def month_ranges(bounds, lo: str = "lo", hi: str = "hi"):
+    """Calendar-month ranges ``(from_date, to_date)`` covering [lo, hi] of every
+    row of ``bounds``, the first and last clipped."""
+    months = F.explode(F.expr(f"sequence(trunc({lo}, 'MM'), {hi}, interval 1 month)")).alias("_m")
+    rest = [c for c in bounds.columns if c not in (lo, hi)]
     return (
-        bounds.filter("lo <= hi")
-        .select("lo", "hi", F.explode(F.expr("sequence(trunc(lo, 'MM'), hi, interval 1 month)")).alias("m"))
+        bounds.filter(F.col(lo) <= F.col(hi)).select(*rest, lo, hi, months)
         .select(
-            F.greatest("m", "lo").alias("from_date"),
-            F.least(F.last_day("m"), F.col("hi")).alias("to_date"),
+            *rest,
+            F.greatest("_m", lo).alias("from_date"),
+            F.least(F.last_day("_m"), F.col(hi)).alias("to_date"),
         )
     )

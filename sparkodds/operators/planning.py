@@ -21,7 +21,10 @@ GAME_TYPES = ["R", "F", "D", "L", "W"]
 def schedule_ranges(spark: SparkSession, today: date, start: date = SCHEDULE_START) -> DataFrame:
     """Month ranges from the first day to a few days ahead, so that listed
     upcoming games can be mapped."""
-    return month_ranges(spark, start, today + timedelta(days=LOOK_AHEAD_DAYS))
+    bounds = spark.range(1).select(
+        F.lit(start).alias("lo"), F.lit(today + timedelta(days=LOOK_AHEAD_DAYS)).alias("hi")
+    )
+    return month_ranges(bounds)
 
 
 def last_event_times(trades: DataFrame) -> DataFrame:

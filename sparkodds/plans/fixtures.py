@@ -345,3 +345,151 @@ def duel_markets(t: Tables) -> DataFrame:
         F.when(k % 29 == 0, "scalar").when(won, "yes").otherwise("no").alias("result"),
         "close_time",
     )
+
+
+# Landed text and payloads
+
+
+def iso(ts: Column | str) -> Column:
+    return F.concat(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z"))
+
+
+def raw_trades(t: Tables) -> DataFrame:
+    """Trades as text; every 97th part has an unreadable price."""
+    price = ((F.col("l_quantity") - 0.5) / 50).cast("decimal(18,2)").cast("string")
+    return t.lineitem.select(
+        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("trade_id"),
+        F.col("l_orderkey").cast("string").alias("ticker"),
+        F.col("l_quantity").cast("int").cast("string").alias("count_fp"),
+        F.when(F.col("l_partkey") % 97 == 0, "n/a").otherwise(price).alias("yes_price_dollars"),
+        iso("l_shipdate").alias("created_time"),
+    )
+
+
+def raw_markets(t: Tables) -> DataFrame:
+    """One market per order; some without open or close time."""
+    return t.orders.select(
+        F.col("o_orderkey").cast("string").alias("ticker"),
+        F.when(F.col("o_orderstatus") == "F", "finalized").otherwise("active").alias("status"),
+        F.when(F.col("o_orderkey") % 7 != 0, iso("o_orderdate")).alias("open_time"),
+        F.when(F.col("o_orderkey") % 5 != 0, iso(F.col("o_orderdate") + seconds(400 * DAY))).alias("close_time"),
+    )
+
+
+def schedule_payloads(t: Tables) -> DataFrame:
+    """One schedule response per order, listing its game on one or two dates."""
+    k = F.col("o_orderkey")
+
+    def team(number: Column, name: str) -> Column:
+        return F.struct(
+            F.struct(number.cast("int").alias("id"), F.concat(F.lit(name), number.cast("string")).alias("name")).alias("team"),
+            F.when(F.col("o_orderstatus") != "P", (k % 9).cast("int")).alias("score"),
+            F.when(F.col("o_orderstatus") != "P", k % 2 == 0).alias("isWinner"),
+        )
+
+    def listing(state: str) -> Column:
+        return F.struct(
+            k.alias("gamePk"),
+            F.when(k % 10 == 0, "S").otherwise("R").alias("gameType"),
+            iso("o_orderdate").alias("gameDate"),
+            F.date_format("o_orderdate", "yyyy-MM-dd").alias("officialDate"),
+            F.struct(F.lit("F").alias("codedGameState"), F.lit(state).alias("detailedState")).alias("status"),
+            F.struct(team(F.col("o_custkey"), "A").alias("away"), team(F.col("o_custkey") + 1, "H").alias("home")).alias("teams"),
+            F.struct((k % 30).cast("int").alias("id"), F.lit("park").alias("name")).alias("venue"),
+            F.lit("N").alias("doubleHeader"),
+            F.lit(1).alias("gameNumber"),
+            F.when(k % 2 == 0, "day").alias("dayNight"),
+        )
+
+    def day(state: str) -> Column:
+        return F.struct(F.lit("2024-01-01").alias("date"), F.array(listing(state)).alias("games"))
+
+    dates = F.when(k % 4 == 0, F.array(day("Postponed"), day("Final"))).otherwise(F.array(day("Final")))
+    return t.orders.select(k.alias("page"), F.to_json(F.struct(dates.alias("dates"))).alias("payload"))
+
+
+def game_payloads(t: Tables) -> DataFrame:
+    """Play-by-play, win probability and live payload of every line item's game."""
+    n = F.col("l_linenumber")
+    play = F.struct(
+        F.struct(
+            n.alias("atBatIndex"), F.lit("top").alias("halfInning"), n.alias("inning"),
+            iso("l_shipdate").alias("startTime"), F.when(n % 2 == 0, iso("l_shipdate")).alias("endTime"),
+            (F.col("l_returnflag") == "R").alias("isScoringPlay"),
+        ).alias("about"),
+        F.struct(F.col("l_returnflag").alias("event"), n.alias("awayScore"), F.lit(0).alias("homeScore")).alias("result"),
+    )
+    wp = F.struct(
+        n.alias("atBatIndex"), F.col("l_quantity").alias("homeTeamWinProbability"),
+        (100 - F.col("l_quantity")).alias("awayTeamWinProbability"), iso("l_shipdate").alias("playEndTime"),
+    )
+    weather_text = F.struct(
+        F.col("l_returnflag").alias("condition"), F.col("l_quantity").cast("int").cast("string").alias("temp"),
+        F.concat(n.cast("string"), F.lit(" mph, In")).alias("wind"),
+    )
+    live = F.struct(F.struct(F.when(n != 3, weather_text).alias("weather")).alias("gameData"))
+    return t.lineitem.select(
+        F.col("l_orderkey").alias("game_pk"),
+        F.col("l_partkey").alias("part"),
+        F.to_json(F.struct(F.array(play, play).alias("allPlays"))).alias("plays"),
+        F.to_json(F.array(wp)).alias("win_probability"),
+        F.to_json(live).alias("live"),
+    )
+
+
+def event_payloads(t: Tables) -> DataFrame:
+    """One page of two items per order; broken JSON, a wrong type or a missing
+    field here and there."""
+    k = F.col("o_orderkey")
+    item = F.struct(
+        F.concat(F.lit("E"), k.cast("string")).alias("event_ticker"), F.lit("S").alias("series_ticker"),
+        F.col("o_orderstatus").alias("title"), F.col("o_orderpriority").alias("category"),
+    )
+    page = F.to_json(F.struct(F.array(item, item).alias("events"), F.lit("next").alias("cursor")))
+    return t.orders.select(k.alias("page"), F.when(k % 23 == 0, F.substring(page, 1, 40)).otherwise(page).alias("payload"))
+
+
+def record_payloads(t: Tables) -> DataFrame:
+    k = F.col("c_custkey").cast("string")
+    whole = F.concat(F.lit('{"id":'), k, F.lit(',"name":"'), F.col("c_name"), F.lit('","balance":'), F.col("c_acctbal").cast("string"), F.lit("}"))
+    return t.customer.select(
+        "c_custkey",
+        F.when(F.col("c_custkey") % 11 == 0, F.concat(F.lit('{"id":'), k))
+        .when(F.col("c_custkey") % 13 == 0, F.concat(F.lit('{"id":'), k, F.lit("}")))
+        .when(F.col("c_custkey") % 17 == 0, F.concat(F.lit('{"id":"x'), k, F.lit('","name":"n"}')))
+        .otherwise(whole).alias("payload"),
+    )
+
+
+def league_payloads(t: Tables) -> DataFrame:
+    """Nested league events: one per order, a moneyline and another market each."""
+    d = _duels(t)
+    k = F.col("k")
+
+    def side(team: Column, ordering: str) -> Column:
+        return F.struct(
+            F.concat(k.cast("string"), F.lit(ordering)).alias("id"),
+            F.struct(
+                team.cast("int").alias("id"), letters(team).alias("name"), F.lower(letters(team)).alias("abbreviation"),
+                F.when((k % 31 == 0) & (F.lit(ordering) == "home"), "nba").otherwise("mlb").alias("league"),
+                F.when(k % 2 == 0, letters(team)).alias("displayAbbreviation"), F.lit(ordering).alias("ordering"),
+            ).alias("team"),
+        )
+
+    start = iso(F.timestamp_add("HOUR", F.col("hour") + 4, F.col("day")))
+
+    def market(kind: str) -> Column:
+        return F.struct(
+            k.cast("string").alias("id"), F.concat(F.lit(f"{kind[:1]}-"), F.lpad(k.cast("string"), 9, "0")).alias("slug"),
+            F.lit(kind).alias("sportsMarketType"),
+            F.array(side(F.col("away"), "away"), side(F.col("home"), "home")).alias("marketSides"),
+            F.when(k % 3 != 0, start).alias("gameStartTime"),
+        )
+
+    slug = F.concat(F.lit("mlb-"), k.cast("string"), F.lit("-"), F.date_format("day", "yyyy-MM-dd"))
+    event = F.struct(
+        k.cast("string").alias("id"), slug.alias("slug"), F.lit("t").alias("title"),
+        F.when(k % 6 == 0, start).alias("startDate"),
+        F.array(market("baseball_team_full_game_winner"), market("spread")).alias("markets"),
+    )
+    return d.filter(k % 5 != 0).select(k, F.to_json(F.struct(F.array(event).alias("events"))).alias("payload"))
