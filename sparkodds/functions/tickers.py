@@ -35,11 +35,18 @@ def market_suffix(ticker: Column | str) -> Column:
 def parse_event_ticker(ticker: Column | str, pattern: str = EVENT_PATTERN) -> Column:
     """``struct(start_utc, et_date, pair, game_number)``, or NULL when the text is
     not such a ticker or names an impossible date or time. ``start_utc`` is NULL
-    for tickers that carry a date only."""
+    for tickers that carry a date only.
+
+    The pattern runs once per row: its groups are written out side by side and
+    split, and the rest works on the parts."""
     ticker = col(ticker)
+    groups = F.split(F.regexp_replace(ticker, pattern, "$1|$2|$3|$4|$5|$6"), r"\|")
+    return F.get(F.transform(F.array(groups), _from_parts), F.lit(0))
+
 
+def _from_parts(parts: Column) -> Column:
     def part(i: int) -> Column:
-        return F.regexp_extract(ticker, pattern, i)
+        return F.get(parts, F.lit(i - 1))
 
     month = F.try_element_at(
         F.create_map(*[F.lit(x) for x in chain.from_iterable(MONTHS.items())]), part(2)
@@ -55,7 +62,7 @@ def parse_event_ticker(ticker: Column | str, pattern: str = EVENT_PATTERN) -> Co
     )
     return F.when(
         # hour 24 and minute 60 style values are malformed too
-        wall.isNotNull() & (hour < 24) & (minute < 60),
+        (F.size(parts) == 6) & wall.isNotNull() & (hour < 24) & (minute < 60),
         F.struct(
             F.when(timed, wall_to_utc(wall)).alias("start_utc"),
             wall.cast("date").alias("et_date"),

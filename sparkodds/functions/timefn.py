@@ -67,22 +67,19 @@ def epoch_ms_to_utc(ms: Column | str) -> Column:
     )
 
 
-_ZONED = r"(Z|[+-]\d{2}(:?\d{2})?)$"
-
-
 def iso_to_utc(text: Column | str) -> Column:
     """ISO-8601 text to naive UTC; text without an offset is taken as UTC,
-    unreadable text gives NULL. The offset is applied as arithmetic, so the
-    session time zone plays no part."""
+    unreadable text gives NULL. Plain casts and string tests, no regex, and by
+    way of microseconds, so the session time zone plays no part."""
     text = F.trim(col(text))
-    zone = F.regexp_extract(text, r"T?\d{2}:\d{2}(?::\d{2}(?:\.\d+)?)?(Z|[+-]\d{2}(?::?\d{2})?)$", 1)
-    wall = F.when(zone != "", F.left(text, F.length(text) - F.length(zone))).otherwise(text)
-    sign = F.when(F.startswith(zone, F.lit("-")), -1).otherwise(1)
-    hours = F.coalesce(F.substring(zone, 2, 2).try_cast("int"), F.lit(0))
-    minutes = F.coalesce(F.right(zone, F.lit(2)).try_cast("int"), F.lit(0))
-    minutes = F.when(F.length(zone) > 3, minutes).otherwise(0)
-    offset = F.when(zone.isin("", "Z"), 0).otherwise(sign * (hours * 60 + minutes))
-    return F.timestamp_add("MINUTE", -offset, wall.try_cast("timestamp_ntz"))
+    clock = F.substring(text, 12, 40)
+    zoned = F.endswith(text, F.lit("Z")) | (F.instr(clock, "+") > 0) | (F.instr(clock, "-") > 0)
+    utc = (
+        F.when(zoned, text)
+        .when(F.length(text) == 10, F.concat(text, F.lit("T00:00:00Z")))
+        .otherwise(F.concat(text, F.lit("Z")))
+    )
+    return from_micros(F.unix_micros(utc.try_cast("timestamp")))
 
 
 def month_ranges(bounds, lo: str = "lo", hi: str = "hi"):

@@ -15,6 +15,7 @@ from sparkodds.operators.slices import (
     sliced_scan,
     so_far,
 )
+from sparkodds.operators.unions import union
 
 
 def asof_join(
@@ -47,7 +48,7 @@ def asof_join(
         F.struct(*values).alias("_right"),
         *[F.col(t).alias(f"_tie{i}") for i, t in enumerate(tie)],
     )
-    rows = l.unionByName(r, allowMissingColumns=True)
+    rows = union(l, r, missing=True)
     order = ["_ts", "_side", *[f"_tie{i}" for i in range(len(tie))]]
     filled = carry_forward(
         rows, keys, "_ts", order, {"_match": F.col("_right")}, slice_seconds=slice_seconds

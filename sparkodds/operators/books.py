@@ -7,7 +7,7 @@ from datetime import date
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkodds.functions.books import complement, top
+from sparkodds.functions.books import complement, levels, top_of
 from sparkodds.functions.tickers import game_key
 from sparkodds.functions.timefn import epoch_ms_to_utc, iso_to_utc
 from sparkodds.operators.slices import DEFAULT_SLICE_SECONDS, previous_row
@@ -57,12 +57,13 @@ def quotes(snapshots: DataFrame, matched: DataFrame, key: str = "game_key") -> D
     event_ts = F.when(
         F.col("platform") == VENUE_A, epoch_ms_to_utc("source_timestamp")
     ).otherwise(iso_to_utc("source_timestamp"))
-    best = F.when(F.col("platform") == VENUE_A, top("book_json", "last")).otherwise(top("book_json", "first"))
     price = F.when(F.col("update_type") == "k_ask", complement("_top.price")).otherwise(F.col("_top.price"))
     return (
         snapshots.filter(F.col("source_timestamp").isNotNull())
         .join(book_dimension(matched, key), ["platform", "market_id", "side"])
-        .withColumn("_top", best)
+        # a step of its own, so that each book is parsed once
+        .withColumn("_levels", levels("book_json"))
+        .withColumn("_top", top_of("_levels", F.col("platform") == VENUE_A))
         .select(
             event_ts.alias("timestamp"),
             F.col("timestamp").alias("recv_ts"),

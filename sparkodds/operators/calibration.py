@@ -11,6 +11,7 @@ from sparkodds.functions.stats import condition_group, price_bucket, temp_band,
 from sparkodds.functions.timefn import col, micros
 from sparkodds.operators.quantiles import exact_quantiles
 from sparkodds.operators.snapshots import one_row
+from sparkodds.operators.unions import union
 
 MIN_SAMPLES = 30
 
@@ -89,14 +90,11 @@ def by_interval(pre: DataFrame, innings: DataFrame, side: str = "home", buckets:
     label = F.when(F.col("entering") == 10, "extras").otherwise(
         F.concat(F.lit("inning "), F.col("entering").cast("string"))
     )
-    rows = (
-        pre.filter(F.col("side") == side)
-        .select(F.lit("pre-game").alias("inning"), "p", "y")
-        .unionByName(
-            innings.filter((F.col("side") == side) & F.col("entering").between(2, 10)).select(
-                label.alias("inning"), "p", "y"
-            )
-        )
+    rows = union(
+        pre.filter(F.col("side") == side).select(F.lit("pre-game").alias("inning"), "p", "y"),
+        innings.filter((F.col("side") == side) & F.col("entering").between(2, 10)).select(
+            label.alias("inning"), "p", "y"
+        ),
     )
     return calibration(rows, buckets=buckets, by=["inning"])
 

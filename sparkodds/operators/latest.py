@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkodds.functions.timefn import col
+from sparkodds.operators.unions import union
 
 
 def keep_last(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
@@ -38,9 +39,7 @@ def merge_tiers(
 ) -> DataFrame:
     """Union of tiers, one row per key; a later tier wins, then ``order``."""
     tagged = [t.withColumn("_tier", F.lit(i)) for i, t in enumerate(tiers)]
-    merged = tagged[0]
-    for t in tagged[1:]:
-        merged = merged.unionByName(t, allowMissingColumns=True)
+    merged = union(*tagged, missing=True)
     return keep_last(merged, keys, ["_tier", *order]).drop("_tier")
 
 
@@ -55,7 +54,7 @@ def delete_insert(existing: DataFrame, incoming: DataFrame, key: str) -> DataFra
     """Rows of keys absent from ``incoming`` stay, all of ``incoming`` is added
     (several rows of one key stay several)."""
     kept = existing.join(incoming.select(key).distinct(), key, "left_anti")
-    return kept.unionByName(incoming, allowMissingColumns=True)
+    return union(kept, incoming, missing=True)
 
 
 def missing_parents(children: DataFrame, parents: DataFrame, key: str) -> DataFrame:

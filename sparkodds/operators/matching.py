@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import bisect
+import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -21,6 +23,8 @@ from sparkodds.functions.tickers import (
 from sparkodds.functions.timefn import iso_to_utc, micros, seconds
 from sparkodds.operators.quality import MIN_MATCH_RATE, QualityError
 from sparkodds.operators.snapshots import one_row
+from sparkodds.operators.unions import union
+from sparkodds.session import materialize
 
 # Tolerances of the match.
 START_TOLERANCE_SECONDS = 6 * 3600
@@ -170,27 +174,28 @@ def resolve(events: DataFrame, games: DataFrame, teams: DataFrame, pattern: str
     Lookups are equi-joins on (date, team pair). Games and events that look the
     same to the match are merged before they meet, so copies do not multiply.
     """
-    listed = parsed_events(events, teams, pattern).withColumns(
+    looks = ["_lo", "_hi", "et_date", "start_utc", "ticker_number", "settle_time"]
+    sided = parsed_events(events, teams, pattern).withColumns(
         {"_lo": F.least("away_team_id", "home_team_id"), "_hi": F.greatest("away_team_id", "home_team_id")}
     )
-    usable = listed.filter("reason IS NULL")
-    looks = ["_lo", "_hi", "et_date", "start_utc", "ticker_number", "settle_time"]
-    # one row per distinct look; NULLs get stand-ins so that it joins back on equality
-    look_key = F.to_json(F.struct(*looks))
-    asked = usable.select(*looks).distinct().withColumn("_look", look_key)
+    # the look as one non-NULL text, so that it joins back on equality
+    listed = materialize(sided.withColumn("_look", F.to_json(F.struct(*looks))))
+    asked = listed.filter("reason IS NULL").select(*looks, "_look").distinct()
 
     pair_games = games.select(*games.columns, *_low_high("away_team_id", "home_team_id"))
     game = F.struct("game_pk", "away_team_id", "home_team_id", "game_date")
-    merged = pair_games.groupBy("_lo", "_hi", "official_date", "game_date", "game_number", "actual_end").agg(
-        F.min_by(game, "game_pk").alias("game"), F.count(F.lit(1)).alias("n")
+    merged = materialize(
+        pair_games.groupBy("_lo", "_hi", "official_date", "game_date", "game_number", "actual_end").agg(
+            F.min_by(game, "game_pk").alias("game"), F.count(F.lit(1)).alias("n")
+        )
     )
 
     # the first offset whose date has any game of the pair
     offsets = F.when(F.col("start_utc").isNotNull(), F.array(*[F.lit(o) for o in DATE_OFFSETS])).otherwise(
         F.array(F.lit(0))
     )
-    days = pair_games.select("_lo", "_hi", F.col("official_date").alias("_day")).distinct()
-    dated = (
+    days = merged.select("_lo", "_hi", F.col("official_date").alias("_day")).distinct()
+    dated = materialize(
         asked.select("*", F.posexplode(offsets).alias("_rank", "_offset"))
         .withColumn("_day", F.date_add("et_date", F.col("_offset")))
         .join(days, ["_lo", "_hi", "_day"])
@@ -198,7 +203,7 @@ def resolve(events: DataFrame, games: DataFrame, teams: DataFrame, pattern: str
         .agg(F.min_by("_day", "_rank").alias("official_date"))
     )
     by_date = asked.join(dated, "_look").join(merged, ["_lo", "_hi", "official_date"])
-    picked = pick_game(by_date, ["_look"]).withColumn("match_method", F.lit("date"))
+    picked = materialize(pick_game(by_date, ["_look"]).withColumn("match_method", F.lit("date")))
 
     # postponed games: the market settles shortly after its make-up game, found by
     # the day that game ended
@@ -218,10 +223,9 @@ def resolve(events: DataFrame, games: DataFrame, teams: DataFrame, pattern: str
         ["_look"],
     ).withColumn("match_method", F.lit("settlement"))
 
-    found = picked.unionByName(makeup)
+    found = union(picked, makeup)
     outcome = (
-        listed.withColumn("_look", look_key)
-        .join(found, "_look", "left")
+        listed.join(found, "_look", "left")
         .join(dated.withColumnRenamed("official_date", "_had_date"), "_look", "left")
     )
     reason = F.when(F.col("reason").isNotNull(), F.col("reason")).when(
@@ -389,37 +393,70 @@ def venue_b_moneylines(events: DataFrame, day: str | None = None) -> DataFrame:
     )
 
 
-MATCH_SCHEMA = "slug string, event_ticker string"
+class _Remaining:
+    """The unused events of one pair: timed ones sorted by start, and the rest."""
+
+    def __init__(self) -> None:
+        self.timed: list[tuple[float, str]] = []
+        self.untimed: set[str] = set()
 
+    def __len__(self) -> int:
+        return len(self.timed) + len(self.untimed)
 
-def _assign(cands: list[tuple[str, float | None]], asks: list[tuple[str, float | None]]) -> Iterator[tuple[str, str]]:
-    """Serve asks in order; each takes the nearest remaining candidate within the
-    tolerance, the last remaining one unconditionally."""
-    left = dict(cands)
-    for slug, at in asks:
-        if not left:
-            return
-        if len(left) == 1:
-            chosen = next(iter(left))
-        elif at is None:
-            continue
+    def add(self, event: str, at: float) -> None:
+        if math.isnan(at):
+            self.untimed.add(event)
         else:
-            near = [(abs(s - at), e) for e, s in left.items() if s is not None and abs(s - at) <= START_TOLERANCE_SECONDS]
-            if not near:
-                continue
-            chosen = min(near)[1]
-        del left[chosen]
-        yield slug, chosen
+            bisect.insort(self.timed, (at, event))
+
+    def take(self, at: float) -> str | None:
+        """The last one unconditionally, else the nearest start within the tolerance."""
+        if not len(self):
+            return None
+        if len(self) == 1:
+            return self.untimed.pop() if self.untimed else self.timed.pop()[1]
+        if math.isnan(at):
+            return None
+        here = bisect.bisect_left(self.timed, (at, ""))
+        nearby = [here] if here < len(self.timed) else []
+        if here:
+            # the first of the events that share the nearest earlier start
+            nearby.append(bisect.bisect_left(self.timed, (self.timed[here - 1][0], "")))
+        gap, event, i = min(
+            ((abs(self.timed[i][0] - at), self.timed[i][1], i) for i in nearby), default=(math.inf, "", -1)
+        )
+        if gap > START_TOLERANCE_SECONDS:
+            return None
+        del self.timed[i]
+        return event
+
+
+def _assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows of whole pairs in order, events before the asks they serve."""
+    pair, left = None, _Remaining()
+    for pdf in batches:
+        out = []
+        for day, lo, hi, is_ask, name, at in zip(
+            pdf["game_date"], pdf["_lo"], pdf["_hi"], pdf["_ask"], pdf["name"], pdf["_at"]
+        ):
+            if (day, lo, hi) != pair:
+                pair, left = (day, lo, hi), _Remaining()
+            if not is_ask:
+                left.add(name, at)
+            else:
+                chosen = left.take(at)
+                if chosen is not None:
+                    out.append((name, chosen))
+        yield pd.DataFrame(out, columns=["slug", "event_ticker"])
 
 
 def match_venues(a: DataFrame, b: DataFrame) -> DataFrame:
     """One-to-one pairs of the two venues' listings of one team pair and date, B
     served in slug order. A chosen event is used up.
 
-    Pairs with one event on a side need no order-dependent choice and stay
-    aggregates and joins. Only pairs with several events (a doubleheader day) go
-    through a small per-pair helper; a group there is the games two teams play on
-    one date.
+    Pairs with one event need no order-dependent choice and stay aggregates and
+    joins. Pairs with several (a doubleheader day) are sorted by Spark and read
+    as a stream that holds only the pair's unused events.
     """
     key = ["game_date", "_lo", "_hi"]
     left = a.select("*", *_low_high("away", "home"))
@@ -430,25 +467,16 @@ def match_venues(a: DataFrame, b: DataFrame) -> DataFrame:
         .join(counts.filter("_n = 1"), key)
         .select("slug", "event_ticker")
     )
-    several = counts.filter("_n > 1").select(*key)
-
-    def secs(c: str) -> Column:
-        return (micros(c) / F.lit(1e6)).alias("_at")
-
-    def assign(_: tuple, cands: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
-        def rows(pdf: pd.DataFrame, name: str) -> list[tuple[str, float | None]]:
-            ordered = pdf.sort_values(name)
-            return [(n, None if pd.isna(t) else float(t)) for n, t in zip(ordered[name], ordered["_at"])]
 
-        pairs = list(_assign(rows(cands, "event_ticker"), rows(asks, "slug")))
-        return pd.DataFrame(pairs, columns=["slug", "event_ticker"])
+    def rows(df: DataFrame, name: str, ask: bool) -> DataFrame:
+        at = F.coalesce(micros("start_utc") / F.lit(1e6), F.lit(float("nan")))
+        return df.select(*key, F.lit(ask).alias("_ask"), F.col(name).alias("name"), at.alias("_at"))
 
-    crowded = (
-        left.join(several, key).select(*key, "event_ticker", secs("start_utc")).groupBy(*key)
-        .cogroup(right.join(several, key).select(*key, "slug", secs("start_utc")).groupBy(*key))
-        .applyInPandas(assign, MATCH_SCHEMA)
+    crowded = union(rows(left, "event_ticker", False), rows(right, "slug", True)).join(
+        counts.filter("_n > 1").select(*key), key, "left_semi"
     )
-    pairs = single.unionByName(crowded)
+    ordered = crowded.repartition(*key).sortWithinPartitions(*key, "_ask", "name")
+    pairs = union(single, ordered.mapInPandas(_assign, "slug string, event_ticker string"))
     return (
         pairs.join(b.select("slug", "event_slug", "game_date", "away", "home"), "slug")
         .join(a.select("event_ticker", "away_ticker", "home_ticker"), "event_ticker")
@@ -473,4 +501,4 @@ def unmatched_venues(a: DataFrame, b: DataFrame, matched: DataFrame) -> DataFram
     rest_b = b.join(matched.select(F.col("poly_slug").alias("slug")), "slug", "left_anti").select(
         F.lit("b").alias("venue"), F.col("slug").alias("listing"), "away", "home"
     )
-    return rest_a.unionByName(rest_b)
+    return union(rest_a, rest_b)

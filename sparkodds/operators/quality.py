@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkodds.functions.timefn import boundaries_between, seconds
+from sparkodds.operators.unions import union
 
 # Known market statuses, team count, thresholds.
 KNOWN_STATUSES = [
@@ -97,14 +98,7 @@ def below_minimum(sizes: dict[str, tuple[DataFrame, int]]) -> DataFrame:
         )
         for name, (df, minimum) in sizes.items()
     ]
-    return union(parts).filter("n_rows <= minimum")
-
-
-def union(parts: Sequence[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return union(*parts).filter("n_rows <= minimum")
 
 
 def gate(checks: DataFrame) -> DataFrame:

@@ -17,6 +17,7 @@ and slices then replay independently.
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -31,6 +32,7 @@ from sparkodds.operators.slices import (
     sliced_scan,
     so_far,
 )
+from sparkodds.operators.unions import union
 from sparkodds.session import materialize
 
 BOOK = ["market_id", "side"]
@@ -61,7 +63,7 @@ def level_states(updates: DataFrame, slice_seconds: float = DEFAULT_SLICE_SECOND
     from_deltas = updates.filter("NOT is_snapshot").select(
         *BOOK, "epoch", *ORDER, "price", F.col("delta").alias("step")
     )
-    steps = from_snapshots.unionByName(from_deltas).withColumn(
+    steps = union(from_snapshots, from_deltas).withColumn(
         "step", (F.col("step") * 100).cast("bigint")
     )
     level = [*BOOK, "epoch", "price"]
@@ -144,30 +146,37 @@ def apply_update(book: dict[str, int], levels: str | None, price: str | None, de
     return book
 
 
-def _replay_slice(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    book: dict[str, int] = {}
-    out = []
-    ordered = pdf.sort_values(["source_ts", "seq"], na_position="first")
-    for ts, seq, levels, price, delta in zip(
-        ordered["source_ts"], ordered["seq"], ordered["levels"], ordered["price"], ordered["delta"]
-    ):
-        book = apply_update(book, levels, price, None if pd.isna(delta) else int(delta))
-        if not pd.isna(ts):  # the opening book itself is not an update
-            out.append((key[0], key[1], ts, seq, book_text(book)))
-    return pd.DataFrame(out, columns=["market_id", "side", "source_ts", "seq", "book_json"])
+def _replay_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows of whole (book side, slice) groups in order: one side is held at a
+    time and dropped when the next group begins."""
+    group, book = None, {}
+    for pdf in batches:
+        out = []
+        for market, side, cut, ts, seq, levels, price, delta in zip(
+            pdf["market_id"], pdf["side"], pdf["slice"], pdf["source_ts"], pdf["seq"], pdf["levels"],
+            pdf["price"], pdf["delta"],
+        ):
+            if (market, side, cut) != group:
+                group, book = (market, side, cut), {}
+            book = apply_update(book, levels, price, None if levels is not None else int(delta))
+            if not pd.isna(ts):  # the opening book itself is not an update
+                out.append((market, side, ts, int(seq), book_text(book)))
+        yield pd.DataFrame(out, columns=["market_id", "side", "source_ts", "seq", "book_json"])
 
 
 def replay(updates: DataFrame, slice_seconds: float = DEFAULT_SLICE_SECONDS) -> DataFrame:
     """The whole book side after every applied update."""
     applied = materialize(with_epoch(materialize(updates), slice_seconds))
     openings = opening_books(applied, level_states(applied, slice_seconds), slice_seconds)
-    rows = applied.select(
+    messages = applied.select(
         *BOOK,
         time_slice("source_ts", slice_seconds).alias("slice"),
         *ORDER,
         F.when(F.col("is_snapshot"), F.col("levels")).alias("levels"),
         "price",
         (F.col("delta") * 100).cast("double").alias("delta"),
-    ).unionByName(openings, allowMissingColumns=True)
-    # a group is one book side in one slice
-    return rows.groupBy(*BOOK, "slice").applyInPandas(_replay_slice, REPLAY_SCHEMA)
+    )
+    rows = union(messages, openings, missing=True)
+    # NULLs sort first, so a slice begins with its opening book
+    ordered = rows.repartition(*BOOK, "slice").sortWithinPartitions(*BOOK, "slice", *ORDER)
+    return ordered.mapInPandas(_replay_rows, REPLAY_SCHEMA)

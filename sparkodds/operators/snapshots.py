@@ -9,6 +9,7 @@ from sparkodds.functions.stats import cents, wind_mph
 from sparkodds.functions.tickers import market_suffix
 from sparkodds.functions.timefn import iso_to_utc, seconds
 from sparkodds.operators.intervals import interval_join
+from sparkodds.operators.unions import union
 
 # Label corrections and labels of the exhibition events.
 LABEL_FIXES = {"Chicago W": "Chicago WS"}
@@ -281,9 +282,7 @@ def coverage_report(markets: DataFrame, context: DataFrame, window_trades: DataF
 
 def one_row(*frames: DataFrame) -> DataFrame:
     """One-row frames side by side (by union and max, so no cross join)."""
-    merged = frames[0]
-    for f in frames[1:]:
-        merged = merged.unionByName(f, allowMissingColumns=True)
+    merged = union(*frames, missing=True)
     return merged.agg(*[F.max(c).alias(c) for c in merged.columns])
 
 

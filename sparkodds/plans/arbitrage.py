@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 
 from sparkodds.operators import books, episodes, quality, states
 from sparkodds.operators.slices import DEFAULT_SLICE_SECONDS
+from sparkodds.operators.unions import union
 from sparkodds.session import materialize
 from sparkodds.sources import sinks
 
@@ -63,6 +64,6 @@ def build(
         info = episodes.build_info(out.bbo, out.states, out.episodes)
         sinks.rebuild(sinks.with_built_at(info), f"{path}/arb_build_info")
         quality.gate(
-            quality.union([quality.state_checks(out.states), quality.episode_checks(out.episodes)])
+            union(quality.state_checks(out.states), quality.episode_checks(out.episodes))
         )
     return out

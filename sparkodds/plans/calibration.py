@@ -6,8 +6,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from sparkodds.operators import quality, snapshots
+from sparkodds.operators.unions import union
 from sparkodds.sources import sinks
 
 
@@ -42,8 +44,6 @@ def build(
 
 def checks(universe: DataFrame, c: Calibration, n_teams: int | None = quality.N_TEAMS) -> DataFrame:
     """(check, n_bad) over the prepared tables."""
-    from pyspark.sql import functions as F
-
     unmapped = universe.join(c.context.select("ticker"), "ticker", "left_anti").agg(
         F.count(F.lit(1)).alias("n_bad")
     )
@@ -62,7 +62,7 @@ def checks(universe: DataFrame, c: Calibration, n_teams: int | None = quality.N_
         parts.append(
             labels.select(F.lit("n_teams").alias("check"), F.abs(F.col("_n") - n_teams).alias("n_bad"))
         )
-    return quality.union(parts)
+    return union(*parts)
 
 
 def write(c: Calibration, trades: DataFrame, universe: DataFrame, path: str, n_teams: int | None = quality.N_TEAMS) -> Calibration:

@@ -24,13 +24,14 @@ class Tables:
         self.spark, self.sf_dir = spark, sf_dir
 
     def __getattr__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        setattr(self, name, df)  # read the schema once
+        return df
 
 
 def div(c: Column | str, n: int) -> Column:
-    """Integer division of a non-negative integer column."""
-    name = F.col(c) if isinstance(c, str) else c
-    return ((name - name % n) / F.lit(n)).cast("bigint")
+    """Integer division."""
+    return F.call_function("div", F.col(c) if isinstance(c, str) else c, F.lit(n))
 
 
 # Calibration observations straight from line items
@@ -152,7 +153,7 @@ BIN_HOURS = 100 * 24
 
 def fast_clock(ts: str = "ts") -> Column:
     since = micros(ts) - ORIGIN
-    return from_micros(F.lit(ORIGIN) + ((since - since % CLOCK) / F.lit(CLOCK)).cast("bigint"))
+    return from_micros(F.lit(ORIGIN) + div(since, CLOCK))
 
 
 def matched_markets(t: Tables) -> DataFrame:
@@ -203,7 +204,7 @@ def orderbook_snapshots(t: Tables) -> DataFrame:
             book.alias("book_json"),
             F.when(
                 F.col("event_id") % 101 != 0,
-                F.when(venue_a, ((ms - ms % 1000) / F.lit(1000)).cast("bigint").cast("string")).otherwise(
+                F.when(venue_a, div(ms, 1000).cast("string")).otherwise(
                     F.concat(F.date_format("_src", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("Z"))
                 ),
             ).alias("source_timestamp"),

@@ -10,6 +10,7 @@ from sparkodds import schemas
 from sparkodds.functions import timefn as tf
 from sparkodds.functions.tickers import date_prefix, pair_key, slug_date
 from sparkodds.operators import latest, matching, planning, quality, snapshots
+from sparkodds.operators.unions import union
 from sparkodds.plans import fixtures as fx
 from sparkodds.plans import oracles as o
 from sparkodds.plans.queries import AGREE, _arb, _context, _innings, _pre, _window, query
@@ -131,7 +132,7 @@ _REASON = """CASE WHEN c_custkey % 11 = 0 THEN 'malformed' WHEN c_custkey % 13 =
 def quarantine(t):
     records = landing.parse(fx.record_payloads(t), "payload", "id bigint, name string, balance double")
     good, bad = landing.split_valid(records, ["id", "name"])
-    labelled = bad.select("reason").unionByName(good.select(F.lit("valid").alias("reason")))
+    labelled = union(bad.select("reason"), good.select(F.lit("valid").alias("reason")))
     return labelled.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -385,14 +386,12 @@ def check_rows(**checks: str) -> str:
     ),
 )
 def dq_orphans(t):
-    return quality.union(
-        [
-            quality.orphans(t.lineitem, t.orders.filter("o_orderkey % 10 <> 0"), "l_orderkey", "o_orderkey", "lines_without_order"),
-            quality.orphans(t.orders, t.customer, "o_custkey", "c_custkey", "orders_without_customer"),
-            quality.orphans(
-                t.orders.filter("o_orderstatus = 'F'"), t.lineitem, "o_orderkey", "l_orderkey", "final_orders_without_lines"
-            ),
-        ]
+    return union(
+        quality.orphans(t.lineitem, t.orders.filter("o_orderkey % 10 <> 0"), "l_orderkey", "o_orderkey", "lines_without_order"),
+        quality.orphans(t.orders, t.customer, "o_custkey", "c_custkey", "orders_without_customer"),
+        quality.orphans(
+            t.orders.filter("o_orderstatus = 'F'"), t.lineitem, "o_orderkey", "l_orderkey", "final_orders_without_lines"
+        ),
     )
 
 
@@ -478,8 +477,8 @@ def dq_games(t):
     ),
 )
 def dq_play_times(t):
-    return quality.play_time_checks(fx.plays(t), fx.games(t)).unionByName(
-        quality.win_probability_checks(fx.win_probability(t))
+    return union(
+        quality.play_time_checks(fx.plays(t), fx.games(t)), quality.win_probability_checks(fx.win_probability(t))
     )
 
 
@@ -491,11 +490,9 @@ def dq_play_times(t):
     ),
 )
 def dq_domain(t):
-    return quality.union(
-        [
-            quality.unknown_values(t.orders, "o_orderstatus", ["F"], "status"),
-            quality.unknown_values(fx.raw_markets(t), "status", quality.KNOWN_STATUSES, "market_status"),
-        ]
+    return union(
+        quality.unknown_values(t.orders, "o_orderstatus", ["F"], "status"),
+        quality.unknown_values(fx.raw_markets(t), "status", quality.KNOWN_STATUSES, "market_status"),
     )
 
 
@@ -507,11 +504,9 @@ def dq_domain(t):
     ),
 )
 def dq_uniqueness(t):
-    return quality.union(
-        [
-            quality.duplicates(t.lineitem, ["l_orderkey", "l_linenumber"], "line_grain"),
-            quality.duplicates(t.orders, ["o_orderkey"], "order_grain"),
-        ]
+    return union(
+        quality.duplicates(t.lineitem, ["l_orderkey", "l_linenumber"], "line_grain"),
+        quality.duplicates(t.orders, ["o_orderkey"], "order_grain"),
     )
 
 
@@ -562,7 +557,7 @@ def dq_prepared(t):
 )
 def dq_states_episodes(t):
     a = _arb(t)
-    return quality.state_checks(a.states).unionByName(quality.episode_checks(a.episodes))
+    return union(quality.state_checks(a.states), quality.episode_checks(a.episodes))
 
 
 @query("result_agreement", o.with_(*o.MATCH, AGREE, final="SELECT count(*) FILTER (ok) AS n_agree, count(*) FILTER (NOT ok) AS n_disagree FROM verdicts"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,6 +20,7 @@ def local_session(app: str = "sparkodds", cpus: int | str = 8, **conf: str) -> S
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.sql.streaming.stateStore.providerClass", ROCKSDB_PROVIDER)
     )
     for key, value in conf.items():
@@ -26,22 +28,28 @@ def local_session(app: str = "sparkodds", cpus: int | str = 8, **conf: str) -> S
     return builder.getOrCreate()
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint, so that what reads ``df`` several
-    times computes it once and a lost executor loses nothing.
-
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only a
-    local master without that setting gets a temporary folder; elsewhere a
-    missing setting is an error, because a machine-local folder would not be
-    readable by the other executors.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """Where intermediate tables go: the checkpoint folder of the session or the
+    one the cluster names in ``spark.checkpoint.dir``. Only a local master
+    without either gets a temporary folder; elsewhere that is an error, because
+    a machine-local folder would not be readable by the other executors."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
         if shared is None:
             if not sc.master.startswith("local"):
                 raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-            shared = tempfile.mkdtemp(prefix="sparkodds-checkpoint-")
+            shared = tempfile.mkdtemp(prefix="sparkodds-")
         sc.setCheckpointDir(shared)
-    return df.checkpoint(eager=True)
+    return sc.getCheckpointDir()
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Cut lineage through a written table: what reads the result several times
+    computes it once, and a lost executor loses nothing. As parquet the table is
+    pruned by column, and its size on disk tells Spark whether it may be
+    broadcast."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

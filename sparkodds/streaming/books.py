@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from sparkodds.functions.books import complement, top
+from sparkodds.functions.books import complement, levels, top_of
 from sparkodds.operators.replay import BOOK, REPLAY_SCHEMA, apply_update, book_text
 
 STATE_TTL_MS = 48 * 3600 * 1000
@@ -103,10 +103,10 @@ def top_changes_stream(quotes: DataFrame, ttl_ms: int = STATE_TTL_MS) -> DataFra
 
 def stream_quotes(books: DataFrame, dimension: DataFrame) -> DataFrame:
     """Quotes of a stream of whole books: stream-static join on the book dimension."""
-    best = F.when(F.col("platform") == "kalshi", top("book_json", "last")).otherwise(top("book_json", "first"))
     return (
         books.join(dimension, ["platform", "market_id", "side"])
-        .withColumn("_top", best)
+        .withColumn("_levels", levels("book_json"))
+        .withColumn("_top", top_of("_levels", F.col("platform") == "kalshi"))
         .select(
             "game_key",
             "update_type",
