@@ -2,8 +2,10 @@
 
 State is keyed by (market, side), which spreads a market over two keys, and a
 micro-batch is bounded by the source's rate limit (``maxFilesPerTrigger``,
-``maxOffsetsPerTrigger``). State expires after ``ttl_ms`` without updates; a
-venue sends a fresh snapshot after every reconnect. Needs the RocksDB state store.
+``maxOffsetsPerTrigger``). A long-running stream passes ``ttl_ms``, after which
+state without updates expires; a venue sends a fresh snapshot after every
+reconnect. Expiry runs on processing time, and such a query never runs out of
+batches, so leave it unset for ``availableNow``. Needs the RocksDB state store.
 """
 
 from __future__ import annotations
@@ -18,16 +20,19 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from sparkodds.functions.books import complement, levels, top_of
 from sparkodds.operators.replay import BOOK, REPLAY_SCHEMA, apply_update, book_text
 
-STATE_TTL_MS = 48 * 3600 * 1000
 CHANGE_SCHEMA = (
     "game_key string, update_type string, timestamp timestamp_ntz, seq bigint, price double, size double"
 )
 
 
+def _time_mode(ttl_ms: int | None) -> str:
+    return "None" if ttl_ms is None else "ProcessingTime"
+
+
 class BookReplay(StatefulProcessor):
     """Holds one side's levels; emits the whole side after each applied update."""
 
-    def __init__(self, ttl_ms: int = STATE_TTL_MS):
+    def __init__(self, ttl_ms: int | None = None):
         self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -44,7 +49,9 @@ class BookReplay(StatefulProcessor):
             seen = True
             delta = None if r["delta"] is None else int(r["delta"] * 100)
             book = apply_update(book, r["levels"] if r["is_snapshot"] else None, r["price"], delta)
-            yield Row(key[0], key[1], r["source_ts"], r["seq"], book_text(book))
+            yield Row(
+                market_id=key[0], side=key[1], source_ts=r["source_ts"], seq=r["seq"], book_json=book_text(book)
+            )
         if seen:
             self.seen.update((True,))
             for price in before.keys() - book.keys():
@@ -57,20 +64,20 @@ class BookReplay(StatefulProcessor):
         pass
 
 
-def replay_stream(updates: DataFrame, ttl_ms: int = STATE_TTL_MS) -> DataFrame:
+def replay_stream(updates: DataFrame, ttl_ms: int | None = None) -> DataFrame:
     """Streaming twin of ``operators.replay.replay``; same columns."""
     return updates.groupBy(*BOOK).transformWithState(
         statefulProcessor=BookReplay(ttl_ms),
         outputStructType=REPLAY_SCHEMA,
         outputMode="Append",
-        timeMode="ProcessingTime",
+        timeMode=_time_mode(ttl_ms),
     )
 
 
 class TopChanges(StatefulProcessor):
     """Holds a leg's last price and size; emits the rows that change either."""
 
-    def __init__(self, ttl_ms: int = STATE_TTL_MS):
+    def __init__(self, ttl_ms: int | None = None):
         self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -82,7 +89,10 @@ class TopChanges(StatefulProcessor):
         for r in sorted(rows, key=lambda r: (r["timestamp"], r["seq"])):
             now = (r["price"], r["size"])
             if not known or now != last:
-                yield Row(key[0], key[1], r["timestamp"], r["seq"], *now)
+                yield Row(
+                    game_key=key[0], update_type=key[1], timestamp=r["timestamp"], seq=r["seq"],
+                    price=r["price"], size=r["size"],
+                )
             known, last = True, now
         if known:
             self.last.update(last)
@@ -91,13 +101,13 @@ class TopChanges(StatefulProcessor):
         pass
 
 
-def top_changes_stream(quotes: DataFrame, ttl_ms: int = STATE_TTL_MS) -> DataFrame:
+def top_changes_stream(quotes: DataFrame, ttl_ms: int | None = None) -> DataFrame:
     """Streaming twin of ``operators.books.bbo_changes`` on quotes with a ``seq``."""
     return quotes.groupBy("game_key", "update_type").transformWithState(
         statefulProcessor=TopChanges(ttl_ms),
         outputStructType=CHANGE_SCHEMA,
         outputMode="Append",
-        timeMode="ProcessingTime",
+        timeMode=_time_mode(ttl_ms),
     )
 
 

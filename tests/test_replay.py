@@ -1,7 +1,9 @@
 """Replay: hand-made cases, batch against a plain reading, stream against batch."""
 
 import json
+import os
 import random
+import time
 from datetime import datetime, timedelta
 
 import pytest
@@ -109,6 +111,7 @@ def test_stream_equals_batch(spark, tmp_path):
     for f in range(3):
         part = [dict(m, seq=i) for i, m in enumerate(messages) if i // 40 == f]
         (source / f"{f}.json").write_text("\n".join(json.dumps(m) for m in part))
+        os.utime(source / f"{f}.json", (1_785_000_000 + f, 1_785_000_000 + f))  # files are read by age
     raw = stream_landing.read_messages(spark, str(source), f"seq bigint, {schemas.BOOK_MESSAGE}", max_files=1)
     books_stream = stream_books.replay_stream(landing.book_updates(raw, ["seq"]))
     out = str(tmp_path / "books")
@@ -126,7 +129,8 @@ def test_top_change_stream_equals_batch(spark, tmp_path):
     source = str(tmp_path / "in")
     for lo in (0, 40):
         df.filter(f"seq >= {lo} AND seq < {lo + 40}").coalesce(1).write.mode("append").parquet(source)
-    stream = spark.readStream.schema(ddl).parquet(source)
+        time.sleep(1.1)  # files are read by age
+    stream = spark.readStream.schema(ddl).option("maxFilesPerTrigger", 1).parquet(source)
     out = str(tmp_path / "out")
     stream_landing.append_table(stream_books.top_changes_stream(stream), out, str(tmp_path / "cp")).awaitTermination()
     batch = books.bbo_changes(df.selectExpr("*", "timestamp AS recv_ts", "seq AS id"), slice_seconds=7.0)
