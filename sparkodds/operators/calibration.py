@@ -12,6 +12,7 @@ from sparkodds.functions.timefn import col, micros
 from sparkodds.operators.quantiles import exact_quantiles
 from sparkodds.operators.snapshots import one_row
 from sparkodds.operators.unions import union
+from sparkodds.session import materialize
 
 MIN_SAMPLES = 30
 
@@ -69,7 +70,8 @@ def by_team(df: DataFrame, team: str = "team") -> DataFrame:
 def season_halves(df: DataFrame) -> DataFrame:
     """Add ``half``: early up to the season's median start, late after."""
     starts = df.select("season", micros("sched_start").alias("_at"))
-    medians = exact_quantiles(starts, ["season"], "_at", {"_median": 0.5}).drop("n")
+    # one row per season, written so that Spark knows its size and need not shuffle the rows
+    medians = materialize(exact_quantiles(starts, ["season"], "_at", {"_median": 0.5}).drop("n"))
     return (
         df.join(medians, "season")
         .withColumn("half", F.when(micros("sched_start") <= F.col("_median"), "early").otherwise("late"))

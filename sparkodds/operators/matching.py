@@ -39,18 +39,23 @@ def load_events(events: DataFrame, markets: DataFrame, series: str = SERIES) ->
 
     Two suffixes are fully described by their count, least and greatest, so no
     list of a group's markets is built."""
-    suffix = market_suffix("ticker")
     decided = (F.col("status") == "finalized") & F.col("result").isin("yes", "no")
+    named = markets.select(
+        "event_ticker",
+        market_suffix("ticker").alias("_suffix"),
+        F.when(decided, F.col("close_time")).alias("_close"),
+        (F.col("result") == "scalar").alias("_scalar"),
+    )
     return (
-        markets.join(events.filter(F.col("series_ticker") == series).select("event_ticker"), "event_ticker")
+        named.join(events.filter(F.col("series_ticker") == series).select("event_ticker"), "event_ticker")
         .groupBy("event_ticker")
         .agg(
-            F.countDistinct(suffix).alias("n_suffixes"),
-            F.min(suffix).alias("suffix_a"),
-            F.max(suffix).alias("suffix_b"),
-            F.max(F.when(decided, F.col("close_time"))).alias("_settle"),
-            F.coalesce(F.bool_or(F.col("result") == "scalar"), F.lit(False)).alias("resolved_scalar"),
-            F.bool_or(suffix.isin(*NON_GAME_SUFFIXES)).alias("_not_game"),
+            F.countDistinct("_suffix").alias("n_suffixes"),
+            F.min("_suffix").alias("suffix_a"),
+            F.max("_suffix").alias("suffix_b"),
+            F.max("_close").alias("_settle"),
+            F.coalesce(F.bool_or("_scalar"), F.lit(False)).alias("resolved_scalar"),
+            F.bool_or(F.col("_suffix").isin(*NON_GAME_SUFFIXES)).alias("_not_game"),
         )
         .filter("NOT _not_game")
         .select(

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from sparkodds.operators import quality, snapshots
 from sparkodds.operators.unions import union
+from sparkodds.session import materialize
 from sparkodds.sources import sinks
 
 
@@ -32,8 +33,8 @@ def build(
     hours: float = 24,
     bin_hours: float = 1,
 ) -> Calibration:
-    """The prepared frames, lazy."""
-    context = snapshots.market_context(snapshots.universe(markets), event_map, games)
+    """The prepared frames, lazy but for the market dimension all of them read."""
+    context = materialize(snapshots.market_context(snapshots.universe(markets), event_map, games))
     return Calibration(
         context,
         snapshots.pre_window_trades(trades, context, hours, bin_hours),

@@ -298,7 +298,7 @@ PREFIX = "SELECT event_ticker FROM listed WHERE event_ticker LIKE 'KXMLBGAME-17J
 @query("date_prefix", o.with_(o.DUELS, final=PREFIX))
 def date_prefix_filter(t):
     wanted = date_prefix(F.lit(date(2017, 7, 1)))
-    return fx.duel_events(t).filter(F.col("event_ticker").startswith(wanted)).select("event_ticker")
+    return fx.stored(t, "duel_events").filter(F.col("event_ticker").startswith(wanted)).select("event_ticker")
 
 
 @query("slug_dates", o.with_(o.DUELS, final="SELECT strftime(day, '%Y-%m-%d') AS day, count(*) AS n FROM duels WHERE k % 5 <> 0 GROUP BY 1"))
@@ -325,7 +325,7 @@ A_SIDE = """a_sides AS (SELECT p.event_ticker, p.et_date AS game_date, p.away_ab
 
 
 def _venue_a(t):
-    return matching.venue_a_sides(fx.duel_events(t), fx.duel_markets(t), fx.teams(t))
+    return matching.venue_a_sides(fx.stored(t, "duel_events"), fx.stored(t, "duel_markets"), fx.stored(t, "teams"))
 
 
 def _venue_b(t):
@@ -517,7 +517,7 @@ def dq_one_sided(t):
 
 @query("dq_team_count", o.with_(o.DUELS, final="SELECT count(DISTINCT t) AS n_distinct FROM (SELECT away_team_id AS t FROM games UNION ALL SELECT home_team_id FROM games)"))
 def dq_team_count(t):
-    return quality.distinct_across(fx.duel_games(t), ["away_team_id", "home_team_id"])
+    return quality.distinct_across(fx.stored(t, "duel_games"), ["away_team_id", "home_team_id"])
 
 
 @query(
@@ -565,4 +565,4 @@ def result_agreement(t):
     from sparkodds.plans.queries import _duel_inputs
 
     mapping = matching.event_map(matching.resolve(*_duel_inputs(t)))
-    return matching.result_agreement(fx.duel_markets(t), mapping, fx.duel_games(t))
+    return matching.result_agreement(fx.stored(t, "duel_markets"), mapping, fx.stored(t, "duel_games"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,16 +53,20 @@ def upsert_stream(
 
 
 class LifecycleLog(StreamingQueryListener):
-    """Collects start, error and stop rows of streaming queries for
-    ``collection_metadata``; a restart shows as another start, which is what the
-    blackout windows need. The list holds a few rows per query run."""
+    """Collects start, error and stop of streaming queries as rows for
+    ``collection_metadata``, in UTC. A restart shows as another start, which is
+    what the blackout windows need. The list holds a few rows per query run."""
 
     def __init__(self, platform: str):
         self.platform = platform
-        self.rows: list[tuple[str, str, str, str | None]] = []
+        self.rows: list[tuple[str, str, datetime, str | None]] = []
+
+    def _add(self, event: str, details: str | None) -> None:
+        now = datetime.now(timezone.utc).replace(tzinfo=None)
+        self.rows.append((event, self.platform, now, details))
 
     def onQueryStarted(self, event) -> None:
-        self.rows.append(("start", self.platform, event.timestamp, str(event.id)))
+        self._add("start", str(event.id))
 
     def onQueryProgress(self, event) -> None:
         pass
@@ -70,5 +75,10 @@ class LifecycleLog(StreamingQueryListener):
         pass
 
     def onQueryTerminated(self, event) -> None:
-        kind = "error" if event.exception else "stop"
-        self.rows.append((kind, self.platform, "", event.exception))
+        self._add("error" if event.exception else "stop", event.exception)
+
+    def frame(self, spark: SparkSession) -> DataFrame:
+        """The rows so far, to append to the metadata table. Use them with
+        ``blackout_centers(..., zone="UTC")``."""
+        ddl = "event string, platform string, timestamp timestamp_ntz, details string"
+        return spark.createDataFrame(list(self.rows), ddl)

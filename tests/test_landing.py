@@ -1,4 +1,5 @@
 import json
+import time
 from datetime import date
 
 import pytest
@@ -6,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sparkodds import schemas
 from sparkodds.operators import planning, quality
+from sparkodds.operators.episodes import blackout_centers
 from sparkodds.sources import landing, sinks, typed
 from sparkodds.streaming import landing as streaming
 
@@ -83,12 +85,22 @@ def test_replace_keys_append_and_csv(spark, tmp_path):
 
 
 def test_stream_upsert(spark, tmp_path):
+    log = streaming.LifecycleLog("kalshi")
+    spark.streams.addListener(log)
     source, path = str(tmp_path / "in"), str(tmp_path / "t")
     for batch in ([(1, 1, "a"), (1, 2, "b")], [(1, 3, "c"), (2, 1, "x")]):
         spark.createDataFrame(batch, "id bigint, n int, v string").coalesce(1).write.mode("append").parquet(source)
         stream = spark.readStream.schema("id bigint, n int, v string").parquet(source)
         streaming.upsert_stream(stream, path, str(tmp_path / "cp"), ["id"], ["n"]).awaitTermination()
     assert sorted(tuple(r) for r in spark.read.parquet(path).collect()) == [(1, 3, "c"), (2, 1, "x")]
+    for _ in range(50):
+        if len(log.rows) >= 4:
+            break
+        time.sleep(0.2)
+    spark.streams.removeListener(log)
+    metadata = log.frame(spark)
+    assert sorted(r.event for r in metadata.collect()) == ["start", "start", "stop", "stop"]
+    assert blackout_centers(metadata, zone="UTC").count() == 2
 
 
 def test_typed_views_and_registry(spark):
