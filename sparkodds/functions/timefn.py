@@ -18,9 +18,17 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def _span_seconds(start: Column, end: Column) -> Column:
+    """Seconds from start to end as an exact decimal. Subtracting naive
+    timestamps involves no zone, while ``timestampdiff`` would pass through the
+    session's and shift times in its daylight-saving gap."""
+    return (end - start).cast("interval second").cast("decimal(18,6)")
+
+
 def micros(ts: Column | str) -> Column:
     """Microseconds since 1970-01-01 of a naive timestamp."""
-    return F.timestamp_diff("MICROSECOND", F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'"), col(ts))
+    origin = F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'")
+    return (_span_seconds(origin, col(ts)) * 1_000_000).cast("bigint")
 
 
 def from_micros(n: Column | str) -> Column:
@@ -35,7 +43,7 @@ def seconds(n: float) -> Column:
 
 def elapsed_seconds(start: Column | str, end: Column | str) -> Column:
     """Seconds from start to end as a double."""
-    return F.timestamp_diff("MICROSECOND", col(start), col(end)) / F.lit(1e6)
+    return _span_seconds(col(start), col(end)).cast("double")
 
 
 def boundaries_between(unit: str, start: Column | str, end: Column | str) -> Column:

@@ -247,7 +247,9 @@ def resolve(events: DataFrame, games: DataFrame, teams: DataFrame, pattern: str
         "home_abbr",
         "away_team_id",
         "home_team_id",
-        F.concat(F.date_format("start_utc", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+00:00")).alias("ticker_start_utc"),
+        F.concat(F.replace(F.col("start_utc").cast("string"), F.lit(" "), F.lit("T")), F.lit("+00:00")).alias(
+            "ticker_start_utc"
+        ),
         F.when(
             has,
             (F.col("game.away_team_id") == F.col("away_team_id"))

@@ -92,6 +92,19 @@ def test_iso_in_any_session_zone(spark, text, want):
             spark.conf.set("spark.sql.session.timeZone", "UTC")
 
 
+def test_naive_times_ignore_the_session_zone(spark):
+    # 02:30 does not exist in New York that day
+    gap = F.lit("2026-03-08 02:30:00").cast("timestamp_ntz")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        assert one(spark, tf.micros(gap)) == 1772937000000000
+        assert one(spark, tf.from_micros(tf.micros(gap))) == datetime(2026, 3, 8, 2, 30)
+        assert one(spark, tf.elapsed_seconds(gap, F.lit("2026-03-08 03:30:00").cast("timestamp_ntz"))) == 3600.0
+        assert one(spark, tf.epoch_ms_to_utc(F.lit("1772937000000"))) == datetime(2026, 3, 8, 2, 30)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 def test_times(spark):
     def ts(text):
         return F.lit(text).cast("timestamp_ntz")
