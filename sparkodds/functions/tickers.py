@@ -75,8 +75,8 @@ def _from_parts(parts: Column) -> Column:
 def split_pair(pair: Column | str, suffixes: Column | str) -> Column:
     """``struct(away, home)`` when the two distinct suffixes, in some order, spell
     the pair; otherwise NULL."""
-    pair, s = col(pair), F.array_sort(F.array_distinct(col(suffixes)))
-    a, b = F.get(s, F.lit(0)), F.get(s, F.lit(1))
+    pair, s = col(pair), F.array_distinct(col(suffixes))
+    a, b = F.array_min(s), F.array_max(s)
 
     def sides(away: Column, home: Column) -> Column:
         return F.struct(away.alias("away"), home.alias("home"))
@@ -89,7 +89,7 @@ def split_pair(pair: Column | str, suffixes: Column | str) -> Column:
 
 def pair_key(a: Column | str, b: Column | str) -> Column:
     """Order-free key of two teams."""
-    return F.array_sort(F.array(col(a), col(b)))
+    return F.sort_array(F.array(col(a), col(b)))
 
 
 def date_prefix(day: Column | str, series: str = SERIES) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkodds.functions.books import complement, levels, top_of
@@ -48,24 +48,29 @@ def book_dimension(matched: DataFrame, key: str = "game_key") -> DataFrame:
     return matched.select(game.alias("game_key"), "game_date", F.inline(legs))
 
 
+def source_time() -> Column:
+    """Exchange time of a stored snapshot: epoch milliseconds or ISO text, by platform."""
+    return F.when(F.col("platform") == VENUE_A, epoch_ms_to_utc("source_timestamp")).otherwise(
+        iso_to_utc("source_timestamp")
+    )
+
+
 def quotes(snapshots: DataFrame, matched: DataFrame, key: str = "game_key") -> DataFrame:
     """Best price and size of every stored book side, on exchange time.
 
-    An empty side is a row with NULL price and size. Rows without a source time
-    are dropped (``missing_source_time`` counts them).
+    An empty side is a row with NULL price and size. Rows without a readable
+    source time are dropped (``missing_source_time`` counts them).
     """
-    event_ts = F.when(
-        F.col("platform") == VENUE_A, epoch_ms_to_utc("source_timestamp")
-    ).otherwise(iso_to_utc("source_timestamp"))
     price = F.when(F.col("update_type") == "k_ask", complement("_top.price")).otherwise(F.col("_top.price"))
     return (
-        snapshots.filter(F.col("source_timestamp").isNotNull())
+        snapshots.withColumn("_event_ts", source_time())
+        .filter(F.col("_event_ts").isNotNull())
         .join(book_dimension(matched, key), ["platform", "market_id", "side"])
         # a step of its own, so that each book is parsed once
         .withColumn("_levels", levels("book_json"))
         .withColumn("_top", top_of("_levels", F.col("platform") == VENUE_A))
         .select(
-            event_ts.alias("timestamp"),
+            F.col("_event_ts").alias("timestamp"),
             F.col("timestamp").alias("recv_ts"),
             "id",
             "game_key",
@@ -79,7 +84,7 @@ def quotes(snapshots: DataFrame, matched: DataFrame, key: str = "game_key") -> D
 
 def missing_source_time(snapshots: DataFrame, since: date | str) -> DataFrame:
     return snapshots.filter(
-        F.col("source_timestamp").isNull() & (F.col("timestamp") >= F.lit(str(since)).cast("timestamp_ntz"))
+        source_time().isNull() & (F.col("timestamp") >= F.lit(str(since)).cast("timestamp_ntz"))
     ).agg(F.count(F.lit(1)).alias("n_missing"))
 
 

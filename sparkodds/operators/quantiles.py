@@ -37,8 +37,8 @@ def exact_quantiles(
     totals = cut.groupBy(*by, "_part").agg(F.sum("_n").alias("_in_part"))
     group = Window.partitionBy(*by) if by else Window.partitionBy()
     offsets = totals.select(
-        *by,
-        "_part",
+        *[F.col(c).alias(f"_by_{c}") for c in by],
+        F.col("_part").alias("_by_part"),
         F.coalesce(
             F.sum("_in_part").over(group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)),
             F.lit(0),
@@ -46,9 +46,12 @@ def exact_quantiles(
         F.sum("_in_part").over(group).alias("_total"),
     )
     in_part = Window.partitionBy(*by, "_part").orderBy(value)
+    same = F.col("_part") == F.col("_by_part")
+    for c in by:  # a NULL group is a group too
+        same = same & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
     ranked = (
         cut.withColumn("_cum", F.sum("_n").over(in_part.rowsBetween(Window.unboundedPreceding, 0)))
-        .join(offsets, [*by, "_part"])
+        .join(offsets, same)
         .withColumn("_hi", F.col("_before") + F.col("_cum") - 1)  # zero-based last rank of the value
         .withColumn("_lo", F.col("_hi") - F.col("_n") + 1)
     )

@@ -53,7 +53,7 @@ def sliced_scan(
 
     ``local`` gets the window of one (key, slice) in ``order``; ``tail`` are
     aggregates of a slice; ``carry`` gets the window over a key's tails in slice
-    order. Keys must not be NULL.
+    order. Rows with a NULL key or time have no place in an order and are left out.
     """
     keys = list(keys)
     rows = df.withColumn(SLICE, time_slice(ts, slice_seconds))

@@ -193,7 +193,6 @@ def spread_legs(window_trades: DataFrame, side: str = "home", tie: Sequence[str]
         window_trades.filter(F.col("side") == side)
         .groupBy("game_pk")
         .agg(last_price("yes").alias("ask_proxy"), last_price("no").alias("bid_proxy"))
-        .filter("ask_proxy IS NOT NULL OR bid_proxy IS NOT NULL")
     )
 
 

@@ -1,11 +1,13 @@
 from datetime import date, datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from sparkodds.operators import books
 from sparkodds.operators import episodes as ep
 from sparkodds.plans import arbitrage
 from sparkodds.schemas import table_schema
+from sparkodds.streaming.books import stream_quotes
 
 T0 = datetime(2026, 7, 30, 16, 0, 0)
 EASTERN = timedelta(hours=-4)
@@ -99,6 +101,14 @@ def test_open_ended_run_ends_at_its_last_state(spark):
     assert single.duration_s == 0.0
 
 
+def test_stream_quotes_equal_batch_quotes(spark):
+    snapshots, matched, _ = inputs(spark, OPEN + CROSS)
+    stored = snapshots.withColumns({"source_ts": books.source_time(), "seq": F.col("id")})
+    streamed = stream_quotes(stored, books.book_dimension(matched))
+    batch = books.quotes(snapshots, matched).selectExpr("game_key", "update_type", "timestamp", "id AS seq", "price", "size")
+    assert sorted(map(tuple, streamed.collect())) == sorted(map(tuple, batch.collect()))
+
+
 def test_doubleheader_keys(spark):
     snapshots, matched, _ = inputs(spark, OPEN)
     assert books.quotes(snapshots, matched, key="event").select("game_key").distinct().first()[0] == "EV"

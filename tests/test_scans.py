@@ -124,7 +124,8 @@ def test_blackouts(spark, frame, rows):
 def test_exact_quantiles(spark):
     rng = np.random.default_rng(3)
     data = {"hot": rng.lognormal(3, 4, 900), "even": rng.integers(0, 5, 100).astype(float), "one": np.array([4.5])}
-    df = spark.createDataFrame([(k, float(v)) for k, vs in data.items() for v in vs] + [("none", None)], "k string, v double")
+    df = spark.createDataFrame([(k, float(v)) for k, vs in data.items() for v in vs] + [("none", None), (None, 2.0), (None, 3.0)], "k string, v double")
+    data = {**data, None: np.array([2.0, 3.0])}
     got = {r["k"]: r for r in quantiles.exact_quantiles(df, ["k"], "v", {"a": 0.0, "q": 0.9, "m": 0.5, "z": 1.0}).collect()}
     assert set(got) == set(data)
     for k, vs in data.items():
