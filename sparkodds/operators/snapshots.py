@@ -64,7 +64,7 @@ def interval_starts(plays: DataFrame) -> DataFrame:
     return plays.groupBy("game_pk", "inning").agg(F.min("start_time").alias("inning_start"))
 
 
-def pre_window_trades(trades: DataFrame, context: DataFrame, hours: float = 24, bin_hours: float = 1) -> DataFrame:
+def pre_window_trades(trades: DataFrame, context: DataFrame, hours: float = 24, bin_hours: float = 4) -> DataFrame:
     """Every trade in the half-open window of ``hours`` before its market's start."""
     windows = context.withColumn("_open", F.col("sched_start") - seconds(hours * 3600))
     return interval_join(
@@ -116,7 +116,7 @@ def pre_snapshots(
     weather: DataFrame,
     win_probability: DataFrame,
     hours: float = 24,
-    bin_hours: float = 1,
+    bin_hours: float = 4,
 ) -> DataFrame:
     """One row per (game, side): the last price before the start, with weather
     and the opening win probability of that side."""
@@ -207,7 +207,7 @@ def interval_snapshots(
     plays: DataFrame,
     win_probability: DataFrame,
     entering: tuple[int, int] = (2, 10),
-    bin_hours: float = 1,
+    bin_hours: float = 4,
 ) -> DataFrame:
     """One row per (game, side, entering inning): the last price during the
     preceding inning, with the win probability at its end."""

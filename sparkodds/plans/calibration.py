@@ -31,7 +31,7 @@ def build(
     win_probability: DataFrame,
     weather: DataFrame,
     hours: float = 24,
-    bin_hours: float = 1,
+    bin_hours: float = 4,
 ) -> Calibration:
     """The prepared frames, lazy but for the market dimension all of them read."""
     context = materialize(snapshots.market_context(snapshots.universe(markets), event_map, games))

@@ -162,7 +162,7 @@ def win_probability(t: Tables) -> DataFrame:
 
 # prints are quarters apart, so windows are about two years here
 WINDOW_HOURS = 700 * 24
-BIN_HOURS = 100 * 24
+BIN_HOURS = 200 * 24
 
 
 # Order books
