@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkodds.functions.timefn import boundaries_between, seconds
+from sparkodds.functions.timefn import boundaries_between, from_micros, seconds
 from sparkodds.operators.unions import union
 
 # Known market statuses, team count, thresholds.
@@ -130,7 +130,7 @@ def trade_checks(trades: DataFrame) -> DataFrame:
             "price_range": (yes <= 0) | (yes >= 1) | (no <= 0) | (no >= 1),
             "price_complement": F.abs(yes + no - 1) > 0.000001,
             "count_positive": F.col("count_fp") <= 0,
-            "from_future": F.col("created_time") >= F.localtimestamp() + seconds(86400),
+            "from_future": F.col("created_time") >= from_micros(F.unix_micros(F.current_timestamp())) + seconds(86400),
         },
     )
 

@@ -7,9 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkodds.operators.latest import delete_insert, upsert
+from sparkodds.functions.timefn import from_micros
+from sparkodds.operators.latest import delete_insert, keep_last, upsert
 from sparkodds.session import materialize
 
+MAX_LISTED_PARTITIONS = 1000
+
 
 def exists(spark: SparkSession, path: str) -> bool:
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -27,42 +30,68 @@ def with_built_at(info: DataFrame) -> DataFrame:
 
 
 def append(df: DataFrame, path: str, stamp: str = "timestamp", partition_by: Sequence[str] = ()) -> None:
-    """Append rows with their ingestion time (naive UTC) and a unique, not dense, id."""
-    stamped = df.withColumn(stamp, F.localtimestamp()).withColumn("id", F.monotonically_increasing_id())
+    """Append rows with their ingestion time (naive UTC) and an id above all
+    stored ones, unique but not dense."""
+    spark = df.sparkSession
+    first = 0
+    if exists(spark, path):
+        first = (spark.read.parquet(path).agg(F.max("id")).first()[0] or 0) + 1
+    stamped = df.withColumns(
+        {
+            stamp: from_micros(F.unix_micros(F.current_timestamp())),
+            "id": F.lit(first) + F.monotonically_increasing_id(),
+        }
+    )
     stamped.write.mode("append").partitionBy(*partition_by).parquet(path)
 
 
+def _in_partitions(stored: DataFrame, incoming: DataFrame, partition_by: Sequence[str]) -> DataFrame:
+    """Stored rows of the partitions the incoming rows touch: a literal filter,
+    which prunes directories, or a semi-join when the partitions are many."""
+    touched = incoming.select(*partition_by).distinct()
+    some = touched.limit(MAX_LISTED_PARTITIONS + 1).collect()
+    if len(some) > MAX_LISTED_PARTITIONS:
+        return stored.join(touched, list(partition_by), "left_semi")
+    wanted = F.lit(False)
+    for row in some:
+        here = F.lit(True)
+        for c in partition_by:
+            here = here & F.col(c).eqNullSafe(F.lit(row[c]))
+        wanted = wanted | here
+    return stored.filter(wanted)
+
+
 def upsert_table(
     incoming: DataFrame,
     path: str,
     keys: Sequence[str],
     partition_by: Sequence[str] = (),
     order: Sequence[str] = (),
+    check_moves: bool = True,
 ) -> None:
     """Insert-or-replace into a parquet table, rewriting touched partitions only.
 
-    A key must stay in its partition (partition by something the key fixes, such
-    as a trade's date); a key that would move is an error, because its old row
-    sits in a partition that is not rewritten.
+    A key must stay in its partition; a key that would move is an error, because
+    its old row sits in a partition that is not rewritten. The check reads the
+    table's key columns; switch it off where the partition is derived from
+    something a key fixes, such as a trade's date.
     """
     spark = incoming.sparkSession
     if not exists(spark, path):
-        upsert(incoming.limit(0), incoming, keys, order).write.partitionBy(*partition_by).parquet(path)
+        latest = keep_last(incoming, keys, order or keys)
+        latest.write.partitionBy(*partition_by).parquet(path)
         return
     stored = spark.read.parquet(path)
-    affected = stored
-    if partition_by:
-        new_parts = incoming.select(*partition_by).distinct()
-        affected = stored.join(new_parts, list(partition_by), "left_semi")
+    movable = [c for c in partition_by if c not in keys]
+    if movable and check_moves:
         moved = (
-            stored.select(*keys, *[F.col(c).alias(f"_old_{c}") for c in partition_by if c not in keys])
-            .join(incoming.select(*dict.fromkeys([*keys, *partition_by])), list(keys))
-            .filter(
-                " OR ".join(f"NOT (_old_{c} <=> {c})" for c in partition_by if c not in keys) or "false"
-            )
+            stored.select(*keys, *[F.col(c).alias(f"_old_{c}") for c in movable])
+            .join(incoming.select(*keys, *movable), list(keys))
+            .filter(" OR ".join(f"NOT (_old_{c} <=> {c})" for c in movable))
         )
         if not moved.isEmpty():
             raise ValueError(f"a key of {path} would move between partitions {list(partition_by)}")
+    affected = _in_partitions(stored, incoming, partition_by) if partition_by else stored
     # the result reads the files it replaces: write it aside first
     merged = materialize(upsert(affected, incoming, keys, order))
     merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.listener import StreamingQueryListener
 
+from sparkodds.functions.timefn import from_micros
 from sparkodds.operators.latest import keep_last
 from sparkodds.sources.sinks import upsert_table
 
@@ -18,7 +19,7 @@ def read_messages(spark: SparkSession, path: str, ddl: str, max_files: int = 100
     """Landed JSON-lines messages as a stream, with the receive time."""
     return (
         spark.readStream.schema(ddl).option("maxFilesPerTrigger", max_files).json(path)
-        .withColumn("recv_ts", F.localtimestamp())
+        .withColumn("recv_ts", from_micros(F.unix_micros(F.current_timestamp())))
     )
 
 
@@ -39,12 +40,13 @@ def upsert_stream(
     keys: Sequence[str],
     order: Sequence[str],
     partition_by: Sequence[str] = (),
+    check_moves: bool = True,
 ) -> StreamingQuery:
     """Keyed upsert per micro-batch. A batch that is run again gives the same
     table, so a restart after a failure is safe."""
 
     def write(batch: DataFrame, _: int) -> None:
-        upsert_table(keep_last(batch, keys, order), path, keys, partition_by)
+        upsert_table(keep_last(batch, keys, order), path, keys, partition_by, check_moves=check_moves)
 
     return (
         stream.writeStream.foreachBatch(write)
