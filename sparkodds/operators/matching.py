@@ -18,7 +18,6 @@ from sparkodds.functions.tickers import (
     parse_event_ticker,
     slug_date,
     split_pair,
-    team_dimension,
 )
 from sparkodds.functions.timefn import iso_to_utc, micros, seconds
 from sparkodds.operators.quality import MIN_MATCH_RATE, QualityError

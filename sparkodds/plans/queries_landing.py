@@ -11,9 +11,10 @@ from sparkodds.functions import timefn as tf
 from sparkodds.functions.tickers import date_prefix, pair_key, slug_date
 from sparkodds.operators import latest, matching, planning, quality, snapshots
 from sparkodds.operators.unions import union
+from sparkodds.plans import calibration as calibration_plan
 from sparkodds.plans import fixtures as fx
 from sparkodds.plans import oracles as o
-from sparkodds.plans.queries import AGREE, _arb, _context, _innings, _pre, _window, query
+from sparkodds.plans.queries import AGREE, _arb, _context, _duel_inputs, _innings, _pre, _window, query
 from sparkodds.session import materialize
 from sparkodds.sources import landing, typed
 
@@ -541,11 +542,9 @@ def dq_minimum_rows(t):
     )),
 )
 def dq_prepared(t):
-    from sparkodds.plans import calibration as plan
-
     context = _context(t)
-    built = plan.Calibration(context, _window(t), materialize(_pre(t)), materialize(_innings(t)))
-    return plan.checks(snapshots.universe(fx.markets(t)), built, 25)
+    built = calibration_plan.Calibration(context, _window(t), materialize(_pre(t)), materialize(_innings(t)))
+    return calibration_plan.checks(snapshots.universe(fx.markets(t)), built, 25)
 
 
 @query(
@@ -562,7 +561,5 @@ def dq_states_episodes(t):
 
 @query("result_agreement", o.with_(*o.MATCH, AGREE, final="SELECT count(*) FILTER (ok) AS n_agree, count(*) FILTER (NOT ok) AS n_disagree FROM verdicts"))
 def result_agreement(t):
-    from sparkodds.plans.queries import _duel_inputs
-
     mapping = matching.event_map(matching.resolve(*_duel_inputs(t)))
     return matching.result_agreement(fx.stored(t, "duel_markets"), mapping, fx.stored(t, "duel_games"))
