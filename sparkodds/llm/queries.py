@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from sparkodds.llm import mixing
+from sparkodds.llm import arc, mixing
 
 QUERIES = {
     "op2_mixing": mixing.op2_mixing,
+    "op10_warc": arc.op10_warc,
 }
 
 ORACLES = {
     "op2_mixing": mixing.OP2_SQL,
+    "op10_warc": arc.OP10_SQL,
 }
