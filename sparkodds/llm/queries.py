@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from sparkodds.llm import arc, mixing
+from sparkodds.llm import arc, mixing, topk
 
 QUERIES = {
     "op2_mixing": mixing.op2_mixing,
+    "op4_top_k": topk.op4_top_k,
     "op10_warc": arc.op10_warc,
 }
 
 ORACLES = {
     "op2_mixing": mixing.OP2_SQL,
+    "op4_top_k": topk.OP4_SQL,
     "op10_warc": arc.OP10_SQL,
 }
