@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from sparkodds.llm import arc, mixing, topk
+from sparkodds.llm import arc, forest, mixing, topk
 
 QUERIES = {
     "op2_mixing": mixing.op2_mixing,
     "op4_top_k": topk.op4_top_k,
+    "op8_forest": forest.op8_forest,
     "op10_warc": arc.op10_warc,
 }
 

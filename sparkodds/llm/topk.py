@@ -21,7 +21,7 @@ embedding are read.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 import numpy as np
 import pandas as pd
@@ -35,9 +35,9 @@ from sparkodds.session import materialize
 
 def usable(embeddings: DataFrame) -> DataFrame:
     """(vec_id, vector of doubles), one row for each vec_id."""
-    vector = F.transform("embedding", lambda x: x.cast("double"))
     kept = embeddings.where(F.col("vec_id").isNotNull() & (F.size("embedding") > 0)).select(
-        F.col("vec_id").cast("long").alias("vec_id"), vector.alias("vector")
+        F.col("vec_id").cast("long").alias("vec_id"),
+        F.transform("embedding", lambda x: x.cast("double")).alias("vector"),
     )
     kept = kept.where(F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))))
     common = kept.groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).limit(1)
@@ -53,33 +53,43 @@ def quantised(scale: int = 64) -> Callable[[Column], Column]:
     return lambda v: F.transform(v, lambda x: F.floor(x * scale).cast("double"))
 
 
-def list_entries(vectors: DataFrame, queries: DataFrame, lists: int, n_shards: int, n_blocks: int, pick) -> DataFrame:
-    """PAIRS of what ``pick`` takes from each piece of each list.
-
-    pick(entries, candidate ids, query rows) gives, for each query, positions.
-    queries may carry ``cutoff``."""
+def list_entries(
+    vectors: DataFrame,
+    queries: DataFrame,
+    lists: int,
+    n_shards: int,
+    n_blocks: int,
+    pick: Callable[[np.ndarray, pd.DataFrame], Iterable[np.ndarray]],
+) -> DataFrame:
+    """PAIRS of what ``pick`` takes from each piece of each list: given the
+    entries (queries by candidates) and the queries' rows, positions for each
+    query. queries has query_id, vector and what pick reads besides."""
     dims = F.ceil(F.size("vector") / lists).cast("int")
     part = F.slice("vector", F.col("list") * dims + 1, dims)
-    extra = [c for c in queries.columns if c not in ("query_id", "vector", "block")]
-    left = grid.over(grid.over(queries, "shard", n_shards), "list", lists).select(
-        "list", "shard", "block", "query_id", part.alias("vector"), *extra
-    )
-    right = grid.over(grid.over(vectors, "block", n_blocks), "list", lists).select(
-        "list", "shard", "block", "vec_id", part.alias("vector")
-    )
+    extra = [c for c in queries.columns if c not in ("query_id", "vector")]
+    asked = queries.withColumn("block", grid.dealt(F.col("query_id"), n_blocks))
+    asked = grid.over(grid.over(asked, "shard", n_shards), "list", lists)
+    held = vectors.withColumn("shard", grid.dealt(F.col("vec_id"), n_shards))
+    held = grid.over(grid.over(held, "block", n_blocks), "list", lists)
+    keys = ["list", "shard", "block"]
+    left = asked.select(*keys, "query_id", part.alias("vector"), *extra)
+    right = held.select(*keys, "vec_id", part.alias("vector"))
 
     def cell(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         if not len(asked) or not len(held):
-            return pd.DataFrame({"query_id": [], "shard": [], "ids": []}).astype({"query_id": "int64", "shard": "int32"})
+            return grid.frame([], grid.PAIRS)
         held = held.sort_values("vec_id", kind="stable")
-        ids, x = held["vec_id"].to_numpy(np.int64), grid.matrix(held["vector"])
-        entries = grid.matrix(asked["vector"]) @ x.T
-        own = asked["query_id"].to_numpy(np.int64)
+        ids, own = held["vec_id"].to_numpy(np.int64), asked["query_id"].to_numpy(np.int64)
+        entries = grid.matrix(asked["vector"]) @ grid.matrix(held["vector"]).T
         entries[ids[None, :] == own[:, None]] = -np.inf
-        hits = (ids[h[e[h] > -np.inf]] for h, e in zip(pick(entries, asked), entries, strict=True))
-        return grid.packed(own, hits, int(held["shard"].iloc[0]))
+        shard = int(held["shard"].iloc[0])
+        rows = []
+        for query_id, at, e in zip(own.tolist(), pick(entries, asked), entries, strict=True):
+            at = at[e[at] > -np.inf]
+            if len(at):
+                rows.append((query_id, shard, ids[at]))
+        return grid.frame(rows, grid.PAIRS)
 
-    keys = ["list", "shard", "block"]
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(cell, grid.PAIRS)
 
 
@@ -93,37 +103,32 @@ def top_k(
     """(query_id, rank, vec_id, score) of each query's k highest inner products,
     ties to the smaller vec_id. Scores are exact for whole-numbered components."""
     vectors = materialize(usable(embeddings).withColumn("vector", shape(F.col("vector"))))
-    n = vectors.count()
-    n_shards = grid.parts(n, grid.SHARD)
-    queries = vectors.where(is_query)
-    n_blocks = grid.parts(queries.count(), grid.BLOCK)
-    vectors = vectors.withColumn("shard", grid.dealt("vec_id", n_shards))
-    queries = queries.withColumnRenamed("vec_id", "query_id")
-    queries = queries.withColumn("block", grid.dealt("query_id", n_blocks))
-
-    def highest(entries: np.ndarray, asked: pd.DataFrame) -> list[np.ndarray]:
+    queries = vectors.where(is_query).withColumnRenamed("vec_id", "query_id")
+    n_shards, n_blocks = grid.parts(vectors.count(), grid.SHARD), grid.parts(queries.count(), grid.BLOCK)
+
+    def highest(entries: np.ndarray, asked: pd.DataFrame) -> Iterable[np.ndarray]:
         if entries.shape[1] <= k:
             return [np.arange(entries.shape[1])] * len(entries)
         return list(np.argpartition(-entries, k - 1, axis=1)[:, :k])
 
-    def above(entries: np.ndarray, asked: pd.DataFrame) -> list[np.ndarray]:
+    def reaching(entries: np.ndarray, asked: pd.DataFrame) -> Iterable[np.ndarray]:
         least = (asked["cutoff"].to_numpy(np.float64) / lists)[:, None]
-        # Parts of a sum may be rounded where components aren't whole.
-        reach = entries >= least - 1e-9 * (1 + np.abs(least))
-        return [np.flatnonzero(r) for r in reach]
+        # Sums of components that aren't whole may be rounded.
+        reach = entries >= least - 1e-9 * np.where(np.isfinite(least), 1 + np.abs(least), 0)
+        return (np.flatnonzero(r) for r in reach)
 
-    def below(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    def negative(x: np.ndarray, q: np.ndarray) -> np.ndarray:
         return -(x @ q)
 
-    first = list_entries(vectors, queries, lists, n_shards, n_blocks, highest)
-    seen = grid.exact_scores(first, vectors, queries, below, n_shards, n_blocks, k)
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")
+    first = list_entries(vectors, queries, lists, n_shards, n_blocks, highest)
+    seen = grid.exact_scores(first, vectors, queries, negative, n_shards, n_blocks, k)
     kth = seen.withColumn("rank", F.row_number().over(best)).where(F.col("rank") == k)
-    # Fewer than k candidates in all: nothing may be left out.
     cut = queries.join(kth.select("query_id", (-F.col("score")).alias("cutoff")), "query_id", "left")
+    # Fewer than k candidates in all: nothing may be left out.
     cut = materialize(cut.withColumn("cutoff", F.coalesce("cutoff", F.lit(float("-inf")))))
-    enough = list_entries(vectors, cut, lists, n_shards, n_blocks, above)
-    scored = grid.exact_scores(enough, vectors, queries, below, n_shards, n_blocks, k)
+    enough = list_entries(vectors, cut, lists, n_shards, n_blocks, reaching)
+    scored = grid.exact_scores(enough, vectors, queries, negative, n_shards, n_blocks, k)
     return (
         scored.withColumn("rank", F.row_number().over(best))
         .where(F.col("rank") <= k)
