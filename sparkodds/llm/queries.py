@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from sparkodds.llm import arc, forest, lang_id, mixing, tokenise, topk
+from sparkodds.llm import arc, forest, lang_id, mixing, tokenise, topk, toxicity
 
 QUERIES = {
     "op1_lang_id": lang_id.op1_lang_id,
     "op2_mixing": mixing.op2_mixing,
     "op4_top_k": topk.op4_top_k,
     "op5_sampled_pieces": tokenise.op5_sampled_pieces,
+    "op6_toxicity": toxicity.op6_toxicity,
     "op8_forest": forest.op8_forest,
     "op10_warc": arc.op10_warc,
 }

@@ -39,14 +39,16 @@ UNITS = re.compile(r"\n| ?[^ \n]+| +")
 REMEMBERED, CHARS = 150_000, 1_500_000
 
 
-def weights(vocabulary: pieces.Vocabulary) -> np.ndarray:
+def weights(vocabulary: pieces.Vocabulary, power: float = 0.5) -> np.ndarray:
     """Piece probabilities by Zipf's law over the vocabulary's order, which is the
-    order of usefulness; byte pieces come after all others."""
+    order of usefulness; byte pieces come after all others. A power below 1 makes
+    segmentations more alike in probability, so that sampling varies more."""
     p = np.zeros(len(vocabulary))
     own = set(vocabulary.byte)
     ranked = [i for i, x in enumerate(vocabulary.pieces) if x and i not in own]
     p[ranked] = 1 / (10 + np.arange(len(ranked)))
     p[vocabulary.byte] = 1 / (10 + len(ranked))
+    p[p > 0] **= power
     return p / p.sum()
 
 
@@ -118,8 +120,9 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 def uniform(key: np.ndarray, place: np.ndarray, step: int) -> np.ndarray:
     """Numbers in [0, 1) by row key, unit and step."""
-    x = mixed(key + place * np.uint64(0x9E3779B97F4A7C15)) + np.uint64(step + 1) * np.uint64(0xD1342543DE82EF95)
-    return (mixed(x) >> np.uint64(11)).astype(np.float64) * 2.0**-53
+    of_step = np.uint64((step + 1) * 0xD1342543DE82EF95 % 2**64)
+    x = mixed(mixed(key + place * np.uint64(0x9E3779B97F4A7C15)) + of_step)
+    return (x >> np.uint64(11)).astype(np.float64) * 2.0**-53
 
 
 def row_key(key: object, seed: int) -> int:
