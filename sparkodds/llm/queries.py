@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sparkodds.llm import arc, forest, lang_id, mixing, tokenise, topk, toxicity
+from sparkodds.llm import arc, forest, jaccard_join, lang_id, mixing, tokenise, topk, toxicity
 
 QUERIES = {
     "op1_lang_id": lang_id.op1_lang_id,
@@ -11,11 +11,13 @@ QUERIES = {
     "op5_sampled_pieces": tokenise.op5_sampled_pieces,
     "op6_toxicity": toxicity.op6_toxicity,
     "op8_forest": forest.op8_forest,
+    "op9_jaccard": jaccard_join.op9_jaccard,
     "op10_warc": arc.op10_warc,
 }
 
 ORACLES = {
     "op2_mixing": mixing.OP2_SQL,
     "op4_top_k": topk.OP4_SQL,
+    "op9_jaccard": jaccard_join.OP9_SQL,
     "op10_warc": arc.OP10_SQL,
 }
