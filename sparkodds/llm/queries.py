@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sparkodds.llm import arc, forest, jaccard_join, lang_id, mixing, tokenise, topk, toxicity
+from sparkodds.llm import arc, forest, jaccard_join, lang_id, line_dedup, mixing, tokenise, topk, toxicity
 
 QUERIES = {
     "op1_lang_id": lang_id.op1_lang_id,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_top_k": topk.op4_top_k,
     "op5_sampled_pieces": tokenise.op5_sampled_pieces,
     "op6_toxicity": toxicity.op6_toxicity,
+    "op7_line_dedup": line_dedup.op7_line_dedup,
     "op8_forest": forest.op8_forest,
     "op9_jaccard": jaccard_join.op9_jaccard,
     "op10_warc": arc.op10_warc,
@@ -18,6 +19,7 @@ QUERIES = {
 ORACLES = {
     "op2_mixing": mixing.OP2_SQL,
     "op4_top_k": topk.OP4_SQL,
+    "op7_line_dedup": line_dedup.OP7_SQL,
     "op9_jaccard": jaccard_join.OP9_SQL,
     "op10_warc": arc.OP10_SQL,
 }
