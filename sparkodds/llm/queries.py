@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from sparkodds.llm import arc, forest, jaccard_join, lang_id, line_dedup, mixing, tokenise, topk, toxicity
+from sparkodds.llm import arc, forest, jaccard_join, lang_id, licences, line_dedup, mixing, tokenise, topk, toxicity
 
 QUERIES = {
     "op1_lang_id": lang_id.op1_lang_id,
     "op2_mixing": mixing.op2_mixing,
+    "op3_licences": licences.op3_licences,
     "op4_top_k": topk.op4_top_k,
     "op5_sampled_pieces": tokenise.op5_sampled_pieces,
     "op6_toxicity": toxicity.op6_toxicity,
@@ -18,6 +19,7 @@ QUERIES = {
 
 ORACLES = {
     "op2_mixing": mixing.OP2_SQL,
+    "op3_licences": licences.OP3_SQL,
     "op4_top_k": topk.OP4_SQL,
     "op7_line_dedup": line_dedup.OP7_SQL,
     "op9_jaccard": jaccard_join.OP9_SQL,
