@@ -1,21 +1,63 @@
-"""Documents through the corpus operators, one stage after the other."""
+"""Documents through the corpus operators, one stage after the other.
+
+Every stage takes (spark, docs, sf_dir) and gives a DataFrame, which is written
+and read again as the next one's docs. All but the last give the columns of
+documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sparkodds.llm import mixing
+from sparkodds.llm import jaccard_join, line_dedup, mixing, pieces, tokenise, toxicity
+from sparkodds.llm.common import columns
 from sparkodds.session import materialize
 
 
+def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity score doesn't reject."""
+    model, logp = toxicity.learned(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    # Numbered on the way, so that no column can be mistaken for the operator's.
+    kept = [c.alias(f"__{nth}") for nth, c in enumerate(columns(docs))]
+    scored = toxicity.score(docs, model, logp, kept)
+    return scored.where(F.col("score") < toxicity.TOXIC).drop("score").toDF(*docs.columns)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that match an earlier line, n_chars brought up to date."""
+    length = F.coalesce(F.length("row.text").cast("long"), F.col("row.n_chars").cast("long"))
+    return line_dedup.dedup(docs).select(F.col("row").withField("n_chars", length).alias("row")).select("row.*")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document with the smallest id."""
+    found = jaccard_join.near_duplicates(docs)
+    others = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("of")).distinct()
+    rows = docs.select(F.struct("*").alias("row"))
+    return rows.join(others, F.col("row.doc_id") == F.col("of"), "left_anti").select("row.*")
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each source gives its target share; rows repeat as often as they are taken."""
     return mixing.mixed(docs)
 
 
-STAGES = [("mixing", mix)]
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with ``pieces``, a sampled segmentation of the text. A column
+    of that name is replaced."""
+    return tokenise.encode(docs, pieces.load(), columns(docs.drop("pieces")))
+
+
+STAGES = [
+    ("toxicity", toxic),
+    ("line_dedup", lines),
+    ("jaccard_join", near_duplicates),
+    ("mixing", mix),
+    ("pieces", tokens),
+]
 
-#: Models and sampled segmentations can't be written in SQL.
+#: Learned models and sampled segmentations can't be written in SQL.
 ORACLE_SQL = None
 
 
