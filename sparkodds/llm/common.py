@@ -20,6 +20,15 @@ def columns(df: DataFrame) -> list[Column]:
     return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
 
 
+def numbered(docs: DataFrame, keep: list[Column | str], **more: Column) -> tuple[DataFrame, list[str], str]:
+    """``keep`` columns under numbers, so that they clash with nothing, and more
+    columns; the names they had; their part of a schema."""
+    kept = docs.select(*keep)
+    rows = docs.select(*keep, *more.values()).toDF(*(f"__{i}" for i in range(len(kept.columns))), *more)
+    schema = ", ".join(f"__{i} {f.dataType.simpleString()}" for i, f in enumerate(kept.schema.fields))
+    return rows, kept.columns, schema
+
+
 def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 

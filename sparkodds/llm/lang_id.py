@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkodds.llm import pieces
-from sparkodds.llm.common import crc_mod, read, spans
+from sparkodds.llm.common import crc_mod, numbered, read, spans
 from sparkodds.session import materialize
 
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -105,14 +105,12 @@ def train(docs: DataFrame, vocabulary: pieces.Vocabulary, train_docs: int = 4000
     return Model(languages, shares["count"].to_numpy(float) / shares["count"].sum(), p)
 
 
-def predict(docs: DataFrame, vocabulary: pieces.Vocabulary, model: Model, keep: list[Column]) -> DataFrame:
+def predict(docs: DataFrame, vocabulary: pieces.Vocabulary, model: Model, keep: list[Column | str]) -> DataFrame:
     """``keep`` columns, lang_pred and score (the language's share of the
     probability) of every document's whole text."""
     context = docs.sparkSession.sparkContext
     shared, learned = context.broadcast(vocabulary), context.broadcast(model)
-    rows = docs.select(*keep, F.col("text").alias("__text"))
-    names = rows.columns[:-1]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
+    rows, names, schema = numbered(docs, keep, text=F.col("text"))
 
     def score(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model, vocabulary = learned.value, shared.value
@@ -120,7 +118,7 @@ def predict(docs: DataFrame, vocabulary: pieces.Vocabulary, model: Model, keep:
         known: dict[str, int] = {}
         held = np.zeros((0, n_lang))
         for part in parts:
-            texts = [t if isinstance(t, str) else "" for t in part["__text"]]
+            texts = [t if isinstance(t, str) else "" for t in part["text"]]
             best, share = [], []
             for piece in spans([len(t) for t in texts], CHARS) if n_lang else ():
                 split = [words(t) for t in texts[piece]]
@@ -136,11 +134,11 @@ def predict(docs: DataFrame, vocabulary: pieces.Vocabulary, model: Model, keep:
                     top = int(total.argmax())
                     best.append(model.languages[top] if s else "und")
                     share.append(1 / np.exp(total - total[top]).sum() if s else 0.0)
-            out = part[names].copy()
+            out = part.drop(columns="text")
             out["lang_pred"], out["score"] = (best, share) if n_lang else ("und", 0.0)
             yield out
 
-    return rows.mapInPandas(score, f"{schema}, lang_pred string, score double")
+    return rows.mapInPandas(score, f"{schema}, lang_pred string, score double").toDF(*names, "lang_pred", "score")
 
 
 def op1_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:

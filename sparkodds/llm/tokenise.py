@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkodds.llm import pieces
-from sparkodds.llm.common import read, spans
+from sparkodds.llm.common import numbered, read, spans
 
 UNITS = re.compile(r"\n| ?[^ \n]+| +")
 
@@ -170,34 +170,29 @@ def encode(
 ) -> DataFrame:
     """``keep`` columns and ``pieces``: piece ids of a sampled segmentation."""
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
-    rows = docs.select(*keep, F.col(key).cast("string").alias("__key"), F.col("text").alias("__text"))
-    kept = rows.drop("__key", "__text").schema
-    names = kept.names
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.fields), "pieces array<int>"])
+    rows, names, schema = numbered(docs, keep, key=F.col(key).cast("string"), text=F.col("text"))
 
     def cut(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lattices = Lattices(shared.value, weights(shared.value))
         for part in parts:
-            texts = [t if isinstance(t, str) else "" for t in part["__text"]]
-            keys = [row_key(k, seed) for k in part["__key"]]
+            texts = [t if isinstance(t, str) else "" for t in part["text"]]
+            keys = [row_key(k, seed) for k in part["key"]]
             for piece in spans([len(t) for t in texts], CHARS):
                 ids = sample(lattices, texts[piece], keys[piece])
-                out = part[names].iloc[piece].copy()
-                missing = part["__text"].iloc[piece].isna()
+                out = part.drop(columns=["key", "text"]).iloc[piece].copy()
+                missing = part["text"].iloc[piece].isna()
                 out["pieces"] = pd.Series(
                     [None if m else i.astype(np.int32) for i, m in zip(ids, missing, strict=True)], out.index, object
                 )
                 yield out
 
-    return rows.mapInPandas(cut, schema)
+    return rows.mapInPandas(cut, f"{schema}, pieces array<int>").toDF(*names, "pieces")
 
 
 def decode(rows: DataFrame, vocabulary: pieces.Vocabulary, keep: list[Column | str]) -> DataFrame:
     """``keep`` columns and ``decoded``, the text of the pieces."""
     shared = rows.sparkSession.sparkContext.broadcast(vocabulary)
-    rows = rows.select(*keep, F.col("pieces").alias("__pieces"))
-    kept = rows.drop("__pieces").schema
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.fields), "decoded string"])
+    rows, names, schema = numbered(rows, keep, pieces=F.col("pieces"))
 
     def join(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = [pieces.marked(p).encode() for p in shared.value.pieces]
@@ -205,13 +200,13 @@ def decode(rows: DataFrame, vocabulary: pieces.Vocabulary, keep: list[Column | s
             own[piece] = bytes([value])
         get = own.__getitem__
         for part in parts:
-            for piece in spans([0 if i is None else len(i) for i in part["__pieces"]], CHARS):
-                out = part[kept.names].iloc[piece].copy()
-                ids = part["__pieces"].iloc[piece]
+            for piece in spans([0 if i is None else len(i) for i in part["pieces"]], CHARS):
+                out = part.drop(columns="pieces").iloc[piece].copy()
+                ids = part["pieces"].iloc[piece]
                 out["decoded"] = [None if i is None else b"".join(map(get, i.tolist())).decode("utf-8", "replace") for i in ids]
                 yield out
 
-    return rows.mapInPandas(join, schema)
+    return rows.mapInPandas(join, f"{schema}, decoded string").toDF(*names, "decoded")
 
 
 def op5_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

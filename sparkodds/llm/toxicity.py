@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkodds.llm.common import crc_mod, read
+from sparkodds.llm.common import crc_mod, numbered, read
 
 # What a sign may stand for.
 LOOK_ALIKES = {
@@ -309,23 +309,21 @@ def score(docs: DataFrame, model: Model, logp: np.ndarray, keep: list[Column | s
     """``keep`` columns, and the score of every document's whole restored text."""
     context = docs.sparkSession.sparkContext
     shared, sent = context.broadcast(model), context.broadcast(logp)
-    rows = docs.select(*keep, F.col("text").alias("__text"))
-    kept = rows.drop("__text").schema
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.fields), "score double"])
+    rows, names, schema = numbered(docs, keep, text=F.col("text"))
 
     def parts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         decoder, known, model = Decoder(sent.value), {}, shared.value
         for part in frames:
             x = []
-            for words in restored_words(part["__text"], decoder):
+            for words in restored_words(part["text"], decoder):
                 if len(known) > remembered:
                     known.clear()
                 x.append(model.findings(words, known))
-            out = part[kept.names].copy()
+            out = part.drop(columns="text")
             out["score"] = model.score(np.array(x).reshape(-1, 3))
             yield out
 
-    return rows.mapInPandas(parts, schema)
+    return rows.mapInPandas(parts, f"{schema}, score double").toDF(*names, "score")
 
 
 def learned(docs: DataFrame, labels: DataFrame) -> tuple[Model, np.ndarray]:
