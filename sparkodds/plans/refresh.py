@@ -4,6 +4,7 @@ the match is good enough."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from sparkodds import schemas
 from sparkodds.operators import matching, planning, quality
@@ -12,20 +13,36 @@ from sparkodds.session import materialize
 from sparkodds.sources import sinks
 
 
+def ordered(df: DataFrame, name: str) -> DataFrame:
+    """A registered table's columns, and where the row stood in its pages."""
+    return df.select(*schemas.conformed(df, name), *(c for c in df.columns if c == "_order"))
+
+
 def land_markets(
     events: DataFrame, historical: DataFrame, live: DataFrame, trades: DataFrame, path: str
 ) -> None:
     """Upsert one run's items into the raw tables below ``path``. The live tier
-    wins over the historical one. Finalized markets are marked as complete last,
-    so a run that fails earlier marks nothing."""
-    events = quality.require_rows(schemas.conform(events, "events"), "events")
-    markets = materialize(
-        merge_tiers([schemas.conform(historical, "markets"), schemas.conform(live, "markets")], ["ticker"])
-    )
+    wins over the historical one, then the last in its pages where the items have
+    ``_order`` (``landing.page_items``). Trades are stored by date, so a run
+    rewrites the days it has trades of. Finalized markets are marked as complete
+    last, so a run that fails earlier marks nothing."""
+    events = quality.require_rows(ordered(events, "events"), "events")
+    tiers = [ordered(historical, "markets"), ordered(live, "markets")]
+    paged = ["_order"] if all("_order" in t.columns for t in tiers) else []
+    tiers = tiers if paged else [t.drop("_order") for t in tiers]
+    markets = materialize(merge_tiers(tiers, ["ticker"], paged).drop("_order"))
     quality.require_rows(markets, "markets")
-    sinks.upsert_table(events, f"{path}/events", ["event_ticker"])
+    sinks.upsert_table(events, f"{path}/events", ["event_ticker"], order=[c for c in events.columns if c == "_order"])
     sinks.upsert_table(markets, f"{path}/markets", ["ticker"])
-    sinks.upsert_table(schemas.conform(trades, "trades"), f"{path}/trades", ["trade_id"])
+    trades = ordered(trades, "trades").withColumn("trade_date", F.substring("created_time", 1, 10))
+    sinks.upsert_table(
+        trades,
+        f"{path}/trades",
+        ["trade_id"],
+        partition_by=["trade_date"],
+        order=[c for c in trades.columns if c == "_order"],
+        check_moves=False,
+    )
     sinks.upsert_table(planning.completed(markets), f"{path}/kalshi_trade_pulls", ["ticker"])
 
 

@@ -162,13 +162,17 @@ def snake_columns(df: DataFrame) -> DataFrame:
     )
 
 
-def conform(df: DataFrame, name: str) -> DataFrame:
+def conformed(df: DataFrame, name: str) -> list[Column]:
     """Columns of a registered table, matched by name and cast; absent ones are NULL."""
     out: list[Column] = []
     for field in table_schema(name).fields:
         source = F.col(field.name) if field.name in df.columns else F.lit(None)
         out.append(source.cast(field.dataType).alias(field.name))
-    return df.select(*out)
+    return out
+
+
+def conform(df: DataFrame, name: str) -> DataFrame:
+    return df.select(*conformed(df, name))
 
 
 def create_table(spark: SparkSession, name: str, path: str | None = None) -> None:

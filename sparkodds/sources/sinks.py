@@ -1,42 +1,108 @@
-"""Writing tables: rebuild, append, keyed upsert, exports."""
+"""Writing tables: rebuild, append, keyed upsert, exports.
+
+A whole table is replaced by writing the new one beside it and renaming: readers
+see the old or the new table, and a job that dies leaves the old one, at its place
+or as ``<path>.prior``, from where the next call brings it back. Partitions are
+replaced by Spark's dynamic overwrite, which stages them in the same way.
+"""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparkodds.functions.timefn import from_micros
 from sparkodds.operators.latest import delete_insert, keep_last, upsert
 from sparkodds.session import materialize
 
-MAX_LISTED_PARTITIONS = 1000
+
+def _file_system(spark: SparkSession, path: str):
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return hadoop(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
+    """Whether there is a table; one that a dead job has left aside is put back."""
+    fs, at = _file_system(spark, path)
+    if not fs.exists(at(path)) and fs.exists(at(f"{path}.prior")):
+        fs.rename(at(f"{path}.prior"), at(path))
+    return fs.exists(at(path))
+
+
+def stored_table(spark: SparkSession, path: str, like: DataFrame, partition_by: Sequence[str] = ()) -> DataFrame:
+    """A table with its partition columns in the types of ``like``: inferred ones
+    would turn a text 0123 into a number. Columns that both have must agree."""
+    types = {f.name: f.dataType for f in like.schema.fields}
+    fields = [
+        T.StructField(f.name, types.get(f.name, f.dataType) if f.name in partition_by else f.dataType)
+        for f in spark.read.parquet(path).schema.fields
+    ]
+    for f in fields:
+        if types.get(f.name, f.dataType) != f.dataType:
+            raise ValueError(f"{path}: {f.name} is stored as {f.dataType.simpleString()}, not {types[f.name].simpleString()}")
+    return spark.read.schema(T.StructType(fields)).parquet(path)
+
+
+def publish(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
+    """Write a table beside the old one, then put it in its place."""
+    spark = df.sparkSession
+    fs, at = _file_system(spark, path)
+    fresh = f"{path}.next-{uuid.uuid4().hex}"
+    df.write.partitionBy(*partition_by).parquet(fresh)
+    if exists(spark, path):
+        fs.delete(at(f"{path}.prior"), True)
+        fs.rename(at(path), at(f"{path}.prior"))
+    if not fs.rename(at(fresh), at(path)):
+        raise OSError(f"{fresh} could not be renamed to {path}")
+    fs.delete(at(f"{path}.prior"), True)
 
 
 def rebuild(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> DataFrame:
     """Create or replace a table from a query and read it back."""
-    df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
-    return df.sparkSession.read.parquet(path)
+    publish(df, path, partition_by)
+    return stored_table(df.sparkSession, path, df, partition_by)
 
 
 def with_built_at(info: DataFrame) -> DataFrame:
     return info.withColumn("built_at", F.current_timestamp())
 
 
+def reserve_ids(spark: SparkSession, path: str, n: int) -> int:
+    """The first of n ids that no other append to the table gets.
+
+    Ranges are files of a hidden folder named by their start and holding their
+    end; a file can be created once, so of two appenders one tries again."""
+    fs, at = _file_system(spark, path)
+    folder = at(f"{path}/_ids")
+    while True:
+        taken = sorted(s.getPath().getName() for s in fs.listStatus(folder)) if fs.exists(folder) else []
+        taken = [name for name in taken if name.isdigit()]
+        first = 0
+        if taken:
+            stream = fs.open(at(f"{path}/_ids/{taken[-1]}"))
+            first = stream.readLong()
+            stream.close()
+        try:
+            stream = fs.create(at(f"{path}/_ids/{first:020d}"), False)
+        except Py4JJavaError:
+            continue
+        stream.writeLong(first + n)
+        stream.close()
+        return first
+
+
 def append(df: DataFrame, path: str, stamp: str = "timestamp", partition_by: Sequence[str] = ()) -> None:
     """Append rows with their ingestion time (naive UTC) and an id above all
-    stored ones, unique but not dense."""
+    stored ones, unique but not dense. Stored rows aren't read."""
     spark = df.sparkSession
-    first = 0
-    if exists(spark, path):
-        first = (spark.read.parquet(path).agg(F.max("id")).first()[0] or 0) + 1
-    stamped = df.withColumns(
+    rows = materialize(df)
+    first = reserve_ids(spark, path, rows.rdd.getNumPartitions() << 33)
+    stamped = rows.withColumns(
         {
             stamp: from_micros(F.unix_micros(F.current_timestamp())),
             "id": F.lit(first) + F.monotonically_increasing_id(),
@@ -46,19 +112,27 @@ def append(df: DataFrame, path: str, stamp: str = "timestamp", partition_by: Seq
 
 
 def _in_partitions(stored: DataFrame, incoming: DataFrame, partition_by: Sequence[str]) -> DataFrame:
-    """Stored rows of the partitions the incoming rows touch: a literal filter,
-    which prunes directories, or a semi-join when the partitions are many."""
-    touched = incoming.select(*partition_by).distinct()
-    some = touched.limit(MAX_LISTED_PARTITIONS + 1).collect()
-    if len(some) > MAX_LISTED_PARTITIONS:
-        return stored.join(touched, list(partition_by), "left_semi")
-    wanted = F.lit(False)
-    for row in some:
-        here = F.lit(True)
-        for c in partition_by:
-            here = here & F.col(c).eqNullSafe(F.lit(row[c]))
-        wanted = wanted | here
-    return stored.filter(wanted)
+    """Stored rows of the partitions that the incoming rows touch.
+
+    Each column's values prune directories; the null-safe join leaves just the
+    combinations. Both hold at most one entry for each partition, which the
+    driver lists anyway."""
+    touched = materialize(incoming.select(*partition_by).distinct())
+    for c in partition_by:
+        values = [r[0] for r in touched.select(c).distinct().collect()]
+        wanted = F.col(c).isin([v for v in values if v is not None])
+        stored = stored.where(wanted | F.col(c).isNull() if None in values else wanted)
+    same = [F.col(c).eqNullSafe(F.col(f"_touched_{c}")) for c in partition_by]
+    return stored.join(touched.toDF(*(f"_touched_{c}" for c in partition_by)), same, "left_semi")
+
+
+def _write_touched(merged: DataFrame, path: str, partition_by: Sequence[str]) -> None:
+    (
+        merged.write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy(*partition_by)
+        .parquet(path)
+    )
 
 
 def upsert_table(
@@ -70,6 +144,8 @@ def upsert_table(
     check_moves: bool = True,
 ) -> None:
     """Insert-or-replace into a parquet table, rewriting touched partitions only.
+    Of incoming rows of one key the last in ``order`` wins; columns of ``order``
+    that start with an underscore are not stored.
 
     A key must stay in its partition; a key that would move is an error, because
     its old row sits in a partition that is not rewritten. The check reads the
@@ -77,35 +153,42 @@ def upsert_table(
     something a key fixes, such as a trade's date.
     """
     spark = incoming.sparkSession
+    latest = keep_last(incoming, keys, order or keys).drop(*(c for c in order if c.startswith("_")))
     if not exists(spark, path):
-        latest = keep_last(incoming, keys, order or keys)
-        latest.write.partitionBy(*partition_by).parquet(path)
+        publish(latest, path, partition_by)
         return
-    stored = spark.read.parquet(path)
+    latest = materialize(latest)
+    stored = stored_table(spark, path, latest, partition_by)
     movable = [c for c in partition_by if c not in keys]
     if movable and check_moves:
         moved = (
             stored.select(*keys, *[F.col(c).alias(f"_old_{c}") for c in movable])
-            .join(incoming.select(*keys, *movable), list(keys))
+            .join(latest.select(*keys, *movable), list(keys))
             .filter(" OR ".join(f"NOT (_old_{c} <=> {c})" for c in movable))
         )
         if not moved.isEmpty():
             raise ValueError(f"a key of {path} would move between partitions {list(partition_by)}")
-    affected = _in_partitions(stored, incoming, partition_by) if partition_by else stored
+    if not partition_by:
+        publish(upsert(stored, latest, keys), path)
+        return
     # the result reads the files it replaces: write it aside first
-    merged = materialize(upsert(affected, incoming, keys, order))
-    merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
-        *partition_by
-    ).parquet(path)
+    _write_touched(materialize(upsert(_in_partitions(stored, latest, partition_by), latest, keys)), path, partition_by)
 
 
-def replace_keys(incoming: DataFrame, path: str, key: str) -> None:
-    """Delete the stored rows of the incoming keys, then insert."""
+def replace_keys(incoming: DataFrame, path: str, key: str, partition_by: Sequence[str] = ()) -> None:
+    """Delete the stored rows of the incoming keys, then insert. With partitions,
+    whose columns a key must fix, only touched ones are rewritten."""
     spark = incoming.sparkSession
-    merged = incoming
-    if exists(spark, path):
-        merged = materialize(delete_insert(spark.read.parquet(path), incoming, key))
-    merged.write.mode("overwrite").parquet(path)
+    if not exists(spark, path):
+        publish(incoming, path, partition_by)
+        return
+    incoming = materialize(incoming)
+    stored = stored_table(spark, path, incoming, partition_by)
+    if not partition_by:
+        publish(delete_insert(stored, incoming, key), path)
+        return
+    merged = materialize(delete_insert(_in_partitions(stored, incoming, partition_by), incoming, key))
+    _write_touched(merged, path, partition_by)
 
 
 def export_csv(df: DataFrame, path: str) -> None:

@@ -139,3 +139,50 @@ def test_gates(spark):
     quality.gate(bad.filter("check = 'sum'"))
     with pytest.raises(quality.QualityError, match="no rows in events"):
         quality.require_rows(spark.range(0), "events")
+
+
+def test_partitions_keep_their_type_and_null(spark, tmp_path):
+    """Text that looks like a number, and no value at all, in many partitions."""
+    path, ddl = str(tmp_path / "t"), "id bigint, p string, v string"
+    rows = [(1, "0123", "old"), (2, None, "stays"), (3, "0007", "stays")] + [(10 + i, f"{i:04d}", "x") for i in range(30)]
+    sinks.upsert_table(spark.createDataFrame(rows, ddl), path, ["id"], ["p"])
+    sinks.upsert_table(spark.createDataFrame([(1, "0123", "new"), (4, None, "added")], ddl), path, ["id"], ["p"])
+    stored = sinks.stored_table(spark, path, spark.createDataFrame([], ddl), ["p"])
+    got = {r.id: (r.p, r.v) for r in stored.collect()}
+    assert stored.count() == len(got) == 34
+    assert got[1] == ("0123", "new") and got[2] == (None, "stays") and got[3] == ("0007", "stays") and got[4] == (None, "added")
+    sinks.replace_keys(spark.createDataFrame([(1, "0123", "a"), (1, "0123", "b")], ddl), path, "id", ["p"])
+    assert sorted(r.v for r in sinks.stored_table(spark, path, stored, ["p"]).filter("p = '0123'").collect()) == ["a", "b"]
+    with pytest.raises(ValueError, match="v is stored as string"):
+        sinks.upsert_table(spark.createDataFrame([(1, "0123", 5)], "id bigint, p string, v int"), path, ["id"], ["p"])
+
+
+def test_last_of_one_batch_wins(spark, tmp_path):
+    path = str(tmp_path / "t")
+    rows = [(1, i, f"v{i}") for i in range(200)]
+    for _ in range(2):
+        sinks.upsert_table(spark.createDataFrame(rows, "id bigint, _order int, v string").repartition(7), path, ["id"], order=["_order"])
+    assert [tuple(r) for r in spark.read.parquet(path).collect()] == [(1, "v199")]
+
+
+def test_a_writer_that_dies_loses_nothing(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "t")
+    sinks.rebuild(spark.range(5), path)
+    boom = spark.range(5).select(F.expr("id div 0 AS id"))
+    with pytest.raises(Exception, match="DIVIDE_BY_ZERO"):
+        sinks.rebuild(boom, path)
+    assert spark.read.parquet(path).count() == 5
+    # between the two renames
+    fs, at = sinks._file_system(spark, path)
+    fs.rename(at(path), at(f"{path}.prior"))
+    assert sinks.exists(spark, path) and spark.read.parquet(path).count() == 5
+
+
+def test_appends_reserve_their_ids(spark, tmp_path):
+    path = str(tmp_path / "log")
+    starts = [sinks.reserve_ids(spark, path, 10) for _ in range(3)]
+    assert starts == [0, 10, 20]
+    for _ in range(3):
+        sinks.append(spark.range(50).selectExpr("id AS n").repartition(3), path)
+    ids = [r.id for r in spark.read.parquet(path).select("id").collect()]
+    assert len(set(ids)) == 150 and min(ids) >= 30

@@ -45,3 +45,19 @@ def test_land_markets(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/trades").count() == 1
     with pytest.raises(QualityError, match="no rows in events"):
         refresh.land_markets(events.limit(0), old, markets, trades, str(tmp_path))
+
+
+def test_last_item_of_the_pages_wins(spark, tmp_path):
+    events, markets, *_ = raw(spark)
+    place = "named_struct('_page', page, '_pos', pos) AS _order"
+    repeats = spark.range(300).selectExpr(
+        f"'{E1}-STL' AS ticker", f"'{E1}' AS event_ticker", "concat('s', id) AS status", "id div 10 AS page", "id % 10 AS pos"
+    ).selectExpr("ticker", "event_ticker", "status", place).repartition(5)
+    trades = spark.range(200).selectExpr(
+        "'t' AS trade_id", f"'{E1}-STL' AS ticker", "cast(id as string) AS count_fp", "false AS is_block_trade",
+        "'2026-04-30T16:00:00Z' AS created_time", "id div 10 AS page", "id % 10 AS pos"
+    ).selectExpr("*", place).drop("page", "pos").repartition(5)
+    for _ in range(2):
+        refresh.land_markets(events, repeats.limit(0), repeats, trades, str(tmp_path))
+    assert [r.status for r in spark.read.parquet(f"{tmp_path}/markets").collect()] == ["s299"]
+    assert [(r.count_fp, str(r.trade_date)) for r in spark.read.parquet(f"{tmp_path}/trades").collect()] == [("199", "2026-04-30")]
