@@ -33,7 +33,7 @@ def asof_join(
 
     Among right rows at one time the last in ``tie`` order wins. A matched row
     whose values are NULL is still a match; ``how='inner'`` drops left rows with
-    no match, ``'left'`` keeps them.
+    no match, ``'left'`` keeps them, those with a NULL key or time among them.
     """
     l = left.select(
         *[F.col(k) for k in keys],
@@ -55,7 +55,13 @@ def asof_join(
     ).filter("_side = 1")
     if how == "inner":
         filled = filled.filter("_match IS NOT NULL")
-    return filled.select("_left.*", *[F.col(f"_match.{v}").alias(v) for v in values])
+    found = filled.select("_left", "_match")
+    if how == "left":
+        placed = F.col("_ts").isNotNull()
+        for k in keys:
+            placed = placed & F.col(k).isNotNull()
+        found = union(found, l.filter(~placed).select("_left"), missing=True)
+    return found.select("_left.*", *[F.col(f"_match.{v}").alias(v) for v in values])
 
 
 def asof_legs(

@@ -2,7 +2,7 @@
 
 Updates (see ``sources.landing.book_updates``): market_id, side, source_ts, seq,
 is_snapshot, levels (JSON of [price, qty] pairs), price, delta. Within a book
-side they apply in (source_ts, seq) order: a snapshot replaces the side, a delta
+side they apply in (source_ts, seq) order: a snapshot replaces the side (of a price listed twice the last listing counts), a delta
 adds to one level, a level at or below zero goes, a delta before any snapshot is
 ignored.
 
@@ -17,10 +17,10 @@ and slices then replay independently.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkodds.functions.books import levels as parse_levels
@@ -40,6 +40,14 @@ ORDER = ["source_ts", "seq"]
 REPLAY_SCHEMA = "market_id string, side string, source_ts timestamp_ntz, seq bigint, book_json string"
 
 
+def last_listings(levels: Column) -> Column:
+    """A side's parsed levels, each price once: as it is listed last."""
+    return F.filter(
+        levels,
+        lambda level, i: ~F.exists(F.slice(levels, i + 2, F.size(levels)), lambda later: F.get(later, F.lit(0)) == F.get(level, F.lit(0))),
+    )
+
+
 def with_epoch(updates: DataFrame, slice_seconds: float = DEFAULT_SLICE_SECONDS) -> DataFrame:
     """Updates numbered by the snapshot they follow; those before any are dropped."""
     counted = running_sum(
@@ -51,9 +59,10 @@ def with_epoch(updates: DataFrame, slice_seconds: float = DEFAULT_SLICE_SECONDS)
 def level_states(updates: DataFrame, slice_seconds: float = DEFAULT_SLICE_SECONDS) -> DataFrame:
     """Quantity (in hundredths) of a level after each update that touches it.
     ``updates`` as from ``with_epoch``, materialized."""
-    snapshot_level = F.explode(parse_levels("levels")).alias("_l")
+    parsed = updates.filter("is_snapshot").select(*BOOK, "epoch", *ORDER, parse_levels("levels").alias("_ls"))
     from_snapshots = (
-        updates.filter("is_snapshot").select(*BOOK, "epoch", *ORDER, snapshot_level)
+        parsed.select(*BOOK, "epoch", *ORDER, F.explode_outer(last_listings(F.col("_ls"))).alias("_l"))
+        .filter("_l IS NOT NULL")
         .select(
             *BOOK, "epoch", *ORDER,
             F.get("_l", F.lit(0)).alias("price"),
@@ -136,8 +145,8 @@ def book_text(book: dict[str, int]) -> str:
 def apply_update(book: dict[str, int], levels: str | None, price: str | None, delta: int | None) -> dict[str, int]:
     """The side after one update; ``levels`` is set for snapshots."""
     if levels is not None:
-        fresh = ((p, hundredths(q)) for p, q in json.loads(levels))
-        return {p: q for p, q in fresh if q > 0}
+        listed = {p: hundredths(q) for p, q in json.loads(levels)}  # the last listing of a price
+        return {p: q for p, q in listed.items() if q > 0}
     left = book.get(price, 0) + delta
     if left > 0:
         book[price] = left
@@ -146,26 +155,37 @@ def apply_update(book: dict[str, int], levels: str | None, price: str | None, de
     return book
 
 
-def _replay_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows of whole (book side, slice) groups in order: one side is held at a
-    time and dropped when the next group begins."""
-    group, book = None, {}
-    for pdf in batches:
-        out = []
-        for market, side, cut, ts, seq, levels, price, delta in zip(
-            pdf["market_id"], pdf["side"], pdf["slice"], pdf["source_ts"], pdf["seq"], pdf["levels"],
-            pdf["price"], pdf["delta"],
-        ):
-            if (market, side, cut) != group:
-                group, book = (market, side, cut), {}
-            book = apply_update(book, levels, price, None if levels is not None else int(delta))
-            if not pd.isna(ts):  # the opening book itself is not an update
-                out.append((market, side, ts, int(seq), book_text(book)))
-        yield pd.DataFrame(out, columns=["market_id", "side", "source_ts", "seq", "book_json"])
-
-
-def replay(updates: DataFrame, slice_seconds: float = DEFAULT_SLICE_SECONDS) -> DataFrame:
-    """The whole book side after every applied update."""
+def _replay_rows(keep: Sequence[str]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Rows of whole (book side, slice) groups in order: one side is held at a
+        time and dropped when the next group begins."""
+        group, book = None, {}
+        for pdf in batches:
+            texts = []
+            for market, side, cut, ts, levels, price, delta in zip(
+                pdf["market_id"], pdf["side"], pdf["slice"], pdf["source_ts"], pdf["levels"], pdf["price"], pdf["delta"]
+            ):
+                if (market, side, cut) != group:
+                    group, book = (market, side, cut), {}
+                book = apply_update(book, levels, price, None if levels is not None else int(delta))
+                texts.append(None if pd.isna(ts) else book_text(book))
+            # the opening book itself is not an update
+            out = pdf[["market_id", "side", "source_ts", "seq", *keep]].assign(book_json=texts)
+            yield out[pdf["source_ts"].notna()]
+
+    return rows
+
+
+def replay(
+    updates: DataFrame, slice_seconds: float = DEFAULT_SLICE_SECONDS, keep: Sequence[str] = ()
+) -> DataFrame:
+    """The whole book side after every applied update, with the update's ``keep``
+    columns (receive time, platform, the time as text, …), so that the rows are
+    stored snapshots as ``operators.books.quotes`` reads them.
+
+    Every slice that has updates lists its opening book, levels times slices in
+    all: the price of slices that replay independently. ``slice_seconds`` should
+    hold a busy book's slice to a few hundred thousand updates."""
     applied = materialize(with_epoch(materialize(updates), slice_seconds))
     openings = opening_books(applied, level_states(applied, slice_seconds), slice_seconds)
     messages = applied.select(
@@ -175,8 +195,10 @@ def replay(updates: DataFrame, slice_seconds: float = DEFAULT_SLICE_SECONDS) ->
         F.when(F.col("is_snapshot"), F.col("levels")).alias("levels"),
         "price",
         (F.col("delta") * 100).cast("double").alias("delta"),
+        *keep,
     )
     rows = union(messages, openings, missing=True)
     # NULLs sort first, so a slice begins with its opening book
     ordered = rows.repartition(*BOOK, "slice").sortWithinPartitions(*BOOK, "slice", *ORDER)
-    return ordered.mapInPandas(_replay_rows, REPLAY_SCHEMA)
+    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in applied.select(*keep).schema.fields] if keep else []
+    return ordered.mapInPandas(_replay_rows(list(keep)), ", ".join([REPLAY_SCHEMA, *kept]))

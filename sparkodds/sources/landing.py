@@ -44,10 +44,16 @@ def page_items(pages: DataFrame, key: str, order: Column | str | None = None) ->
     """Items of all pages, one row each; with ``order`` also ``_order``, the
     page's and the item's position."""
     if order is None:
-        return pages.select(F.explode(key).alias("_i")).select("_i.*")
-    return pages.select(col(order).alias("_page"), F.posexplode(key).alias("_pos", "_i")).select(
-        "_i.*", F.struct("_page", "_pos").alias("_order")
-    )
+        return each(pages, key, "_i").select("_i.*")
+    items = pages.select(col(order).alias("_page"), F.posexplode_outer(key).alias("_pos", "_i")).filter("_i IS NOT NULL")
+    return items.select("_i.*", F.struct("_page", "_pos").alias("_order"))
+
+
+def each(df: DataFrame, array: str, name: str, keep: Sequence[str] = ()) -> DataFrame:
+    """Items of an array column. A plain explode makes Spark test the array's size
+    below the projection that parses it, and so parse the JSON once more; an outer
+    one with a filter above parses once."""
+    return df.select(*keep, F.explode_outer(array).alias(name)).filter(F.col(name).isNotNull())
 
 
 def split_valid(df: DataFrame, required: Sequence[str]) -> tuple[DataFrame, DataFrame]:
@@ -75,7 +81,7 @@ def with_defaults(df: DataFrame, defaults: dict[str, object]) -> DataFrame:
 
 def schedule_games(schedule: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """``dates[].games[]`` to the 19 flat game columns."""
-    game = schedule.select(*keep, F.explode("dates").alias("d")).select(*keep, F.explode("d.games").alias("g"))
+    game = each(each(schedule, "dates", "d", keep), "d.games", "g", keep)
     sides = [
         c
         for side in ("away", "home")
@@ -105,7 +111,7 @@ def schedule_games(schedule: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
 
 def plays(play_by_play: DataFrame, game_pk: str = "game_pk") -> DataFrame:
     """``allPlays[]`` to the flat play columns."""
-    p = play_by_play.select(game_pk, F.explode("allPlays").alias("p"))
+    p = each(play_by_play, "allPlays", "p", [game_pk])
     return p.select(
         F.col(game_pk).alias("game_pk"),
         F.col("p.about.atBatIndex").alias("at_bat_index"),
@@ -121,9 +127,28 @@ def plays(play_by_play: DataFrame, game_pk: str = "game_pk") -> DataFrame:
 
 
 def win_probability(payloads: DataFrame, payload: str = "payload", game_pk: str = "game_pk") -> DataFrame:
-    """A payload that is itself an array, one row per at-bat."""
-    items = F.from_json(payload, schemas.WIN_PROBABILITY)
-    return payloads.select(F.col(game_pk).alias("game_pk"), F.explode(items).alias("w")).select(
+    """A payload that is itself an array, one row per at-bat; what can't be read
+    is left to ``win_probability_split``."""
+    return win_probability_split(payloads, payload, game_pk)[0]
+
+
+def win_probability_split(
+    payloads: DataFrame, payload: str = "payload", game_pk: str = "game_pk"
+) -> tuple[DataFrame, DataFrame]:
+    """(at-bat rows, quarantined rows with game_pk, ``reason`` and the payload or
+    item as text): payloads that are no array or are cut short, and items without
+    an at-bat index."""
+    text = F.trim(payload)
+    items = payloads.select(
+        F.col(game_pk).alias("game_pk"),
+        F.col(payload).alias("_text"),
+        F.when(text.startswith("[") & text.endswith("]"), F.from_json(payload, schemas.WIN_PROBABILITY)).alias("_items"),
+    )
+    rows = items.select("game_pk", F.when(F.col("_items").isNull(), F.col("_text")).alias("_text"), F.explode_outer("_items").alias("w"))
+    broken = F.col("_text").isNotNull()
+    unnamed = F.col("w").isNotNull() & F.col("w.atBatIndex").isNull()
+    judged = rows.withColumn("reason", F.when(broken, "malformed").when(unnamed, "missing atBatIndex"))
+    good = judged.filter("reason IS NULL AND w IS NOT NULL").select(
         "game_pk",
         F.col("w.atBatIndex").alias("at_bat_index"),
         F.col("w.homeTeamWinProbability").alias("home_wp"),
@@ -131,18 +156,19 @@ def win_probability(payloads: DataFrame, payload: str = "payload", game_pk: str
         F.col("w.homeTeamWinProbabilityAdded").alias("home_wp_added"),
         F.col("w.playEndTime").alias("play_end_time"),
     )
+    bad = judged.filter("reason IS NOT NULL").select("game_pk", "reason", F.coalesce("_text", F.to_json("w")).alias("payload"))
+    return good, bad
 
 
 def weather(live: DataFrame, game_pk: str = "game_pk") -> DataFrame:
     """One row per payload that has weather, none for the others."""
-    return live.filter(F.col("gameData.weather").isNotNull()).select(
-        F.col(game_pk).alias("game_pk"), "gameData.weather.*"
-    )
+    held = live.select(F.col(game_pk).alias("game_pk"), F.array("gameData.weather").alias("_w"))
+    return each(held, "_w", "_weather", ["game_pk"]).select("game_pk", "_weather.*")
 
 
 def league_events(pages: DataFrame) -> DataFrame:
     """Nested league events with snake-case names throughout."""
-    return schemas.snake_columns(pages.select(F.explode_outer("events").alias("e")).filter("e IS NOT NULL").select("e.*"))
+    return schemas.snake_columns(each(pages, "events", "e").select("e.*"))
 
 
 # Stream messages (work on batch and streaming frames alike)
@@ -213,3 +239,11 @@ def book_updates(messages: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
 
 def errors(messages: DataFrame) -> DataFrame:
     return messages.filter(F.col("type") == "error")
+
+
+def unreadable(messages: DataFrame) -> DataFrame:
+    """Messages that are no JSON of their schema, as (``reason``, the line, its
+    ``type`` if that could be read); for frames with ``_corrupt_record``, as
+    ``streaming.landing.read_messages`` gives."""
+    broken = messages.filter(F.col(CORRUPT).isNotNull())
+    return broken.select(F.lit("malformed").alias("reason"), F.col(CORRUPT).alias("line"), "type")

@@ -12,13 +12,19 @@ from pyspark.sql.streaming.listener import StreamingQueryListener
 
 from sparkodds.functions.timefn import from_micros
 from sparkodds.operators.latest import keep_last
+from sparkodds.sources.landing import CORRUPT
 from sparkodds.sources.sinks import upsert_table
 
 
 def read_messages(spark: SparkSession, path: str, ddl: str, max_files: int = 1000) -> DataFrame:
-    """Landed JSON-lines messages as a stream, with the receive time."""
+    """Landed JSON-lines messages as a stream, with the receive time. A broken line
+    keeps its text in ``_corrupt_record``, see ``sources.landing.unreadable``.
+    ``max_files`` bounds a micro-batch; files beyond it wait for the next."""
     return (
-        spark.readStream.schema(ddl).option("maxFilesPerTrigger", max_files).json(path)
+        spark.readStream.schema(f"{ddl}, {CORRUPT} string")
+        .option("columnNameOfCorruptRecord", CORRUPT)
+        .option("maxFilesPerTrigger", max_files)
+        .json(path)
         .withColumn("recv_ts", from_micros(F.unix_micros(F.current_timestamp())))
     )
 

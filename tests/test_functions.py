@@ -163,3 +163,11 @@ def test_top_of_book(spark):
     assert tuple(one(spark, top(book, "last"))) == (0.31, 7.5)
     assert tuple(one(spark, top(book, "first"))) == (0.30, 5.0)
     assert tuple(one(spark, top(F.lit("[]"), "last"))) == (None, None)
+
+
+def test_large_amounts_are_plain_numbers(spark):
+    row = spark.range(1).select(
+        fmt.dollars(F.lit(12345678.9)).alias("a"), fmt.cents(F.lit(1234567.891)).alias("b"), fmt.percent(F.lit(None).cast("double")).alias("c"),
+        fmt.signed_cents(F.lit(-0.0001)).alias("d"), fmt.signed_cents(F.lit(-2000000.5)).alias("e"),
+    ).first()
+    assert tuple(row) == ("$12345678.9", "123456789.1¢", None, "+0.0¢", "-200000050.0¢")

@@ -186,3 +186,25 @@ def test_appends_reserve_their_ids(spark, tmp_path):
         sinks.append(spark.range(50).selectExpr("id AS n").repartition(3), path)
     ids = [r.id for r in spark.read.parquet(path).select("id").collect()]
     assert len(set(ids)) == 150 and min(ids) >= 30
+
+
+def test_array_payloads_are_quarantined(spark):
+    item = '{"atBatIndex": 0, "homeTeamWinProbability": 51.5}'
+    rows = [(1, f"[{item}]"), (2, '{"message": "x"}'), (3, f"[{item}, {{"), (4, '[{"homeTeamWinProbability": 1}]'), (5, "[]")]
+    good, bad = landing.win_probability_split(spark.createDataFrame(rows, "game_pk bigint, payload string"))
+    assert [(r.game_pk, r.at_bat_index, r.home_wp) for r in good.collect()] == [(1, 0, 51.5)]
+    assert sorted((r.game_pk, r.reason) for r in bad.collect()) == [(2, "malformed"), (3, "malformed"), (4, "missing atBatIndex")]
+
+
+def test_json_is_parsed_once(spark):
+    df = spark.createDataFrame([(1, '{"allPlays": [{"about": {"atBatIndex": 0}}]}')], "game_pk bigint, payload string")
+    plan = landing.plays(landing.parse(df, "payload", schemas.PLAY_BY_PLAY, ["game_pk"]))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") == 1
+
+
+def test_broken_stream_lines_are_kept(spark, tmp_path):
+    write(tmp_path / "in", "1.json", '{"type": "error"}\n{"type": "orderb')
+    raw = streaming.read_messages(spark, str(tmp_path / "in"), schemas.BOOK_MESSAGE)
+    out = str(tmp_path / "bad")
+    streaming.append_table(landing.unreadable(raw), out, str(tmp_path / "cp")).awaitTermination()
+    assert [(r.reason, r.line) for r in spark.read.parquet(out).collect()] == [("malformed", '{"type": "orderb')]

@@ -45,7 +45,8 @@ def plain(messages):
         t = m.get("market_ticker")
         if messages[i]["type"] == "orderbook_snapshot":
             for side in ("yes", "no"):
-                sides[t, side] = {p: round(float(q) * 100) for p, q in m[f"{side}_dollars_fp"]}
+                listed = {p: round(float(q) * 100) for p, q in m[f"{side}_dollars_fp"]}
+                sides[t, side] = {p: q for p, q in listed.items() if q > 0}
                 out[i, t, side] = dict(sides[t, side])
         elif messages[i]["type"] == "orderbook_delta" and (t, m["side"]) in sides:
             book = sides[t, m["side"]]
@@ -71,6 +72,8 @@ CASES = [
     delta(7000, "0.30", "0.10"),
     delta(8000, "0.60", "4.00", side="no"),
     delta(9000, "0.30", "1.00", ticker="other"),
+    snapshot(10000, [["0.41", "5.00"], ["0.41", "7.00"], ["0.42", "3.00"], ["0.42", "0.00"]]),  # listed twice
+    delta(14000, "0.41", "1.00"),
 ]
 
 

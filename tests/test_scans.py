@@ -141,3 +141,12 @@ def test_keep_last_and_merge(spark):
     live = spark.createDataFrame([("b", 9, "live")], "k string, n int, v string")
     merged = latest.merge_tiers([df, live], ["k"], ["n"])
     assert sorted(map(tuple, merged.collect())) == [("a", 3, None), ("b", 9, "live")]
+
+
+def test_asof_left_keeps_rows_without_key_or_time(spark):
+    left = spark.createDataFrame([(1, "k", 5), (2, None, 5), (3, "k", None), (4, "z", 5)], "id int, k string, t int")
+    left = left.selectExpr("id", "k", "timestamp_ntz'2026-01-01 00:00:00' + make_dt_interval(0, 0, 0, t) AS ts")
+    right = spark.sql("SELECT 'k' AS k, timestamp_ntz'2026-01-01 00:00:01' AS rts, 9 AS v")
+    got = asof.asof_join(left, right, ["k"], "ts", "rts", ["v"], how="left")
+    assert sorted((r.id, r.v) for r in got.collect()) == [(1, 9), (2, None), (3, None), (4, None)]
+    assert [r.id for r in asof.asof_join(left, right, ["k"], "ts", "rts", ["v"]).collect()] == [1]
