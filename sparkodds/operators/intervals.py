@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkodds.functions.timefn import micros, time_slice
+from sparkodds.session import materialize
 
 
 def interval_join(
@@ -24,15 +25,23 @@ def interval_join(
     Intervals are listed once per time bin they touch, so the join is an
     equi-join on (key, bin): a hot key is spread over its bins and a point meets
     only intervals near it. Choose the bin about as wide as the intervals are
-    long or somewhat shorter; it does not change the result. No side is
-    broadcast by hint; Spark does so itself when the measured size allows.
+    long or somewhat shorter; it does not change the result.
+
+    The points' first and last time cut intervals without an end, the intervals'
+    prune the points' files. The listed intervals are written, so that Spark
+    knows their size when it chooses a join; nothing is broadcast by hint.
     """
     width = int(bin_seconds * 1_000_000)
+    known = intervals.filter(F.col(start) < F.col(end))
+    low, high = known.agg(F.min(start).cast("string"), F.max(end).cast("string")).first()
+    kind = dict(points.dtypes)[ts]
+    points = points.filter((F.col(ts) >= F.lit(low).cast(kind)) & (F.col(ts) < F.lit(high).cast(kind)))
+    first, last = points.agg(F.min(micros(ts)), F.max(micros(ts))).first()
     # the end is exclusive: an interval ending on a bin edge does not reach into it
-    last_bin = F.floor((micros(end) - 1) / F.lit(float(width))).cast("bigint")
-    binned = intervals.filter(F.col(start) < F.col(end)).withColumn(
-        "_bin", F.explode(F.sequence(time_slice(start, bin_seconds), last_bin))
-    )
+    from_bin = F.floor(F.greatest(micros(start), F.lit(first)) / F.lit(float(width))).cast("bigint")
+    to_bin = F.floor(F.least(micros(end) - 1, F.lit(last)) / F.lit(float(width))).cast("bigint")
+    met = known.filter((micros(end) > F.lit(first)) & (micros(start) <= F.lit(last)))  # none without points
+    binned = materialize(met.withColumn("_bin", F.explode(F.sequence(from_bin, to_bin))))
     return (
         points.withColumn("_bin", time_slice(ts, bin_seconds))
         .join(binned, [*keys, "_bin"], "inner")

@@ -22,6 +22,7 @@ from sparkodds.functions.tickers import (
 from sparkodds.functions.timefn import iso_to_utc, micros, seconds
 from sparkodds.operators.quality import MIN_MATCH_RATE, QualityError
 from sparkodds.operators.snapshots import one_row
+from sparkodds.operators.latest import keep_first
 from sparkodds.operators.unions import union
 from sparkodds.session import materialize
 
@@ -458,13 +459,16 @@ def _assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def match_venues(a: DataFrame, b: DataFrame) -> DataFrame:
     """One-to-one pairs of the two venues' listings of one team pair and date, B
-    served in slug order. A chosen event is used up.
+    served in slug order. A chosen event is used up; of listings that were landed
+    twice the one that sorts first counts.
 
     Pairs with one event need no order-dependent choice and stay aggregates and
     joins. Pairs with several (a doubleheader day) are sorted by Spark and read
     as a stream that holds only the pair's unused events.
     """
     key = ["game_date", "_lo", "_hi"]
+    a = keep_first(a, ["event_ticker"], [c for c in a.columns if c != "event_ticker"])
+    b = keep_first(b, ["slug"], [c for c in b.columns if c != "slug"])
     left = a.select("*", *_low_high("away", "home"))
     right = b.select("*", *_low_high("away", "home"))
     counts = left.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"), F.min("event_ticker").alias("event_ticker"))

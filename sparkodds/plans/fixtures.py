@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkodds.functions.timefn import from_micros, micros, seconds, utc_to_wall
-from sparkodds.session import materialize
+from sparkodds.session import configure, materialize
 
 DAY = 86400
 ORIGIN = 1_704_067_200_000_000  # 2024-01-01 in microseconds
@@ -22,7 +22,7 @@ class Tables:
     """Lazy reader of one scale factor's directory."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
+        self.spark, self.sf_dir = configure(spark), sf_dir
 
     def __getattr__(self, name: str) -> DataFrame:
         df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
@@ -30,13 +30,6 @@ class Tables:
         return df
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rows over all cores when the input comes in fewer splits than that (one
-    small file); a large input has more splits and stays as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def stored(t: Tables, name: str) -> DataFrame:
     """A fixture table of this module written once per set of tables, as a landed
     table would be."""
@@ -76,7 +69,7 @@ def ticker(order: Column, home: Column) -> Column:
 
 def trades(t: Tables) -> DataFrame:
     price = ((F.col("l_quantity") - 0.5) / 50).cast("decimal(18,6)")
-    return spread(t.lineitem).select(
+    return t.lineitem.select(
         F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey").alias("trade_id"),
         ticker(F.col("l_orderkey"), F.col("l_linestatus") == "O").alias("ticker"),
         F.col("l_quantity").cast("decimal(18,6)").alias("count_fp"),
@@ -208,7 +201,7 @@ def orderbook_snapshots(t: Tables) -> DataFrame:
     source = F.when(F.col("event_id") % 4 == 0, F.date_trunc("second", "_at").cast("timestamp_ntz")).otherwise(F.col("_at"))
     ms = micros("_src")
     return (
-        spread(t.events.filter(kind != "purchase"))
+        t.events.filter(kind != "purchase")
         .withColumn("_at", fast_clock())
         .withColumn("_src", source)
         .select(
@@ -266,7 +259,7 @@ def book_messages(t: Tables) -> DataFrame:
         F.lit('{"type":"orderbook_delta","msg":{"market_ticker":"'), who, F.lit('","ts_ms":'), at,
         F.lit(',"side":"'), side, F.lit('","price_dollars":"'), price, F.lit('","delta_fp":"'), qty, F.lit('"}}'),
     )
-    return spread(t.events.select("event_id", "event_type", "user_id", "value", "ts")).select(
+    return t.events.select("event_id", "event_type", "user_id", "value", "ts").select(
         k.alias("seq"), F.when(kind == "purchase", snapshot).otherwise(delta).alias("payload")
     )
 
@@ -375,7 +368,7 @@ def iso(ts: Column | str) -> Column:
 def raw_trades(t: Tables) -> DataFrame:
     """Trades as text; every 97th part has an unreadable price."""
     price = ((F.col("l_quantity") - 0.5) / 50).cast("decimal(18,2)").cast("string")
-    return spread(t.lineitem).select(
+    return t.lineitem.select(
         F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("trade_id"),
         F.col("l_orderkey").cast("string").alias("ticker"),
         F.col("l_quantity").cast("int").cast("string").alias("count_fp"),
@@ -423,7 +416,7 @@ def schedule_payloads(t: Tables) -> DataFrame:
         return F.struct(F.lit("2024-01-01").alias("date"), F.array(listing(state)).alias("games"))
 
     dates = F.when(k % 4 == 0, F.array(day("Postponed"), day("Final"))).otherwise(F.array(day("Final")))
-    return spread(t.orders).select(k.alias("page"), F.to_json(F.struct(dates.alias("dates"))).alias("payload"))
+    return t.orders.select(k.alias("page"), F.to_json(F.struct(dates.alias("dates"))).alias("payload"))
 
 
 def game_payloads(t: Tables) -> DataFrame:
@@ -446,7 +439,7 @@ def game_payloads(t: Tables) -> DataFrame:
         F.concat(n.cast("string"), F.lit(" mph, In")).alias("wind"),
     )
     live = F.struct(F.struct(F.when(n != 3, weather_text).alias("weather")).alias("gameData"))
-    return spread(t.lineitem).select(
+    return t.lineitem.select(
         F.col("l_orderkey").alias("game_pk"),
         F.col("l_partkey").alias("part"),
         F.to_json(F.struct(F.array(play, play).alias("allPlays"))).alias("plays"),
@@ -464,7 +457,7 @@ def event_payloads(t: Tables) -> DataFrame:
         F.col("o_orderstatus").alias("title"), F.col("o_orderpriority").alias("category"),
     )
     page = F.to_json(F.struct(F.array(item, item).alias("events"), F.lit("next").alias("cursor")))
-    return spread(t.orders).select(k.alias("page"), F.when(k % 23 == 0, F.substring(page, 1, 40)).otherwise(page).alias("payload"))
+    return t.orders.select(k.alias("page"), F.when(k % 23 == 0, F.substring(page, 1, 40)).otherwise(page).alias("payload"))
 
 
 def record_payloads(t: Tables) -> DataFrame:
@@ -510,4 +503,4 @@ def league_payloads(t: Tables) -> DataFrame:
         F.when(k % 6 == 0, start).alias("startDate"),
         F.array(market("baseball_team_full_game_winner"), market("spread")).alias("markets"),
     )
-    return spread(d.filter(k % 5 != 0)).select(k, F.to_json(F.struct(F.array(event).alias("events"))).alias("payload"))
+    return d.filter(k % 5 != 0).select(k, F.to_json(F.struct(F.array(event).alias("events"))).alias("payload"))

@@ -344,9 +344,35 @@ def venue_b_moneylines(t):
     return _venue_b(t)
 
 
-@query("cross_venue_match")
+# The greedy choice, one listing after the other: a state is a pair's unused events.
+GREEDY = """sides AS (SELECT game_date, least(away, home) AS lo, greatest(away, home) AS hi,
+      list({'e': event_ticker, 's': epoch(start_utc)}) AS unused FROM a_sides GROUP BY ALL),
+  served AS (SELECT *, least(away, home) AS lo, greatest(away, home) AS hi, epoch(start_utc) AS at,
+      row_number() OVER (PARTITION BY game_date, least(away, home), greatest(away, home) ORDER BY slug) AS nth FROM moneylines),
+  steps AS (
+    SELECT game_date, lo, hi, 0::BIGINT AS nth, unused, NULL::VARCHAR AS slug, NULL::VARCHAR AS chosen FROM sides
+    UNION ALL
+    SELECT game_date, lo, hi, nth, list_filter(unused, lambda x: chosen IS NULL OR x.e <> chosen), slug, chosen
+    FROM (SELECT s.game_date, s.lo, s.hi, b.nth, s.unused, b.slug,
+            CASE WHEN len(s.unused) = 1 THEN s.unused[1].e
+                 ELSE list_sort(list_transform(list_filter(s.unused, lambda x: abs(x.s - b.at) <= 21600),
+                                               lambda x: {'gap': abs(x.s - b.at), 'e': x.e}))[1].e END AS chosen
+          FROM steps s JOIN served b ON s.game_date = b.game_date AND s.lo = b.lo AND s.hi = b.hi AND b.nth = s.nth + 1)),
+  paired AS (SELECT slug, chosen FROM steps WHERE chosen IS NOT NULL)"""
+
+
+def greedy(final: str) -> str:
+    return o.with_(o.DUELS, o.PARSED, A_SIDE, B_SIDE, GREEDY, final=final).replace("WITH", "WITH RECURSIVE", 1)
+
+
+@query(
+    "cross_venue_match",
+    greedy("""SELECT b.game_date, b.away AS away_team, b.home AS home_team, a.away_ticker AS kalshi_ticker_away,
+      a.home_ticker AS kalshi_ticker_home, b.slug AS poly_slug, a.event_ticker AS kalshi_event_ticker, b.event_slug AS poly_event_slug
+      FROM paired p JOIN moneylines b ON p.slug = b.slug JOIN a_sides a ON p.chosen = a.event_ticker"""),
+)
 def cross_venue_match(t):
-    """Greedy one-to-one choice; checked against a sequential reading in the tests."""
+    """Greedy one-to-one choice."""
     return matching.match_venues(materialize(_venue_a(t)), materialize(_venue_b(t)))
 
 
@@ -365,7 +391,11 @@ def cross_venue_single(t):
     return matched.join(alone, "kalshi_event_ticker", "left_semi")
 
 
-@query("cross_venue_unmatched")
+@query(
+    "cross_venue_unmatched",
+    greedy("""SELECT 'a' AS venue, event_ticker AS listing, away, home FROM a_sides WHERE event_ticker NOT IN (SELECT chosen FROM paired)
+      UNION ALL SELECT 'b', slug, away, home FROM moneylines WHERE slug NOT IN (SELECT slug FROM paired)"""),
+)
 def cross_venue_unmatched(t):
     a, b = materialize(_venue_a(t)), materialize(_venue_b(t))
     return matching.unmatched_venues(a, b, matching.match_venues(a, b))

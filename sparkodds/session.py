@@ -10,6 +10,17 @@ from pyspark.sql import DataFrame, SparkSession
 ROCKSDB_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+#: Settings that the library's results rely on; see ``operators.unions``.
+REQUIRED = {"spark.sql.unionOutputPartitioning": "false"}
+
+
+def configure(spark: SparkSession) -> SparkSession:
+    """Give a session of your own the settings that the library relies on."""
+    for key, value in REQUIRED.items():
+        spark.conf.set(key, value)
+    return spark
+
+
 def local_session(app: str = "sparkodds", cpus: int | str = 8, **conf: str) -> SparkSession:
     """A local session for tests and bench; on a cluster pass your own session."""
     builder = (
@@ -25,7 +36,7 @@ def local_session(app: str = "sparkodds", cpus: int | str = 8, **conf: str) -> S
     )
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
-    return builder.getOrCreate()
+    return configure(builder.getOrCreate())
 
 
 def shared_folder(spark: SparkSession) -> str:

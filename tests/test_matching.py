@@ -109,6 +109,12 @@ def test_gate(spark):
     matching.gate_match(report.withColumn("match_rate", F.lit(0.996)))
 
 
+def test_listings_landed_twice(spark):
+    a = spark.createDataFrame([("E", "2026-07-01", "STL", "PIT", "Ea", "Eh", None)] * 2, "event_ticker string, game_date string, away string, home string, away_ticker string, home_ticker string, start_utc timestamp_ntz")
+    b = spark.createDataFrame([("s", "es", "2026-07-01", "STL", "PIT", None)] * 3, "slug string, event_slug string, game_date string, away string, home string, start_utc timestamp_ntz")
+    assert [(r.poly_slug, r.kalshi_event_ticker) for r in matching.match_venues(a, b).collect()] == [("s", "E")]
+
+
 def greedy(a, b):
     """Sequential reading of the cross-venue rule."""
     left = {}

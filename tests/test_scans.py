@@ -150,3 +150,13 @@ def test_asof_left_keeps_rows_without_key_or_time(spark):
     got = asof.asof_join(left, right, ["k"], "ts", "rts", ["v"], how="left")
     assert sorted((r.id, r.v) for r in got.collect()) == [(1, 9), (2, None), (3, None), (4, None)]
     assert [r.id for r in asof.asof_join(left, right, ["k"], "ts", "rts", ["v"]).collect()] == [1]
+
+
+def test_interval_without_an_end(spark, frame, rows):
+    """Cut at the last point, not listed up to the end of time."""
+    spans = [("hot", T0 + timedelta(seconds=50), datetime(9999, 12, 31)), ("k1", datetime(1, 1, 1), datetime(9999, 12, 31))]
+    df = spark.createDataFrame(spans, "k string, lo timestamp_ntz, hi timestamp_ntz")
+    got = sorted(r["id"] for r in intervals.interval_join(frame, df, ["k"], "ts", "lo", "hi", 60.0).collect())
+    assert got == sorted(r[2] for r in rows for k, lo, hi in spans if r[0] == k and lo <= r[1] < hi)
+    assert intervals.interval_join(frame, df.limit(0), ["k"], "ts", "lo", "hi").count() == 0
+    assert intervals.interval_join(frame.limit(0), df, ["k"], "ts", "lo", "hi").count() == 0
