@@ -6,18 +6,20 @@ entry, whatever number of documents has them.
 1. One order of all shingles: those that many documents have come last, the rest
    by hash. Which they are is counted over all documents, in windows whose
    frequent shingles are summed.
-2. Linked sets share a shingle among the first ones in that order, so many that
-   the rest alone couldn't reach the similarity. Sets that share none of them
-   never meet: this is where the work stops growing with the square.
-3. Sets that do are compared with the smallest and the largest id they meet, so
-   that a large group of near copies becomes one component after as many
+2. Linked sets share a shingle among the first ones in that order (so many that
+   the rest alone couldn't reach the similarity), and several among a few more.
+   Sets that share fewer with all others together are linked with none: this is
+   where the work stops growing with the square.
+3. Each shared shingle names the least edited of its sets, the one that shares
+   the largest part of its first shingles. Sets are compared with those, so that a
+   large group of near copies becomes one component after about as many
    comparisons as it has members.
 4. What is left are shared shingles between components. Their sets go into tiles,
    one for each shingle and size band: only sizes within PERCENT of each other can
-   be linked, and a set meets its own band and the next. Within a tile hashed
-   bitmaps bound the overlap from above, all pairs of one set at a time; a crowded
-   tile is cut into several.
-5. Pairs that pass are decided by intersecting their sorted arrays.
+   be linked, so a set meets its own band and the next. Within a tile the places
+   of the shared shingle bound the overlap from above; a crowded tile is cut.
+5. Hashed bitmaps of the pairs that pass bound it once more by their bit counts,
+   and what is left is decided by intersecting the sorted arrays.
 
 Arrays exist only for sets that passed the bitmaps, made again from the texts. No
 pair is emitted within a component that step 3 has found, none is lost between
@@ -40,6 +42,7 @@ from pyspark.sql import functions as F
 
 from sparkodds.llm import grid
 from sparkodds.llm import shingles as sh
+from sparkodds.llm.cells import pairs_in, whole_cells
 from sparkodds.llm.common import read, spans
 from sparkodds.llm.components import components
 from sparkodds.session import materialize
@@ -50,7 +53,7 @@ PERCENT = 75
 FREQUENT, LEAST = 1 / 1000, 64
 
 #: Shingles that a task counts at once, and the count from which it reports one.
-WINDOW, REPORTED = 4_000_000, 4
+WINDOW, REPORTED = 2_000_000, 4
 
 #: Sets that a tile may hold.
 TILE = 4096
@@ -64,6 +67,17 @@ def least_overlap(n: int | np.ndarray) -> int | np.ndarray:
     return -(-n * PERCENT // 100)
 
 
+def extra(n: int | np.ndarray) -> int | np.ndarray:
+    """How many shingles, besides the first shared one, are looked at."""
+    return n // 10
+
+
+def least_shared(n: F.Column) -> F.Column:
+    """Linked sets share so many of the shingles that are looked at: the smaller
+    of both has PERCENT of n, and 1 + extra of those."""
+    return 1 + F.floor(F.ceil(n * PERCENT / 100) / 10)
+
+
 def linked(common: int, n: int, m: int) -> bool:
     return 100 * common >= PERCENT * (n + m - common)
 
@@ -71,9 +85,15 @@ def linked(common: int, n: int, m: int) -> bool:
 def sets_of(parts: Iterator[pd.DataFrame], late: np.ndarray | None = None) -> Iterator[tuple[pd.DataFrame, list[np.ndarray]]]:
     """Rows with their texts' sets, about CHUNK bytes at a time."""
     for part in parts:
-        texts = [t.encode("utf-8", "surrogatepass") if isinstance(t, str) else b"" for t in part["text"]]
+        texts = [t if isinstance(t, str) else "" for t in part["text"]]
         for piece in spans([len(t) for t in texts], sh.CHUNK):
-            yield part.iloc[piece], sh.shingle_sets(texts[piece], late)
+            yield part.iloc[piece], sh.shingle_sets([t.encode("utf-8", "surrogatepass") for t in texts[piece]], late)
+
+
+def with_ids(docs: DataFrame) -> DataFrame:
+    """(doc_id, none, text): ids without nulls, of which pandas would make floats."""
+    known = F.col("doc_id").cast("long")
+    return docs.select(F.coalesce(known, F.lit(0)).alias("doc_id"), known.isNull().alias("none"), "text")
 
 
 def identities(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -95,8 +115,8 @@ def identities(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             return out.astype({"doc_id": "Int64", "set": "Int64", "n": "Int32"})
 
         for rows, sets in sets_of(frames):
-            ids = [None if pd.isna(i) else int(i) for i in rows["doc_id"]]
-            yield frame([(i, sh.set_id(s), len(s), None, None) for i, s in zip(ids, sets, strict=True)])
+            ids = zip(rows["doc_id"].tolist(), rows["none"].tolist(), strict=True)
+            yield frame([(None if none else i, sh.set_id(s), len(s), None, None) for (i, none), s in zip(ids, sets, strict=True)])
             window += sets
             held += sum(map(len, sets))
             if held >= WINDOW:
@@ -105,35 +125,38 @@ def identities(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         if window:
             yield report()
 
-    found = materialize(docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(parts, schema))
+    found = materialize(with_ids(docs).mapInPandas(parts, schema))
     members = found.where(F.col("n").isNotNull()).select("doc_id", "set", "n")
     reported = found.where(F.col("n").isNull()).select(F.explode(F.arrays_zip("shingles", "counts")).alias("r"))
     return members, reported.groupBy(F.col("r.shingles").alias("shingle")).agg(F.sum("r.counts").alias("n"))
 
 
 def first_shingles(docs: DataFrame, late: np.ndarray) -> DataFrame:
-    """(shingle, set, n): the shingles by which a set may meet others. A set is
-    given once for each partition that has it."""
+    """(shingle, set, n, place): the shingles by which a set may meet others, and
+    their places in its order. A set is given once for each partition that has it."""
     sent = docs.sparkSession.sparkContext.broadcast(late)
 
     def parts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         given: set[int] = set()
         for _, sets in sets_of(frames, sent.value):
-            out, ids, sizes, lengths = [], [], [], []
+            some = []
             for s in sets:
                 name = sh.set_id(s)
-                if name is None or name in given:
-                    continue
-                given.add(name)
-                out.append(s[: len(s) - least_overlap(len(s)) + 1])
-                ids.append(name)
-                sizes.append(len(s))
-                lengths.append(len(out[-1]))
-            if out:
-                shingle = (np.concatenate(out) & ~sh.LATE).astype(np.int64)
-                yield pd.DataFrame({"shingle": shingle, "set": np.repeat(np.array(ids, np.int64), lengths), "n": np.repeat(np.array(sizes, np.int32), lengths)})
-
-    return docs.select("text").mapInPandas(parts, "shingle long, set long, n int")
+                if name is not None and name not in given:
+                    given.add(name)
+                    some.append((name, len(s), s[: len(s) - least_overlap(len(s)) + 1 + extra(len(s))]))
+            if some:
+                length = [len(x) for _, _, x in some]
+                yield pd.DataFrame(
+                    {
+                        "shingle": np.concatenate([x for _, _, x in some]).astype(np.int64),
+                        "set": np.repeat(np.array([x for x, _, _ in some], np.int64), length),
+                        "n": np.repeat(np.array([x for _, x, _ in some], np.int32), length),
+                        "place": np.concatenate([np.arange(x, dtype=np.int32) for x in length]),
+                    }
+                )
+
+    return docs.select("text").mapInPandas(parts, "shingle long, set long, n int, place int")
 
 
 def shared_only(rows: DataFrame) -> DataFrame:
@@ -178,25 +201,24 @@ def read_again(docs: DataFrame, members: DataFrame, wanted: DataFrame, value: Ca
     def picked(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         places = np.unpackbits(sent.value).astype(bool)
         for part in frames:
-            ids = part["doc_id"]
-            hit = ids.isna().to_numpy() | places[grid.dealt_ids(ids.fillna(0).to_numpy(np.int64), FILTER)]
+            hit = part["none"].to_numpy(bool) | places[grid.dealt_ids(part["doc_id"].to_numpy(np.int64), FILTER)]
             if hit.any():
                 yield part[hit]
 
     def parts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows, sets in sets_of(picked(frames)):
             some = [i for i, s in enumerate(sets) if len(s)]
-            ids = rows["doc_id"].iloc[some]
+            ids = rows.iloc[some]
             yield pd.DataFrame(
                 {
-                    "own": pd.Series([None if pd.isna(i) else int(i) for i in ids], dtype="Int64"),
+                    "own": ids["doc_id"].astype("Int64").where(~ids["none"].to_numpy(bool)).reset_index(drop=True),
                     "set": pd.Series([sh.set_id(sets[i]) for i in some], dtype="int64"),
                     "size": pd.Series([len(sets[i]) for i in some], dtype="int32"),
                     name: pd.Series([value(sets[i]).tobytes() for i in some], dtype=object),
                 }
             )
 
-    made = docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(parts, f"own long, set long, size int, {name} binary")
+    made = with_ids(docs).mapInPandas(parts, f"own long, set long, size int, {name} binary")
     named = chosen.select(F.col("set").alias("of"), "doc_id")
     return materialize(
         made.join(named, (F.col("set") == F.col("of")) & F.col("own").eqNullSafe(F.col("doc_id")))
@@ -253,82 +275,79 @@ def band(n: F.Column) -> F.Column:
     return F.floor(F.log(n.cast("double")) / F.log(F.lit(100 / PERCENT)) + 1e-9).cast("int")
 
 
-def tile_pairs(rows: DataFrame) -> DataFrame:
-    """(a, b) across components within the tiles of (shingle, set, size, root,
-    signature, crowd), as far as sizes and bitmaps leave them possible."""
-    cuts = F.ceil(F.col("crowd") / TILE).cast("int")
-    # A tile (band, x, y) holds the pieces x of the band and y of it and the next.
+CELL = ["shingle", "band", "x", "y"]
+
+
+def tiles(rows: DataFrame) -> DataFrame:
+    """(shingle, set, n, place, root) rows dealt into tiles.
+
+    A set stands in the tile of its own band and asks in the one below. A crowded
+    shingle is cut into pieces, and its tiles (x, y) hold two pieces each."""
+    crowd = rows.groupBy(F.col("shingle").alias("of")).agg(
+        F.ceil(F.count("*") / TILE).cast("int").alias("cuts"), F.min("root").alias("low"), F.max("root").alias("high")
+    )
+    apart = crowd.where(F.col("low") != F.col("high")).select("of", "cuts")
     piece = F.pmod(F.xxhash64(F.lit(3), "set"), F.col("cuts")).cast("int")
-    cells = rows.withColumn("cuts", cuts).withColumn("piece", piece).withColumn("own", band(F.col("size")))
-    every = F.sequence(F.lit(0), F.col("cuts") - 1)
-    as_x = cells.withColumn("band", F.col("own")).withColumn("y", F.explode(every)).withColumn("x", F.col("piece")).withColumn("probes", F.lit(False))
-    as_y = cells.withColumn("band", F.explode(F.array(F.col("own"), F.col("own") - 1))).withColumn("x", F.explode(every)).withColumn("y", F.col("piece")).withColumn("probes", F.lit(True))
-    names = ["shingle", "band", "x", "y", "probes", "set", "size", "root", "signature"]
-    tiles = as_x.select(names).union(as_y.select(names))
-
-    def pairs(tile: pd.DataFrame) -> list[tuple[int, int]]:
-        held, asks = tile[~tile["probes"]], tile[tile["probes"]]
-        if not len(held) or not len(asks) or tile["root"].nunique() < 2:
-            return []
-        bits = [np.frombuffer(b, np.uint64) for b in held["signature"]]
-        sizes, names, roots = (held[c].to_numpy(np.int64) for c in ("size", "set", "root"))
-        by_words = {}
-        out = []
-        for n, name, root, b in zip(asks["size"], asks["set"], asks["root"], asks["signature"], strict=True):
-            own = np.frombuffer(b, np.uint64)
-            words = min(len(own), min(map(len, bits)))
-            if words not in by_words:
-                by_words[words] = np.stack([sh.folded(x, words) for x in bits])
-            near = np.flatnonzero((roots != root) & (100 * np.minimum(sizes, n) >= PERCENT * np.maximum(sizes, n)))
-            if len(near):
-                bound = sh.overlap_bound(n, sh.folded(own, words), sizes[near], by_words[words][near])
-                hit = near[100 * bound >= PERCENT * (n + sizes[near] - bound)]
-                out += [(min(name, x), max(name, x)) for x in names[hit].tolist()]
-        return out
+    cells = rows.join(apart, F.col("shingle") == F.col("of")).withColumn("piece", piece)
+    other = F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("other")
+    cells = cells.select("shingle", "set", "n", "place", "root", "piece", other)
+    own = band(F.col("n"))
+    bands = F.array(F.struct(own.alias("band"), F.lit(False).alias("asks")), F.struct((own - 1).alias("band"), F.lit(True).alias("asks")))
+    return cells.select(
+        "shingle", "set", "n", "place", "root", F.least("piece", "other").alias("x"), F.greatest("piece", "other").alias("y"), F.inline(bands)
+    )
+
+
+def tile_pairs(tiled: DataFrame) -> DataFrame:
+    """(a, b) of different components that sizes and places in a tile leave possible."""
 
     def parts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, rest = ["shingle", "band", "x", "y"], None
-        for part in frames:
-            part = part if rest is None else pd.concat([rest, part], ignore_index=True)
-            cell = part[key].to_numpy(np.int64)
-            start = np.flatnonzero(np.concatenate([[True], (cell[1:] != cell[:-1]).any(axis=1)])) if len(part) else []
-            out = [p for a, b in zip(start[:-1], start[1:], strict=True) if b - a > 1 for p in pairs(part.iloc[a:b])]
-            rest = part.iloc[start[-1] :] if len(part) else None
-            yield pd.DataFrame(list(set(out)), columns=["a", "b"], dtype="int64")
-        if rest is not None:
-            yield pd.DataFrame(list(set(pairs(rest))), columns=["a", "b"], dtype="int64")
+        for part, cell in whole_cells(frames, CELL):
+            n, place, root, name = (part[x].to_numpy(np.int64) for x in ("n", "place", "root", "set"))
+            asks = part["asks"].to_numpy(bool)
+
+            def possible(i: np.ndarray, j: np.ndarray, n=n, place=place, root=root, asks=asks) -> np.ndarray:
+                rest = np.minimum(n[i] - place[i], n[j] - place[j])
+                ok = (root[i] != root[j]) & ~(asks[i] & asks[j])
+                ok &= 100 * np.minimum(n[i], n[j]) >= PERCENT * np.maximum(n[i], n[j])
+                return ok & (100 * rest >= PERCENT * (n[i] + n[j] - rest))
 
-    key = ["shingle", "band", "x", "y"]
-    sorted_tiles = tiles.repartition(*key).sortWithinPartitions(*key)
-    return sorted_tiles.mapInPandas(parts, "a long, b long").distinct()
+            for i, j in pairs_in(cell, n, PERCENT, possible):
+                if len(i):
+                    found = pd.DataFrame({"a": np.minimum(name[i], name[j]), "b": np.maximum(name[i], name[j])})
+                    yield found.drop_duplicates()
+
+    return tiled.repartition(*CELL).sortWithinPartitions(*CELL).mapInPandas(parts, "a long, b long").distinct()
 
 
 def links(docs: DataFrame, members: DataFrame, late: np.ndarray) -> DataFrame:
     """(a, b) sets whose links connect all linked sets; more are left out only
     within components."""
     met = materialize(shared_only(first_shingles(docs, late)))
-    # Many shingles of a group of copies bring together the same sets: one will do.
-    groups = met.groupBy("shingle").agg(
-        F.count("*").alias("crowd"), F.min("set").alias("low"), F.max("set").alias("high"), F.expr("bit_xor(xxhash64(set))").alias("all")
-    )
-    one = groups.groupBy("crowd", "low", "high", "all").agg(F.min("shingle").alias("shingle")).drop("all")
-    met = materialize(met.join(one, "shingle"))
+    looked_at = F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1 + F.floor(F.col("n") / 10)
+    enough = met.groupBy(F.col("set").alias("of")).agg(F.count("*").alias("shared"), F.min("n").alias("n"))
+    enough = enough.where(F.col("shared") >= least_shared(F.col("n"))).select("of", (F.col("shared") / looked_at).alias("part"))
+    first = F.col("place") <= F.col("n") - F.ceil(F.col("n") * PERCENT / 100)
+    met = materialize(met.where(first).join(enough, F.col("set") == F.col("of")).drop("of"))
+    # Shingles that bring together the same sets: the first of them will do, as it
+    # is the first that any two of the sets share.
+    groups = met.groupBy("shingle").agg(F.count("*").alias("crowd"), F.expr("bit_xor(xxhash64(set))").alias("all"))
+    one = groups.where(F.col("crowd") > 1).groupBy("crowd", "all").agg(F.min("shingle").alias("shingle"))
+    met = materialize(met.join(one.select("shingle"), "shingle", "left_semi"))
+    hub = met.groupBy(F.col("shingle").alias("of")).agg(F.max_by("set", "part").alias("hub"))
+    met = materialize(met.join(hub, F.col("shingle") == F.col("of")).select("shingle", "set", "n", "place", "hub"))
     signatures = read_again(docs, members, met.select("set").distinct(), sh.signature, "signature")
 
-    hubs = met.select("set", F.explode(F.array("low", "high")).alias("hub")).where(F.col("set") != F.col("hub"))
-    first = hubs.select(F.least("set", "hub").alias("a"), F.greatest("set", "hub").alias("b")).distinct()
-    first = materialize(may_link(first, signatures))
-    arrays = read_again(docs, members, first.select(F.explode(F.array("a", "b")).alias("set")).distinct(), lambda s: s, "members")
-    found = materialize(verified(first, arrays))
+    hubs = met.where(F.col("set") != F.col("hub")).select(F.least("set", "hub").alias("a"), F.greatest("set", "hub").alias("b")).distinct()
+    hubs = materialize(may_link(hubs, signatures))
+    arrays = read_again(docs, members, hubs.select(F.explode(F.array("a", "b")).alias("set")).distinct(), lambda s: s, "members")
+    found = materialize(verified(hubs, arrays))
 
     roots = components(found).withColumnsRenamed({"node": "of", "root": "found"})
-    rooted = met.join(roots, F.col("set") == F.col("of"), "left").select("shingle", "crowd", "set", F.coalesce("found", "set").alias("root"))
-    rooted = materialize(rooted)
-    apart = rooted.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-    apart = apart.where(F.col("low") != F.col("high")).select("shingle")
-    left = rooted.join(apart, "shingle", "left_semi").join(signatures, "set")
+    rooted = met.join(roots, F.col("set") == F.col("of"), "left").select("shingle", "set", "n", "place", F.coalesce("found", "set").alias("root"))
     # Pairs decided above aren't decided again.
-    more = materialize(tile_pairs(left).join(first, ["a", "b"], "left_anti"))
+    left = materialize(tile_pairs(tiles(materialize(rooted))).join(hubs, ["a", "b"], "left_anti"))
+    more = materialize(may_link(left, signatures))
     arrays = read_again(docs, members, more.select(F.explode(F.array("a", "b")).alias("set")).distinct(), lambda s: s, "members")
     return found.union(verified(more, arrays))
 

@@ -1,9 +1,9 @@
-"""Sets of word shingles as sorted arrays of 63-bit hashes.
+"""Sets of word shingles as sorted arrays of 62-bit hashes.
 
 Words are lower-cased in A-Z and separated by ASCII white space. Texts are worked
 as bytes, many at once: a word's hash is a difference of running sums of
 byte values times powers of an odd number, a shingle's hash mixes its words'.
-Equal shingles have equal hashes; unequal ones collide with a chance of 2**-63.
+Equal shingles have equal hashes; unequal ones collide with a chance of 2**-62.
 """
 
 from __future__ import annotations
@@ -16,8 +16,8 @@ import numpy as np
 #: Words of a shingle.
 WORDS = 5
 
-#: Bytes that are worked at once.
-CHUNK = 1 << 21
+#: Characters that are worked at once.
+CHUNK = 1 << 19
 
 _ODD = 0x9E3779B97F4A7C15
 
@@ -56,11 +56,12 @@ def _is_space() -> np.ndarray:
 
 def _size(n: int) -> int:
     """Few sizes, so that the powers are made once."""
-    return max(CHUNK + 1, 1 << n.bit_length())
+    return max(2 * CHUNK, 1 << n.bit_length())
 
 
-def word_hashes(texts: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of all texts in order, and the text that each is in."""
+def located_words(texts: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts in order, where each begins, and the bytes
+    of the texts, each with a line end after it."""
     data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
     gap = _is_space()[data]
     edge = np.flatnonzero(np.diff(np.concatenate([[True], gap]).astype(np.int8)))
@@ -68,7 +69,12 @@ def word_hashes(texts: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
     up, down = _powers(_size(len(data) + 1))
     values = _byte_values()[data] * up[: len(data)]
     run = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values, dtype=np.uint64)])
-    words = mix((run[end] - run[start]) * down[start] + (end - start).astype(np.uint64))
+    return mix((run[end] - run[start]) * down[start] + (end - start).astype(np.uint64)), start, data
+
+
+def word_hashes(texts: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts in order, and the text that each is in."""
+    words, start, _ = located_words(texts)
     opens = np.cumsum([0, *(len(t) + 1 for t in texts)])
     return words, np.searchsorted(opens, start, side="right") - 1
 
@@ -85,12 +91,12 @@ def shingle_hashes(texts: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
     few = np.flatnonzero((n > 0) & (n < WORDS))
     first = np.cumsum(n) - n
     own = [sum((int(words[first[t] + i]) * int(powers[i]) for i in range(n[t])), int(n[t])) % 2**64 for t in few.tolist()]
-    hashes = mix(np.concatenate([mixed + np.uint64(WORDS), np.array(own, np.uint64)])) >> np.uint64(1)
+    hashes = mix(np.concatenate([mixed + np.uint64(WORDS), np.array(own, np.uint64)])) >> np.uint64(2)
     return hashes, np.concatenate([owner[whole], few])
 
 
-#: Marks shingles that come last in the global order.
-LATE = np.uint64(1 << 63)
+#: Marks shingles that come last in the global order; marked ones still fit a long.
+LATE = np.uint64(1 << 62)
 
 
 def shingle_sets(texts: Sequence[bytes], late: np.ndarray | None = None) -> list[np.ndarray]:
@@ -119,8 +125,8 @@ def set_id(own: np.ndarray) -> int | None:
 
 
 def signature(own: np.ndarray) -> np.ndarray:
-    """A bitmap of the set: a power of two of bits, two to four for each member."""
-    bits = max(64, 1 << (2 * len(own) - 1).bit_length())
+    """A bitmap of the set: a power of two of bits, eight to sixteen for each member."""
+    bits = max(64, 1 << (8 * len(own) - 1).bit_length())
     at = (own & ~LATE) % np.uint64(bits)
     flags = np.zeros(bits, np.uint8)
     flags[at.astype(np.int64)] = 1
