@@ -93,7 +93,7 @@ def version_block(version: int, name: str) -> str:
     return f"{' '.join(own)} {len(body.encode())}\n{body}"
 
 
-def arc_record(version: int, url: str | None, page_id: int | None, html: str | None) -> str:
+def arc_record(version: int, url: str | None, page_id: int | str | None, html: str | None) -> str:
     """One page as an ARC record of an HTTP response, without the closing line end."""
     body = html or ""
     head = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
@@ -116,12 +116,12 @@ def write_arc(pages: DataFrame, path: str) -> None:
             for page_id, url, html in zip(part["page_id"], part["url"], part["html"], strict=True):
                 if written % FILE_RECORDS == 0:
                     out.append(version_block(version, f"pages-{nth}-{written // FILE_RECORDS}.arc"))
-                out.append(arc_record(version, url, None if pd.isna(page_id) else int(page_id), html))
+                out.append(arc_record(version, url, page_id, html))
                 written += 1
             yield pd.DataFrame({"value": out})
 
     (
-        pages.select(F.col("page_id").cast("long"), "url", "html")
+        pages.select(F.col("page_id").cast("long").cast("string"), "url", "html")
         .mapInPandas(rows, "value string")
         .write.option("lineSep", "\n")
         .option("compression", "gzip")
@@ -233,7 +233,7 @@ def arc_records(spark: SparkSession, path: str, payload: bool = True) -> DataFra
 # -- WARC --------------------------------------------------------------------
 
 
-def record_id(page_id: int | None, url: str, date: str, digest: str) -> str:
+def record_id(page_id: int | str | None, url: str, date: str, digest: str) -> str:
     """The identifier that a legacy record gets, the same in every conversion."""
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'arc:{page_id}:{url}:{date}:{digest}')}>"
 
@@ -302,7 +302,9 @@ def warc_rows(records: DataFrame, index: DataFrame | None = None) -> DataFrame:
             part = part.astype(object).where(part.notna(), None)
             yield pd.DataFrame({"value": [warc_record(dict(zip(names, r, strict=True))) for r in part[names].itertuples(index=False)]})
 
-    slim = joined.withColumn("first_id", revisits).withColumn("payload", F.when(F.col("first_id").isNull(), F.col("payload")))
+    # As text, since pandas makes floats of numbers with nulls.
+    texts = {"page_id": F.col("page_id").cast("string"), "first_id": revisits.cast("string")}
+    slim = joined.withColumns(texts).withColumn("payload", F.when(F.col("first_id").isNull(), F.col("payload")))
     return slim.select(names).mapInPandas(rows, "value string")
 
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A word: a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -20,13 +21,24 @@ def columns(df: DataFrame) -> list[Column]:
     return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
 
 
-def numbered(docs: DataFrame, keep: list[Column | str], **more: Column) -> tuple[DataFrame, list[str], str]:
-    """``keep`` columns under numbers, so that they clash with nothing, and more
-    columns; the names they had; their part of a schema."""
-    kept = docs.select(*keep)
-    rows = docs.select(*keep, *more.values()).toDF(*(f"__{i}" for i in range(len(kept.columns))), *more)
-    schema = ", ".join(f"__{i} {f.dataType.simpleString()}" for i, f in enumerate(kept.schema.fields))
-    return rows, kept.columns, schema
+def numbered(
+    docs: DataFrame, keep: list[Column | str], **more: Column
+) -> tuple[DataFrame, str, Callable[[DataFrame], DataFrame]]:
+    """Rows for pandas: ``keep`` columns under numbers, so that they clash with
+    nothing, and more columns. Longs travel as text, since pandas makes floats of
+    those with nulls. Also their part of a schema, and how to give a result with
+    them (and new columns after them) its names and types back."""
+    kept = docs.select(*keep).schema.fields
+    rows = docs.select(*keep, *more.values()).toDF(*(f"__{i}" for i in range(len(kept))), *more)
+    long = [f.dataType == T.LongType() for f in kept]
+    rows = rows.withColumns({f"__{i}": F.col(f"__{i}").cast("string") for i, x in enumerate(long) if x})
+    schema = ", ".join(f"__{i} {'string' if x else f.dataType.simpleString()}" for i, (f, x) in enumerate(zip(kept, long, strict=True)))
+
+    def back(result: DataFrame) -> DataFrame:
+        old = [F.col(f"__{i}").cast(f.dataType).alias(f.name) for i, f in enumerate(kept)]
+        return result.select(*old, *result.columns[len(kept) :])
+
+    return rows, schema, back
 
 
 def n_words(text: Column) -> Column:

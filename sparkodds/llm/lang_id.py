@@ -110,7 +110,7 @@ def predict(docs: DataFrame, vocabulary: pieces.Vocabulary, model: Model, keep:
     probability) of every document's whole text."""
     context = docs.sparkSession.sparkContext
     shared, learned = context.broadcast(vocabulary), context.broadcast(model)
-    rows, names, schema = numbered(docs, keep, text=F.col("text"))
+    rows, schema, back = numbered(docs, keep, text=F.col("text"))
 
     def score(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model, vocabulary = learned.value, shared.value
@@ -138,7 +138,7 @@ def predict(docs: DataFrame, vocabulary: pieces.Vocabulary, model: Model, keep:
             out["lang_pred"], out["score"] = (best, share) if n_lang else ("und", 0.0)
             yield out
 
-    return rows.mapInPandas(score, f"{schema}, lang_pred string, score double").toDF(*names, "lang_pred", "score")
+    return back(rows.mapInPandas(score, f"{schema}, lang_pred string, score double"))
 
 
 def op1_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkodds.llm.common import crc_mod, numbered, read
+from sparkodds.llm.common import crc_mod, numbered, read, spans
 
 # What a sign may stand for.
 LOOK_ALIKES = {
@@ -71,6 +71,9 @@ REPEATED = re.compile(r"([^\W\d_])\1\1")
 _ONE = rf"[^\W_]|[{re.escape(''.join(LOOK_ALIKES))}]"
 SPACED = re.compile(rf"(?<!\w)(?:{_ONE})(?:[{re.escape(BETWEEN)}](?:{_ONE})){{3,}}(?!\w)")
 
+#: Characters that are counted at once.
+CHARS = 1_000_000
+
 #: Longest span that is decoded; longer ones (keys, digests) aren't words.
 SPAN = 60
 
@@ -104,8 +107,10 @@ def trigram_counts(docs: DataFrame) -> DataFrame:
     def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table, total = code_table(), np.zeros(CODES**3, np.int64)
         for part in parts:
-            for text in part["text"]:
-                c = np.concatenate([[0, 0], codes(text.lower(), table), [0]])
+            texts = part["text"].tolist()
+            for piece in spans([len(t) for t in texts], CHARS):
+                # Texts stand apart by edges, as words do.
+                c = np.concatenate([[0, 0], codes("\n\n".join(texts[piece]).lower(), table), [0]])
                 first = np.where(c[1:-1] == 0, 0, c[:-2])
                 total += np.bincount((first * CODES + c[1:-1]) * CODES + c[2:], minlength=CODES**3)
         gram = np.flatnonzero(total)
@@ -309,7 +314,7 @@ def score(docs: DataFrame, model: Model, logp: np.ndarray, keep: list[Column | s
     """``keep`` columns, and the score of every document's whole restored text."""
     context = docs.sparkSession.sparkContext
     shared, sent = context.broadcast(model), context.broadcast(logp)
-    rows, names, schema = numbered(docs, keep, text=F.col("text"))
+    rows, schema, back = numbered(docs, keep, text=F.col("text"))
 
     def parts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         decoder, known, model = Decoder(sent.value), {}, shared.value
@@ -323,7 +328,7 @@ def score(docs: DataFrame, model: Model, logp: np.ndarray, keep: list[Column | s
             out["score"] = model.score(np.array(x).reshape(-1, 3))
             yield out
 
-    return rows.mapInPandas(parts, f"{schema}, score double").toDF(*names, "score")
+    return back(rows.mapInPandas(parts, f"{schema}, score double"))
 
 
 def learned(docs: DataFrame, labels: DataFrame) -> tuple[Model, np.ndarray]:

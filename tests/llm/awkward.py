@@ -20,6 +20,7 @@ ROWS = [
     (8, "12345 !!! ▁   漢字 \U0001f600", None, "s1", 9, None, None, None, None),
     (None, "no id but some words of text", "en", None, 28, None, None, None, None),
     (None, None, None, None, None, None, None, None, None),
+    (2**62 + 1, "an id that no float can hold, and some words", "en", "s1", 2**60 + 1, "x", 1, "r", 1),
     (9, "Größe und Straße\nund noch mehr\n\nund noch mehr", "de", "s2", 40, "w", 4, "r", 4),
     (-5, "a plain text of some words that say nothing", "en", "s1", 10, "x", 1, "r", 1),
 ]
