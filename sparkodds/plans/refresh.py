@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from sparkodds import schemas
 from sparkodds.operators import matching, planning, quality
 from sparkodds.operators.latest import merge_tiers
+from sparkodds.operators.unions import union
 from sparkodds.session import materialize
-from sparkodds.sources import sinks
+from sparkodds.sources import landing, sinks
 
 
 def ordered(df: DataFrame, name: str) -> DataFrame:
@@ -46,6 +47,41 @@ def land_markets(
     sinks.upsert_table(planning.completed(markets), f"{path}/kalshi_trade_pulls", ["ticker"])
 
 
+def land_games(schedules: DataFrame, responses: DataFrame, path: str) -> None:
+    """Upsert one run's schedule pages and per-game payloads below ``path``.
+
+    schedules: page, payload. responses: game_pk, not_found, and the payloads
+    ``plays``, ``win_probability`` and ``live`` as text, NULL where there was none.
+    What can't be read goes to ``quarantine`` with its reason. The pulls are marked
+    last: a run that fails earlier is pulled again, a game that wasn't found is
+    tried again while it is recent (``planning.game_worklist``)."""
+    pages = landing.parse(schedules, "payload", schemas.SCHEDULE, ["page"])
+    listed = materialize(landing.schedule_games(pages.filter(F.col(landing.CORRUPT).isNull()), ["page"]))
+    games = quality.require_rows(planning.schedule_games(listed, "page"), "mlb_games")
+    sinks.upsert_table(schemas.conform(games, "mlb_games"), f"{path}/mlb_games", ["game_pk"])
+    responses = materialize(responses)
+    found = responses.filter("NOT not_found")
+    odds, bad_odds = landing.win_probability_split(found.filter("win_probability IS NOT NULL"), "win_probability")
+
+    def readable(payload: str, ddl: str) -> tuple[DataFrame, DataFrame]:
+        parsed = landing.parse(found.filter(F.col(payload).isNotNull()), payload, ddl, ["game_pk", payload])
+        broken = F.col(landing.CORRUPT).isNotNull()
+        bad = parsed.filter(broken).select("game_pk", F.lit("malformed").alias("reason"), F.col(payload).alias("payload"))
+        return parsed.filter(~broken), bad
+
+    plays, bad_plays = readable("plays", schemas.PLAY_BY_PLAY)
+    live, bad_live = readable("live", schemas.LIVE_FEED)
+    for name, rows, keys in (
+        ("mlb_plays", landing.plays(plays), ["game_pk", "at_bat_index"]),
+        ("mlb_win_probability", odds, ["game_pk", "at_bat_index"]),
+        ("mlb_weather", landing.weather(live), ["game_pk"]),
+    ):
+        sinks.upsert_table(schemas.conform(rows, name), f"{path}/{name}", keys)
+    bad = [b.withColumn("source", F.lit(n)) for n, b in (("plays", bad_plays), ("win_probability", bad_odds), ("live", bad_live))]
+    sinks.append(union(*bad), f"{path}/quarantine")
+    sinks.upsert_table(schemas.conform(responses, "mlb_game_pulls"), f"{path}/mlb_game_pulls", ["game_pk"])
+
+
 def publish_map(
     events: DataFrame,
     markets: DataFrame,

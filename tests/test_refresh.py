@@ -1,3 +1,5 @@
+import json
+
 import pytest
 
 from sparkodds.functions.tickers import team_dimension
@@ -61,3 +63,31 @@ def test_last_item_of_the_pages_wins(spark, tmp_path):
         refresh.land_markets(events, repeats.limit(0), repeats, trades, str(tmp_path))
     assert [r.status for r in spark.read.parquet(f"{tmp_path}/markets").collect()] == ["s299"]
     assert [(r.count_fp, str(r.trade_date)) for r in spark.read.parquet(f"{tmp_path}/trades").collect()] == [("199", "2026-04-30")]
+
+
+def test_land_games(spark, tmp_path):
+    def game(pk, state):
+        return {"gamePk": pk, "gameType": "R", "gameDate": "2026-04-30T16:35:00Z", "officialDate": "2026-04-30", "status": {"codedGameState": state}}
+
+    pages = [(1, {"dates": [{"games": [game(1, "S"), game(2, "F")]}]}), (2, {"dates": [{"games": [game(1, "F")]}]})]
+    schedules = spark.createDataFrame([(n, json.dumps(p)) for n, p in pages], "page int, payload string")
+    plays = json.dumps({"allPlays": [{"about": {"atBatIndex": 0, "inning": 1}, "result": {"event": "Walk"}}]})
+    odds = json.dumps([{"atBatIndex": 0, "homeTeamWinProbability": 51.5}])
+    live = json.dumps({"gameData": {"weather": {"condition": "Clear", "temp": "70", "wind": "5 mph"}}})
+    responses = spark.createDataFrame(
+        [(1, False, plays, odds, live), (2, False, plays[:-9], '{"message": "x"}', None), (3, True, None, None, None)],
+        "game_pk bigint, not_found boolean, plays string, win_probability string, live string",
+    )
+    for _ in range(2):
+        refresh.land_games(schedules, responses, str(tmp_path))
+
+    def table(name):
+        return spark.read.parquet(f"{tmp_path}/{name}")
+
+    assert sorted((r.game_pk, r.coded_game_state) for r in table("mlb_games").collect()) == [(1, "F"), (2, "F")]
+    assert [(r.game_pk, r.event) for r in table("mlb_plays").collect()] == [(1, "Walk")]
+    assert [(r.game_pk, r.home_wp) for r in table("mlb_win_probability").collect()] == [(1, 51.5)]
+    assert [(r.game_pk, r.condition) for r in table("mlb_weather").collect()] == [(1, "Clear")]
+    assert sorted((r.game_pk, r.not_found) for r in table("mlb_game_pulls").collect()) == [(1, False), (2, False), (3, True)]
+    bad = [(r.game_pk, r.source, r.reason) for r in table("quarantine").collect()]
+    assert sorted(set(bad)) == [(2, "plays", "malformed"), (2, "win_probability", "malformed")] and len(bad) == 4
