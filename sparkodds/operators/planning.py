@@ -71,7 +71,7 @@ def completed(markets: DataFrame) -> DataFrame:
 
 
 def game_worklist(games: DataFrame, pulls: DataFrame, today: date) -> DataFrame:
-    """Final games never pulled, or not found but recent enough to try again."""
+    """Final games never pulled, or not found but recent enough to try again, by date."""
     floor = (today - timedelta(days=RETRY_NOT_FOUND_DAYS)).isoformat()
     retry = F.col("not_found") & (F.col("game_date") >= floor)
     return (
@@ -79,6 +79,7 @@ def game_worklist(games: DataFrame, pulls: DataFrame, today: date) -> DataFrame:
         .join(pulls.select("game_pk", "not_found"), "game_pk", "left")
         .filter(F.col("not_found").isNull() | retry)
         .select("game_pk", "game_date")
+        .orderBy("game_date", "game_pk")
     )
 
 

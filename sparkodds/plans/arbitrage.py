@@ -1,7 +1,7 @@
 """The cross-venue job: snapshots → top of book → states → episodes.
 
-Each stage reads its input more than once, so every stage is a table (or, without
-a folder to write to, a checkpoint) for the next."""
+Each stage reads its input more than once, so every stage is written for the next.
+The tables below ``path`` are replaced when all stages have passed their checks."""
 
 from __future__ import annotations
 
@@ -39,31 +39,29 @@ def build(
     through: str = "episodes",
 ) -> Arbitrage:
     """All stages up to ``through`` (quotes, bbo, states or episodes); with
-    ``path`` as parquet tables arb_* below it, otherwise checkpointed."""
-
-    def keep(df: DataFrame, name: str) -> DataFrame:
-        return sinks.rebuild(df, f"{path}/{name}") if path else materialize(df)
-
+    ``path`` and all stages also as parquet tables arb_* below it."""
     out = Arbitrage(None, None, None, None)
-    out.quotes = keep(books.quotes(snapshots, matched, key), "arb_quotes")
+    out.quotes = materialize(books.quotes(snapshots, matched, key))
     if through == "quotes":
         return out
     changes = books.bbo_changes(out.quotes, since, slice_seconds)
     if through == "bbo":
         out.bbo = changes
         return out
-    out.bbo = keep(changes, "arb_bbo")
+    out.bbo = materialize(changes)
     assembled = states.states(out.bbo, slice_seconds)
     if through == "states":
         out.states = assembled
         return out
-    out.states = keep(assembled, "arb_states")
+    out.states = materialize(assembled)
     out.episodes = episodes.episodes(out.states, metadata, slice_seconds, blackout_seconds)
     if path:
-        out.episodes = sinks.rebuild(out.episodes, f"{path}/arb_episodes")
-        info = episodes.build_info(out.bbo, out.states, out.episodes)
-        sinks.rebuild(sinks.with_built_at(info), f"{path}/arb_build_info")
+        out.episodes = materialize(out.episodes)
         quality.gate(
             union(quality.state_checks(out.states), quality.episode_checks(out.episodes))
         )
+        info = episodes.build_info(out.bbo, out.states, out.episodes)
+        for name in ("quotes", "bbo", "states", "episodes"):
+            setattr(out, name, sinks.rebuild(getattr(out, name), f"{path}/arb_{name}"))
+        sinks.rebuild(sinks.with_built_at(info), f"{path}/arb_build_info")
     return out

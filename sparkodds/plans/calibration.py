@@ -67,14 +67,16 @@ def checks(universe: DataFrame, c: Calibration, n_teams: int | None = quality.N_
 
 
 def write(c: Calibration, trades: DataFrame, universe: DataFrame, path: str, n_teams: int | None = quality.N_TEAMS) -> Calibration:
-    """Rebuild the prepared tables below ``path``, then gate them."""
+    """Rebuild the prepared tables below ``path``. They are written aside and gated
+    first, so tables that fail a check replace nothing."""
+    staged = Calibration(c.context, materialize(c.window_trades), materialize(c.pre), materialize(c.innings))
+    quality.gate(checks(universe, staged, n_teams))
+    info = snapshots.build_info(trades, c.context, staged.pre, staged.innings)
     stored = Calibration(
         c.context,
-        sinks.rebuild(c.window_trades, f"{path}/mlb_calib_pre_window_trades"),
-        sinks.rebuild(c.pre, f"{path}/mlb_calib_pre_snapshots"),
-        sinks.rebuild(c.innings, f"{path}/mlb_calib_inning_snapshots"),
+        sinks.rebuild(staged.window_trades, f"{path}/mlb_calib_pre_window_trades"),
+        sinks.rebuild(staged.pre, f"{path}/mlb_calib_pre_snapshots"),
+        sinks.rebuild(staged.innings, f"{path}/mlb_calib_inning_snapshots"),
     )
-    info = snapshots.build_info(trades, c.context, stored.pre, stored.innings)
     sinks.rebuild(sinks.with_built_at(info), f"{path}/mlb_calib_build_info")
-    quality.gate(checks(universe, stored, n_teams))
     return stored
