@@ -6,10 +6,12 @@ number), is removed from its document. Lines of equal sets match whatever their
 word order is and count as one set, placed where the first of them stands.
 
 For the rest: words are ordered by rarity, the rarest first. Matching sets share
-at least SHARED words among their first ones (prefix filter), have sizes within
-the threshold (length filter), and the places of the shared words leave room for
-enough others (positional filter). The words of the pairs that remain are
-compared.
+a word among their first ones (prefix filter), have sizes within the threshold
+(length filter), and the places of the shared words leave room for enough others
+(positional filter, first for each shared word, then for all of a pair); bitmaps
+of the words bound their difference from below. The words of the pairs that remain
+are compared: for each set first with the earliest that it may match, and only if
+it doesn't with the others.
 
 Rarity is the count of a word in all texts, kept as the logarithm of the greatest
 count in each of BUCKETS hash buckets: an order need not be exact to find all
@@ -35,8 +37,8 @@ from sparkodds.session import materialize
 #: Two lines match from this similarity on, in hundredths.
 PERCENT = 90
 
-#: Words that matching sets share, at least, among their first ones.
-SHARED = 2
+#: Bitmaps of 64 bits, by different bits of the words' hashes.
+BITS = {"s0": 0, "s1": 6}
 
 BUCKETS = 1 << 18
 
@@ -46,64 +48,69 @@ SENT = 64 << 20
 _LAST = 2**63 - 1
 
 
-def words(line: Column) -> Column:
-    return F.array_remove(F.split(line, r"[\x20\x09-\x0D]+"), "")
-
-
-def hashed(line: Column) -> Column:
-    return F.array_distinct(F.transform(words(line), lambda w: F.xxhash64(w)))
+SPACE = r"[\x20\x09-\x0D]+"
 
 
 def lines(docs: DataFrame) -> DataFrame:
-    """(doc, text_hash, line_no, line) of all lines."""
-    return docs.where(F.col("text").isNotNull()).select(
+    """(doc, text_hash, line_no, line) of all lines with words, trimmed."""
+    each = docs.where(F.col("text").isNotNull()).select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"),
         F.xxhash64("text").alias("text_hash"),
         F.posexplode(F.split("text", "\n")).alias("line_no", "line"),
     )
+    trimmed = F.btrim("line", F.lit(" \t\x0b\x0c\r"))
+    return each.withColumn("line", trimmed).where(F.col("line") != "")
+
 
+def rarity(docs: DataFrame) -> Column:
+    """For each bucket of word hashes the logarithm of the greatest count of its
+    words, as a constant array. It has BUCKETS numbers at any size."""
+    name = F.xxhash64("word").bitwiseAND(F.lit(2**31 - 1)).cast("int").alias("name")
+    each = lines(docs).select(F.explode(F.split("line", SPACE)).alias("word")).groupBy(name).count()
+    top = each.groupBy(F.col("name").bitwiseAND(F.lit(BUCKETS - 1)).alias("bucket")).agg(F.max("count").alias("n"))
+    table = ["0"] * BUCKETS
+    for bucket, level in top.select("bucket", F.least(F.floor(4 * F.log2("n")), F.lit(127)).cast("int")).collect():
+        table[bucket] = str(level)
+    return F.split(F.lit(",".join(table)), ",").cast("array<int>")
 
-def rarity(docs: DataFrame) -> bytes:
-    """For each bucket of word hashes the logarithm, as the high half of a byte,
-    of the greatest count of its words. BUCKETS bytes at any size."""
-    each = lines(docs).select(F.explode(words(F.col("line"))).alias("word")).groupBy(F.xxhash64("word").alias("word")).count()
-    top = each.groupBy(F.pmod("word", F.lit(BUCKETS)).cast("int").alias("bucket")).agg(F.max("count").alias("n"))
-    table = bytearray(BUCKETS)
-    for bucket, level in top.select("bucket", F.least(F.floor(F.log2("n") / 2), F.lit(15)).cast("int")).collect():
-        table[bucket] = level << 4
-    return bytes(table)
 
+def ordered(line: Column, table: Column) -> Column:
+    """The line's distinct words as hashes with their rarity in the high bits,
+    sorted, so that the rarest come first."""
 
-def ordered(hashes: Column, table: bytes) -> Column:
-    """Word hashes with their rarity in the high bits, so that they sort by it."""
-    known = F.lit(table)
+    def key(word: Column) -> Column:
+        h = F.xxhash64(word)
+        level = F.get(table, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).cast("long")
+        return F.shiftleft(level, 55).bitwiseOR(F.shiftrightunsigned(h, 9))
 
-    def key(h: Column) -> Column:
-        level = F.ascii(F.hex(F.substring(known, F.pmod(h, F.lit(BUCKETS)).cast("int") + 1, F.lit(1))))
-        return F.shiftleft(level.cast("long"), 55) + F.shiftrightunsigned(h, 9)
+    return F.sort_array(F.array_distinct(F.transform(F.split(line, SPACE), key)))
 
-    return F.sort_array(F.transform(hashes, key))
+
+def bitmap(shift: int) -> Column:
+    """The bits that the words of ``words`` have at these places of their hashes."""
+    return F.expr(f"aggregate(words, 0L, (bits, w) -> bits | shiftleft(1L, cast(shiftright(w, {shift}) & 63 as int)))")
 
 
 def ceil_div(n: Column, d: int) -> Column:
     return F.floor((n + (d - 1)) / d).cast("int")
 
 
-def line_sets(docs: DataFrame, table: bytes) -> DataFrame:
-    """(doc, text_hash, line_no, set, n, first): all lines with words; ``first``
-    are the words by which the set may meet others, none for sets so small that
-    only equal ones match."""
+def line_sets(docs: DataFrame, table: Column) -> DataFrame:
+    """(doc, text_hash, line_no, set, n, bitmaps, first): all lines with words;
+    ``first`` are the words by which the set may meet others, none for sets so
+    small that only equal ones match."""
     # n words match m > n of them only if 100 * n >= PERCENT * (n + 1).
     least = math.ceil(PERCENT / (100 - PERCENT))
-    sets = lines(docs).select("doc", "text_hash", "line_no", ordered(hashed(F.col("line")), table).alias("words"))
+    sets = lines(docs).select("doc", "text_hash", "line_no", ordered(F.col("line"), table).alias("words"))
     n = F.size("words")
-    length = n - ceil_div(n * PERCENT, 100) + SHARED
-    return sets.where(n > 0).select(
+    length = n - ceil_div(n * PERCENT, 100) + 1
+    return sets.select(
         "doc",
         "text_hash",
         "line_no",
         F.xxhash64("words").alias("set"),
         n.alias("n"),
+        *(bitmap(shift).alias(s) for s, shift in BITS.items()),
         F.when(n >= least, F.slice("words", F.lit(1), length)).alias("first"),
     )
 
@@ -115,69 +122,94 @@ def sent_if_small(df: DataFrame) -> DataFrame:
 
 
 def candidates(sets: DataFrame) -> DataFrame:
-    """(a, b, n_a, n_b) of the pairs that the filters leave; sets has one row for each set."""
-    first = sets.where(F.col("first").isNotNull()).select("set", "n", F.posexplode("first").alias("at", "word"))
+    """(a, b, n_a, n_b) of the pairs that the filters leave; sets: set, n, bitmaps, first."""
+    first = sets.select("set", "n", *BITS, F.posexplode("first").alias("at", "word"))
 
     def side(name: str) -> DataFrame:
-        return first.select("word", F.col("set").alias(name), F.col("n").alias(f"n_{name}"), (F.col("n") - F.col("at") - 1).alias(f"rest_{name}"))
+        return first.select("word", F.col("set").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in ("n", "at", *BITS)))
 
     near = 100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b")
-    met = side("a").join(side("b"), "word").where((F.col("a") < F.col("b")) & near)
-    shared = met.groupBy("a", "b", "n_a", "n_b").agg(
-        F.count("*").alias("shared"), F.min(F.least("rest_a", "rest_b")).alias("rest")
-    )
     # Common words c of n and m: 100 * c >= PERCENT * (n + m - c).
     needed = ceil_div((F.col("n_a") + F.col("n_b")) * PERCENT, 100 + PERCENT)
-    return shared.where((F.col("shared") >= SHARED) & (F.col("shared") + F.col("rest") >= needed)).select("a", "b", "n_a", "n_b")
-
-
-def matches(docs: DataFrame, table: bytes, sets: DataFrame) -> DataFrame:
-    """(a, b) of different sets that match; sets: set, n, first, doc, text_hash, line_no."""
-    pairs = materialize(candidates(sets))
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct()
-    homes = materialize(sets.join(wanted, "set", "left_semi").select(F.col("set").alias("of"), F.col("doc").alias("home"), "text_hash", "line_no"))
-    # The words of the wanted sets, from the documents that they stand in first.
+    rest = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) - 1
+    passes = near & (F.least("at_a", "at_b") + 1 + rest >= needed)
+    for s in BITS:
+        passes = passes & (F.bit_count(F.col(f"{s}_a").bitwiseXOR(F.col(f"{s}_b"))) <= F.col("n_a") + F.col("n_b") - 2 * needed)
+    met = side("a").join(side("b"), "word").where((F.col("a") < F.col("b")) & passes)
+    shared = met.groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("shared"), F.min(rest).alias("rest"))
+    return shared.where(F.col("shared") + F.col("rest") >= needed).select("a", "b", "n_a", "n_b")
+
+
+def words_of(docs: DataFrame, table: Column, every: DataFrame, start: DataFrame) -> DataFrame:
+    """(of, words) of sets, from the documents that they stand in first; start: of, start."""
+    here = (F.col("set") == F.col("of")) & (place() == F.col("start"))
+    homes = every.join(start, here).select("of", F.col("doc").alias("home"), F.col("text_hash").alias("home_hash"), "line_no")
+    own = materialize(homes.groupBy("home", "home_hash").agg(F.collect_list(F.struct("line_no", "of")).alias("spots")))
     there = docs.where(F.col("text").isNotNull()).select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"), F.xxhash64("text").alias("hash"), "text"
     )
-    own = materialize(homes.groupBy("home", "text_hash").agg(F.collect_list(F.struct("line_no", "of")).alias("spots")))
-    found = (
-        there.join(sent_if_small(own), (F.col("doc") == F.col("home")) & (F.col("hash") == F.col("text_hash")))
+    line = F.btrim(F.get("lines", F.col("spot.line_no")), F.lit(" \t\x0b\x0c\r"))
+    return (
+        there.join(sent_if_small(own), (F.col("doc") == F.col("home")) & (F.col("hash") == F.col("home_hash")))
         .select(F.split("text", "\n").alias("lines"), F.explode("spots").alias("spot"))
-        .select(F.col("spot.of").alias("of"), ordered(hashed(F.get("lines", F.col("spot.line_no"))), table).alias("words"))
+        .select(F.col("spot.of").alias("of"), ordered(line, table).alias("words"))
         .groupBy("of")
         .agg(F.first("words").alias("words"))
     )
-    found = materialize(found)
+
+
+def matching(pairs: DataFrame, words: DataFrame) -> DataFrame:
+    """(late) of the pairs (early, late, n_a, n_b) whose words match."""
+    for name in ("early", "late"):
+        own = words.select(F.col("of").alias(f"of_{name}"), F.col("words").alias(f"words_{name}"))
+        pairs = pairs.join(own, F.col(name) == F.col(f"of_{name}"))
+    common = F.size(F.array_intersect("words_early", "words_late"))
+    return pairs.where(100 * common >= PERCENT * (F.col("n_a") + F.col("n_b") - common)).select("late").distinct()
+
+
+def late_sets(docs: DataFrame, table: Column, every: DataFrame, firsts: DataFrame) -> DataFrame:
+    """(late): sets that match one whose first line is earlier; every: line_sets;
+    firsts: set, place."""
+    sets = every.where(F.col("first").isNotNull()).select("set", "n", *BITS, "first").distinct()
+    pairs = materialize(candidates(sets))
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("of")).distinct()
+    start = firsts.join(wanted, F.col("set") == F.col("of"), "left_semi").select(F.col("set").alias("of"), F.col("place").alias("start"))
+    start = materialize(start)
     for name in ("a", "b"):
-        pairs = pairs.join(found.select(F.col("of").alias(f"of_{name}"), F.col("words").alias(f"words_{name}")), F.col(name) == F.col(f"of_{name}"))
-    common = F.size(F.array_intersect("words_a", "words_b"))
-    return pairs.where(100 * common >= PERCENT * (F.col("n_a") + F.col("n_b") - common)).select("a", "b")
+        pairs = pairs.join(start.select(F.col("of").alias(f"of_{name}"), F.col("start").alias(f"start_{name}")), F.col(name) == F.col(f"of_{name}"))
+    ahead = F.col("start_a") < F.col("start_b")
+    pairs = pairs.where(F.col("start_a") != F.col("start_b")).select(
+        F.when(ahead, F.col("a")).otherwise(F.col("b")).alias("early"),
+        F.when(ahead, F.col("b")).otherwise(F.col("a")).alias("late"),
+        F.least("start_a", "start_b").alias("since"),
+        "n_a",
+        "n_b",
+    )
+    pairs = materialize(pairs)
+    words = materialize(words_of(docs, table, every, start))
+    lead = pairs.groupBy(F.col("late").alias("of")).agg(F.min("since").alias("lead"))
+    led = pairs.join(materialize(lead), F.col("late") == F.col("of"))
+    done = materialize(matching(led.where(F.col("since") == F.col("lead")), words))
+    rest = led.where(F.col("since") != F.col("lead")).join(done.select(F.col("late").alias("done")), F.col("late") == F.col("done"), "left_anti")
+    return done.union(matching(rest, words)).distinct()
+
+
+def place() -> Column:
+    """A line's place in the corpus as one number, so that minima need no sorting."""
+    return (F.col("doc").cast("decimal(20,0)") * F.lit(2**31).cast("decimal(10,0)") + F.col("line_no")).cast("decimal(38,0)")
 
 
 def later_matches(docs: DataFrame) -> DataFrame:
     """(doc, text_hash, line_no) of the lines that match an earlier one."""
     table = rarity(docs)
     every = materialize(line_sets(docs, table))
-    placed = every.withColumn("place", F.struct("doc", "line_no"))
-    firsts = materialize(placed.groupBy("set").agg(F.min("place").alias("place")))
-    named = firsts.select(F.col("set").alias("of"), F.col("place.doc").alias("doc_1"), F.col("place.line_no").alias("line_1"))
-    here = (F.col("set") == F.col("of")) & (F.col("doc") == F.col("doc_1")) & (F.col("line_no") == F.col("line_1"))
-    one = every.join(named, here).groupBy("set").agg(
-        F.first("n").alias("n"), F.first("first").alias("first"), F.min(F.struct("doc", "line_no", "text_hash")).alias("at")
-    )
-    one = materialize(one.select("set", "n", "first", "at.*"))
-    pairs = matches(docs, table, one)
-    for name in ("a", "b"):
-        pairs = pairs.join(firsts.select(F.col("set").alias(f"of_{name}"), F.col("place").alias(f"place_{name}")), F.col(name) == F.col(f"of_{name}"))
-    later = F.when(F.col("place_a") < F.col("place_b"), F.col("b")).when(F.col("place_b") < F.col("place_a"), F.col("a"))
-    late = pairs.select(later.alias("late")).where(F.col("late").isNotNull()).distinct()
-    late = materialize(late.withColumn("matched", F.lit(True)))
+    firsts = materialize(every.groupBy("set").agg(F.min(place()).alias("place")))
+    late = materialize(late_sets(docs, table, every, firsts).withColumn("matched", F.lit(True)))
     known = firsts.join(late, F.col("set") == F.col("late"), "left").select(F.col("set").alias("of"), F.col("place").alias("start"), "matched")
-    # Only sets of several lines, or matched ones, can remove anything.
     return (
-        placed.join(known, F.col("set") == F.col("of"))
-        .where(F.col("matched").isNotNull() | (F.col("place") > F.col("start")))
+        every.select("doc", "text_hash", "line_no", "set")
+        .join(known, F.col("set") == F.col("of"))
+        .where(F.col("matched").isNotNull() | (place() > F.col("start")))
         .select("doc", "text_hash", "line_no")
     )
 
