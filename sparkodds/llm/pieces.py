@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 
@@ -40,6 +41,54 @@ class Vocabulary:
     def __len__(self) -> int:
         return len(self.pieces)
 
+    @cached_property
+    def hashed(self) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the pieces that can be cut from text, ascending, and their ids."""
+        by_length = same_length(names := list(self.ids))
+        keys = np.zeros(len(names), np.uint64)
+        for n, at in by_length.items():
+            keys[at] = run_hashes(code_points([names[i] for i in at], n))[:, n]
+        order = np.argsort(keys)
+        return keys[order], np.fromiter(self.ids.values(), np.int64, len(names))[order]
+
+    @cached_property
+    def slots(self) -> np.ndarray:
+        """Whether any piece has a hash of these high bits; most strings are no piece."""
+        some = np.zeros(1 << _SLOT_BITS, bool)
+        some[(self.hashed[0] >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)] = True
+        return some
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Ids of the pieces with these hashes, -1 where there is none."""
+        keys, ids = self.hashed
+        out = np.full(len(hashes), -1, np.int64)
+        some = np.flatnonzero(self.slots[(hashes >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)])
+        at = np.minimum(np.searchsorted(keys, hashes[some]), len(keys) - 1)
+        hit = keys[at] == hashes[some]
+        out[some[hit]] = ids[at[hit]]
+        return out
+
+
+_SLOT_BITS = 20
+
+#: Odd multipliers of the strings' hashes, modulo 2**64.
+_ODD, _SPREAD = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9
+
+
+def code_points(units: Sequence[str], n: int) -> np.ndarray:
+    """Units of n characters as a matrix."""
+    return np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, n)
+
+
+def run_hashes(points: np.ndarray) -> np.ndarray:
+    """Column i: sum over the first i characters of values times powers of _ODD."""
+    powers = np.multiply.accumulate(np.array([1] + [_ODD] * (points.shape[1] - 1), np.uint64))
+    value = points.astype(np.uint64) + np.uint64(1)
+    value = (value ^ (value << np.uint64(21))) * np.uint64(_SPREAD)
+    out = np.zeros((len(points), points.shape[1] + 1), np.uint64)
+    np.cumsum((value ^ (value >> np.uint64(29))) * powers, axis=1, dtype=np.uint64, out=out[:, 1:])
+    return out
+
 
 _SWAP = str.maketrans({" ": SPACE, SPACE: " "})
 
@@ -47,7 +96,7 @@ _SWAP = str.maketrans({" ": SPACE, SPACE: " "})
 def marked(text: str) -> str:
     """Text as the vocabulary writes it: a space is SPACE, and the character
     SPACE, should a text hold it, a space, which no piece has."""
-    return text.translate(_SWAP)
+    return text.translate(_SWAP) if SPACE in text else text.replace(" ", SPACE)
 
 
 def byte_ids(vocabulary: Vocabulary, edge: int) -> list[int]:
@@ -96,17 +145,21 @@ def same_length(units: Sequence[str]) -> dict[int, list[int]]:
 
 def edges(vocabulary: Vocabulary, units: Sequence[str], n: int) -> dict[tuple[int, int], np.ndarray]:
     """Piece ids of units of n characters by (start, end); -1 where there is no
-    piece. A single character without a piece has len(vocabulary) + its code."""
-    get, size, found = vocabulary.ids.get, len(vocabulary), {}
-    for start in range(n):
-        for end in range(start + 1, min(n, start + vocabulary.longest) + 1):
-            if end == start + 1:
-                ids = [get(c := u[start], size + ord(c)) for u in units]
-            else:
-                ids = [get(u[start:end], -1) for u in units]
-            row = np.array(ids, np.int64)
-            if end == start + 1 or (row >= 0).any():
-                found[start, end] = row
+    piece. A single character without a piece has len(vocabulary) + its code.
+
+    Substrings are looked up by hash, a difference of running sums; a string that
+    is no piece is taken for one with a chance of 2**-49 (pieces by hashes)."""
+    points, found = code_points(units, n), {}
+    run, back = run_hashes(points), pow(_ODD, -1, 2**64)
+    scale = np.array([pow(back, start, 2**64) for start in range(n)], np.uint64)
+    for length in range(1, min(n, vocabulary.longest) + 1):
+        starts = n - length + 1
+        hashes = (run[:, length:] - run[:, :starts]) * scale[:starts]
+        ids = vocabulary.find(hashes.ravel()).reshape(-1, starts)
+        if length == 1:
+            ids = np.where(ids < 0, len(vocabulary) + points.astype(np.int64), ids)
+        for start in np.flatnonzero((ids >= 0).any(axis=0)).tolist():
+            found[start, start + length] = ids[:, start]
     return found
 
 
@@ -114,6 +167,8 @@ def edge_weights(vocabulary: Vocabulary, p: np.ndarray, ids: np.ndarray) -> np.n
     """Probabilities of edges under the rows of p (pieces by languages, or pieces)."""
     size = len(vocabulary)
     known = (ids >= 0) & (ids < size)
+    if known.all():
+        return p[ids]
     w = p[np.where(known, ids, 0)]
     w[~known] = 0
     for i in np.flatnonzero(ids >= size):

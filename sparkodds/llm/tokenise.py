@@ -8,7 +8,7 @@ row's key, the unit's place and the step, so a rerun, another partitioning or a
 lost executor gives the same pieces.
 
 All units of a few million characters are walked together. A unit's lattice is
-built once and kept as a run of one sorted array: node number plus cumulative
+built once and kept as a run of one sorted array, node number and cumulative
 probability of its edges, so a step of all walks is one search.
 
 Decoding joins the pieces' bytes and gives back every text exactly: spaces,
@@ -33,10 +33,11 @@ from pyspark.sql import functions as F
 from sparkodds.llm import pieces
 from sparkodds.llm.common import numbered, read, spans
 
-UNITS = re.compile(r"\n| ?[^ \n]+| +")
+#: Of marked text.
+UNITS = re.compile(rf"\n|{pieces.SPACE}?[^{pieces.SPACE}\n]+|{pieces.SPACE}+")
 
 #: Units that a task remembers, and characters that it cuts at once.
-REMEMBERED, CHARS = 150_000, 1_500_000
+REMEMBERED, CHARS = 120_000, 1_500_000
 
 
 def weights(vocabulary: pieces.Vocabulary, power: float = 0.5) -> np.ndarray:
@@ -53,15 +54,17 @@ def weights(vocabulary: pieces.Vocabulary, power: float = 0.5) -> np.ndarray:
 
 
 def units(text: str) -> list[str]:
-    return pieces.cut_long([pieces.marked(u) for u in UNITS.findall(text)])
+    return pieces.cut_long(UNITS.findall(pieces.marked(text)))
 
 
 class Lattices:
     """Lattices of known units, laid end to end.
 
     Node ``last[u] - n + i`` is boundary i of unit u (n characters). Of each
-    node's edges ``limit`` has node + cumulative probability, ``piece`` the piece
-    and ``before`` the node where the edge starts, -1 at the unit's start."""
+    node's edges ``limit`` has node * 2**32 + cumulative probability * 2**32 in
+    whole numbers, so that a draw doesn't depend on where a lattice lies;
+    ``piece`` is the piece and ``before`` the node where the edge starts, -1 at the
+    unit's start."""
 
     def __init__(self, vocabulary: pieces.Vocabulary, p: np.ndarray) -> None:
         self.vocabulary, self.p = vocabulary, p
@@ -70,7 +73,7 @@ class Lattices:
     def clear(self) -> None:
         self.known: dict[str, int] = {}
         self.last = np.zeros(0, np.int64)
-        self.limit, self.piece, self.before = np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.limit, self.piece, self.before = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
         self.nodes = 0
 
     def add(self, new: list[str]) -> None:
@@ -80,7 +83,7 @@ class Lattices:
             cut = pieces.edges(self.vocabulary, own, n)
             alpha, w = pieces.forward(self.vocabulary, self.p, cut, n)
             base = self.nodes + n * np.arange(len(own))
-            columns = sorted(cut, key=lambda x: x[1])  # by node, that is by end
+            columns = sorted(cut, key=lambda x: (x[1], x[0]))  # by node, that is by end
             share = np.stack([alpha[:, s] * w[s, e] / np.maximum(alpha[:, e], 1e-300) for s, e in columns], axis=1)
             total = np.zeros_like(share)
             for end in range(1, n + 1):
@@ -91,9 +94,9 @@ class Lattices:
                 total[np.arange(len(own)), np.array(of)[nth]] = 1.0
             ends, starts = np.array([e for _, e in columns]), np.array([s for s, _ in columns])
             there = share > 0
-            limit.append((base[:, None] + ends - 1 + total)[there])
-            piece.append(np.stack([cut[c] for c in columns], axis=1)[there])
-            before.append(np.where(starts > 0, base[:, None] + starts - 1, -1)[there])
+            limit.append(((base[:, None] + ends - 1 << 32) + (total * 2.0**32).astype(np.int64))[there])
+            piece.append(np.stack([cut[c] for c in columns], axis=1).astype(np.int32)[there])
+            before.append(np.where(starts > 0, base[:, None] + starts - 1, -1).astype(np.int32)[there])
             last.append(base + n - 1)
             self.known.update(zip(own, range(len(self.known), len(self.known) + len(own)), strict=True))
             self.nodes += n * len(own)
@@ -119,10 +122,10 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def uniform(key: np.ndarray, place: np.ndarray, step: int) -> np.ndarray:
-    """Numbers in [0, 1) by row key, unit and step."""
+    """Numbers below 2**32 by row key, unit and step."""
     of_step = np.uint64((step + 1) * 0xD1342543DE82EF95 % 2**64)
     x = mixed(mixed(key + place * np.uint64(0x9E3779B97F4A7C15)) + of_step)
-    return (x >> np.uint64(11)).astype(np.float64) * 2.0**-53
+    return (x >> np.uint64(32)).astype(np.int64)
 
 
 def row_key(key: object, seed: int) -> int:
@@ -141,10 +144,11 @@ def sample(lattices: Lattices, texts: list[str], keys: list[int]) -> list[np.nda
     key = np.repeat(np.array(keys, np.uint64), lengths)
     first = np.cumsum(lengths) - lengths
     place = (np.arange(len(found)) - np.repeat(first, lengths)).astype(np.uint64)
-    walks, taken, n_taken = np.arange(len(found)), [], np.zeros(len(found), np.int64)
+    # Walks over one lattice stand together, so that searches stay in one place.
+    walks, taken, n_taken = np.argsort(numbers, kind="stable"), [], np.zeros(len(found), np.int64)
     while len(walks):
         u = uniform(key[walks], place[walks], len(taken))
-        edge = np.searchsorted(lattices.limit, node[walks] + u, side="right")
+        edge = np.searchsorted(lattices.limit, (node[walks] << 32) + u, side="right")
         taken.append((walks, lattices.piece[edge]))
         n_taken[walks] += 1
         node[walks] = lattices.before[edge]
@@ -170,7 +174,7 @@ def encode(
 ) -> DataFrame:
     """``keep`` columns and ``pieces``: piece ids of a sampled segmentation."""
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
-    rows, names, schema = numbered(docs, keep, key=F.col(key).cast("string"), text=F.col("text"))
+    rows, schema, back = numbered(docs, keep, key=F.col(key).cast("string"), text=F.col("text"))
 
     def cut(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lattices = Lattices(shared.value, weights(shared.value))
@@ -186,13 +190,13 @@ def encode(
                 )
                 yield out
 
-    return rows.mapInPandas(cut, f"{schema}, pieces array<int>").toDF(*names, "pieces")
+    return back(rows.mapInPandas(cut, f"{schema}, pieces array<int>"))
 
 
 def decode(rows: DataFrame, vocabulary: pieces.Vocabulary, keep: list[Column | str]) -> DataFrame:
     """``keep`` columns and ``decoded``, the text of the pieces."""
     shared = rows.sparkSession.sparkContext.broadcast(vocabulary)
-    rows, names, schema = numbered(rows, keep, pieces=F.col("pieces"))
+    rows, schema, back = numbered(rows, keep, pieces=F.col("pieces"))
 
     def join(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = [pieces.marked(p).encode() for p in shared.value.pieces]
@@ -206,7 +210,7 @@ def decode(rows: DataFrame, vocabulary: pieces.Vocabulary, keep: list[Column | s
                 out["decoded"] = [None if i is None else b"".join(map(get, i.tolist())).decode("utf-8", "replace") for i in ids]
                 yield out
 
-    return rows.mapInPandas(join, f"{schema}, decoded string").toDF(*names, "decoded")
+    return back(rows.mapInPandas(join, f"{schema}, decoded string"))
 
 
 def op5_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
