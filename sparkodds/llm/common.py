@@ -12,8 +12,17 @@ from pyspark.sql import types as T
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def long_texts(spark: SparkSession) -> SparkSession:
+    """For jobs that hand texts to Python: batches of fewer rows, since a batch is
+    held in memory several times over. A session setting, so jobs call this, not
+    operators."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2500")
+    return spark
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table for a named query."""
+    return long_texts(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def columns(df: DataFrame) -> list[Column]:
@@ -50,6 +59,15 @@ def crc_mod(doc_id: Column, n: int) -> Column:
     return (F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n).cast("int")
 
 
+def hashed_sample(df: DataFrame, n: int, *key: str) -> DataFrame:
+    """About n rows, those whose key has a small hash; all if there are no more.
+    Nothing is sorted or shuffled, and the same table gives the same rows."""
+    total, range_ = df.count(), 1 << 30
+    if total <= n:
+        return df
+    return df.where(F.pmod(F.xxhash64(F.lit(29), *key), F.lit(range_)) < n * range_ // total)
+
+
 def spans(lengths: Sequence[int], limit: int) -> Iterator[slice]:
     """Slices of rows whose lengths sum to the limit, or of one longer row."""
     start, total = 0, 0

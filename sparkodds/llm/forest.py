@@ -8,7 +8,7 @@ symbol at a time and tree by tree, until ``gather`` entries have been met. The
 vectors met are ranked by their exact distance.
 
 The whole table is indexed; only the centre that is subtracted before hashing
-comes from a sample, the CENTRE_ROWS vectors of smallest hash. A query whose
+comes from a sample, about CENTRE_ROWS vectors, those of smallest hash. A query whose
 trees end before enough entries are met reaches the root, which holds every
 vector. Equal vectors are one entry with their k + 1 smallest ids, since no
 result can hold more of them.
@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkodds.llm import grid
-from sparkodds.llm.common import read
+from sparkodds.llm.common import hashed_sample, read
 from sparkodds.llm.topk import usable
 from sparkodds.session import materialize
 
@@ -194,7 +194,7 @@ def nearest(
     n_shards, n_blocks = grid.parts(n, grid.SHARD), grid.parts(distinct.count(), grid.BLOCK)
     ranges = min(2 * AXES, grid.parts(n, grid.SHARD))
 
-    sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(CENTRE_ROWS).select("vector").toPandas()["vector"]
+    sample = hashed_sample(vectors, CENTRE_ROWS, "vec_id").select("vec_id", "vector").toPandas().sort_values("vec_id")["vector"]
     centre = grid.matrix(sample).mean(axis=0) if len(sample) else np.zeros(1)
     index = materialize(postings(vectors.withColumnRenamed("vec_id", "id"), centre, trees, ranges, seed))
     asked = materialize(postings(distinct.withColumnRenamed("query_id", "id"), centre, trees, ranges, seed))

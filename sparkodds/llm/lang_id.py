@@ -6,8 +6,8 @@ cut the word into pieces, of the pieces' product: a forward pass sums them, so n
 segmentation has to be chosen. The piece probabilities are learned by expectation
 maximisation with the same lattices.
 
-Training takes a bounded sample: the ``train_docs`` labelled documents of smallest
-hash (documented parameter). Its word counts are made by Spark; each task turns
+Training takes a bounded sample: about ``train_docs`` labelled documents, those of
+smallest hash (documented parameter). Its word counts are made by Spark; each task turns
 its words into expected piece counts, at most one row for each piece and
 language, and only those sums meet. Prediction covers every whole text; a word's
 probabilities are remembered within a task.
@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkodds.llm import pieces
-from sparkodds.llm.common import crc_mod, numbered, read, spans
+from sparkodds.llm.common import crc_mod, hashed_sample, numbered, read, spans
 from sparkodds.session import materialize
 
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -68,10 +68,10 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 def train(docs: DataFrame, vocabulary: pieces.Vocabulary, train_docs: int = 4000, rounds: int = 3) -> Model:
-    """Learn from documents with a language (columns lang, text)."""
+    """Learn from documents with a language (columns doc_id, lang, text)."""
     spark = docs.sparkSession
-    labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
-    sample = labelled.orderBy(F.xxhash64("text"), "lang").limit(train_docs)
+    labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    sample = hashed_sample(labelled, train_docs, "doc_id", "text").select("lang", "text")
     shares = sample.groupBy("lang").count().orderBy("lang").toPandas()
     languages = shares["lang"].tolist()
     if not languages:

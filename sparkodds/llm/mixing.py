@@ -145,7 +145,7 @@ def mixed(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), cap: int = 3) ->
     placed = rows.withColumn("point", point(F.col("row.doc_id")))
     return (
         placed.join(found, F.col("row.source").eqNullSafe(F.col("source")))
-        .withColumn("times", F.expr("sequence(1, 3)") if cap == 3 else F.sequence(F.lit(1), F.lit(cap)))
+        .withColumn("times", F.sequence(F.lit(1), F.lit(cap)))
         .select("row", F.explode(F.slice("times", F.lit(1), copies().cast("int"))).alias("time"))
         .select("row.*")
     )

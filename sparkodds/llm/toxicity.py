@@ -10,7 +10,7 @@ probabilities is the restored word. The restored text is then scored.
   a bound, CODES cubed; the counts grow with the corpus.
 - The lexicon holds words and word beginnings that toxic documents have far more
   often than others. It is learned from a bounded sample of labelled documents:
-  the ``train_docs`` of smallest hash (documented parameter).
+  about ``train_docs``, those of smallest hash (documented parameter).
 - A logistic curve over three numbers of a document turns weights into a score.
   It is fitted on a third of the sample, which the lexicon hasn't seen.
 
@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkodds.llm.common import crc_mod, numbered, read, spans
+from sparkodds.llm.common import crc_mod, hashed_sample, numbered, read, spans
 
 # What a sign may stand for.
 LOOK_ALIKES = {
@@ -72,7 +72,7 @@ _ONE = rf"[^\W_]|[{re.escape(''.join(LOOK_ALIKES))}]"
 SPACED = re.compile(rf"(?<!\w)(?:{_ONE})(?:[{re.escape(BETWEEN)}](?:{_ONE})){{3,}}(?!\w)")
 
 #: Characters that are counted at once.
-CHARS = 1_000_000
+CHARS = 500_000
 
 #: Longest span that is decoded; longer ones (keys, digests) aren't words.
 SPAN = 60
@@ -136,7 +136,7 @@ def language_model(counts: pd.DataFrame) -> np.ndarray:
 class Decoder:
     """Restores texts under a language model."""
 
-    def __init__(self, logp: np.ndarray, remembered: int = 100_000) -> None:
+    def __init__(self, logp: np.ndarray, remembered: int = 30_000) -> None:
         self.logp, self.remembered = logp, remembered
         self.code = {c: i for i, c in enumerate(LETTERS, 1)}
         self.seen: dict[str, str] = {}
@@ -257,8 +257,8 @@ def train(docs: DataFrame, labels: DataFrame, logp: np.ndarray, train_docs: int
     spark = docs.sparkSession
     marks = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
     marks = marks.groupBy(F.col("doc_id").alias("of")).agg((F.max("toxic") > 0).cast("int").alias("toxic"))
-    # Bounded by train_docs rows of two numbers, so it may be broadcast at any size.
-    sample = marks.orderBy(F.xxhash64("of"), "of").limit(train_docs).withColumn("fold", F.pmod(F.xxhash64(F.lit(5), "of"), F.lit(3)))
+    # About train_docs rows of three numbers, so it may be broadcast at any size.
+    sample = hashed_sample(marks, train_docs, "of").withColumn("fold", F.pmod(F.xxhash64(F.lit(5), "of"), F.lit(3)))
     rows = docs.join(F.broadcast(sample), F.col("doc_id") == F.col("of")).select("text", "toxic", "fold")
     context, sent = spark.sparkContext, spark.sparkContext.broadcast(logp)
 
@@ -310,7 +310,7 @@ def train(docs: DataFrame, labels: DataFrame, logp: np.ndarray, train_docs: int
     return model
 
 
-def score(docs: DataFrame, model: Model, logp: np.ndarray, keep: list[Column | str], remembered: int = 400_000) -> DataFrame:
+def score(docs: DataFrame, model: Model, logp: np.ndarray, keep: list[Column | str], remembered: int = 100_000) -> DataFrame:
     """``keep`` columns, and the score of every document's whole restored text."""
     context = docs.sparkSession.sparkContext
     shared, sent = context.broadcast(model), context.broadcast(logp)
