@@ -11,12 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkodds.llm import jaccard_join, line_dedup, mixing, pieces, tokenise, toxicity
-from sparkodds.llm.common import columns
+from sparkodds.llm.common import columns, long_texts
 from sparkodds.session import materialize
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity score doesn't reject."""
+    long_texts(spark)
     model, logp = toxicity.learned(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     # Numbered on the way, so that no column can be mistaken for the operator's.
     kept = [c.alias(f"__{nth}") for nth, c in enumerate(columns(docs))]
@@ -32,6 +33,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the smallest id."""
+    long_texts(spark)
     found = jaccard_join.near_duplicates(docs)
     others = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("of")).distinct()
     rows = docs.select(F.struct("*").alias("row"))
@@ -46,6 +48,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with ``pieces``, a sampled segmentation of the text. A column
     of that name is replaced."""
+    long_texts(spark)
     return tokenise.encode(docs, pieces.load(), columns(docs.drop("pieces")))
 
 
