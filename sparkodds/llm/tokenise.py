@@ -37,7 +37,7 @@ from sparkodds.llm.common import numbered, read, spans
 UNITS = re.compile(rf"\n|{pieces.SPACE}?[^{pieces.SPACE}\n]+|{pieces.SPACE}+")
 
 #: Units that a task remembers, and characters that it cuts at once.
-REMEMBERED, CHARS = 120_000, 1_500_000
+REMEMBERED, CHARS = 160_000, 2_000_000
 
 
 def weights(vocabulary: pieces.Vocabulary, power: float = 0.5) -> np.ndarray:
@@ -103,6 +103,15 @@ class Lattices:
         self.last, self.limit = np.concatenate(last), np.concatenate(limit)
         self.piece, self.before = np.concatenate(piece), np.concatenate(before)
 
+    @classmethod
+    def of(cls, vocabulary: pieces.Vocabulary) -> Lattices:
+        """The lattices of this Python worker, kept from one task to the next."""
+        key = tuple(vocabulary.pieces)
+        if key not in _KEPT:
+            _KEPT.clear()
+            _KEPT[key] = cls(vocabulary, weights(vocabulary))
+        return _KEPT[key]
+
     def numbers(self, found: list[str]) -> np.ndarray:
         new = set(found).difference(self.known)
         if len(self.known) + len(new) > REMEMBERED:
@@ -113,6 +122,9 @@ class Lattices:
         return np.fromiter(map(self.known.__getitem__, found), np.int64, len(found))
 
 
+_KEPT: dict[tuple, Lattices] = {}
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """Bits of 64-bit numbers mixed so that neighbours share nothing (a finaliser
     by shifts and multiplications)."""
@@ -177,7 +189,7 @@ def encode(
     rows, schema, back = numbered(docs, keep, key=F.col(key).cast("string"), text=F.col("text"))
 
     def cut(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lattices = Lattices(shared.value, weights(shared.value))
+        lattices = Lattices.of(shared.value)
         for part in parts:
             texts = [t if isinstance(t, str) else "" for t in part["text"]]
             keys = [row_key(k, seed) for k in part["key"]]
