@@ -14,9 +14,13 @@ from functools import cached_property
 
 import numpy as np
 
-#: Longest unit; longer runs are cut, so that products of probabilities stay in range.
+#: Longest unit; longer runs are cut, so that lattices stay small. Products of
+#: probabilities may leave a double's range before that, see shares().
 UNIT = 40
 
+#: Sums of products below this have lost digits, or all of them.
+LOW = 1e-290
+
 #: How the vocabulary writes a space.
 SPACE = "▁"
 
@@ -189,6 +193,29 @@ def forward(vocabulary: Vocabulary, p: np.ndarray, cut: dict[tuple[int, int], np
     return alpha, weights
 
 
+def shares(alpha: np.ndarray, weights: dict[tuple[int, int], np.ndarray]) -> dict[tuple[int, int], np.ndarray]:
+    """Of each edge, its part of the sum at its end (forward() with p of one axis).
+    Units whose sums leave a double's range are summed again, each boundary with
+    an exponent of its own; powers of two change no digit of a share."""
+    share = {(s, e): alpha[:, s] * w / np.maximum(alpha[:, e], LOW) for (s, e), w in weights.items()}
+    low = np.flatnonzero(alpha.min(axis=1) < LOW)
+    if len(low):
+        into: dict[int, list[int]] = {}
+        for start, end in weights:
+            into.setdefault(end, []).append(start)
+        exponent, part = np.zeros((len(low), alpha.shape[1]), np.int64), np.ones((len(low), alpha.shape[1]))
+        for end in range(1, alpha.shape[1]):
+            w = np.stack([weights[s, end][low] for s in into[end]], axis=1)
+            top = np.where(w > 0, exponent[:, into[end]], -(2**30)).max(axis=1)
+            by = np.where(w > 0, exponent[:, into[end]] - top[:, None], 0)
+            flow = np.ldexp(part[:, into[end]] * w, by)
+            for i, start in enumerate(into[end]):
+                share[start, end][low] = flow[:, i] / flow.sum(axis=1)
+            part[:, end], shift = np.frexp(flow.sum(axis=1))
+            exponent[:, end] = top + shift
+    return share
+
+
 def log_probability(vocabulary: Vocabulary, p: np.ndarray, units: Sequence[str]) -> np.ndarray:
     """Log probability of each unit under each language, all segmentations summed."""
     out = np.zeros((len(units), *p.shape[1:]))

@@ -84,7 +84,8 @@ class Lattices:
             alpha, w = pieces.forward(self.vocabulary, self.p, cut, n)
             base = self.nodes + n * np.arange(len(own))
             columns = sorted(cut, key=lambda x: (x[1], x[0]))  # by node, that is by end
-            share = np.stack([alpha[:, s] * w[s, e] / np.maximum(alpha[:, e], 1e-300) for s, e in columns], axis=1)
+            of_edge = pieces.shares(alpha, w)
+            share = np.stack([of_edge[c] for c in columns], axis=1)
             total = np.zeros_like(share)
             for end in range(1, n + 1):
                 of = [i for i, (_, e) in enumerate(columns) if e == end]

@@ -83,6 +83,31 @@ def test_round_trip(spark, vocabulary):
     assert tokenise.encode(docs(spark, []), vocabulary, ["doc_id"]).count() == 0
 
 
+@pytest.mark.parametrize("first", [0x1F300, 0x0E81, 0x1200, 0x0F40, 0x4E00, 0x3400])
+def test_round_trip_of_characters_without_pieces(vocabulary, first):
+    """40 characters in a run, whose probability as bytes leaves a double's range."""
+    run = "".join(chr(c) for c in range(first, first + 400) if chr(c).isprintable())[:40]
+    texts = [run, run * 3, "a word and " + run + " words", chr(first) * 40, "internationalisation" + run[:20]]
+    lattices = tokenise.Lattices(vocabulary, tokenise.weights(vocabulary))
+    own = [p.encode() for p in map(pieces.marked, vocabulary.pieces)]
+    for value, piece in enumerate(vocabulary.byte):
+        own[piece] = bytes([value])
+    for seed in range(20):
+        found = tokenise.sample(lattices, texts, [tokenise.row_key(k, seed) for k in range(len(texts))])
+        assert [b"".join(own[i] for i in ids).decode() for ids in found] == texts
+
+
+def test_shares_out_of_range():
+    """The same lattice, its probabilities too small for the sums of products."""
+    v, units = small(), ["ab" * 20, "ba" * 20]
+    p = np.where(np.arange(len(v)) < 6, np.random.default_rng(2).random(len(v)), 0.1)
+    tiny = p * 2.0 ** (-40 * np.array([len(x) or 1 for x in v.pieces]))
+    cut = pieces.edges(v, units, 40)
+    want, got = (pieces.shares(*pieces.forward(v, q, cut, 40)) for q in (p, tiny))
+    assert want.keys() == got.keys()
+    assert all(np.allclose(want[e], got[e], rtol=1e-12) for e in want)
+
+
 def test_samples_depend_on_the_key_alone(spark, vocabulary):
     text = "reproducible sampled segmentations of considerable length " * 20
     df = spark.range(40).select(F.col("id").alias("doc_id"), F.lit(text).alias("text"))
