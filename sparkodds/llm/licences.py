@@ -1,8 +1,8 @@
 """Licences of documents, by sentence recognition and ordered rules.
 
-A document's sentences that speak of licences are normalised (case, punctuation,
-names of the work and of holders), looked up in a table of known licence
-sentences and replaced by their identifiers. Rules then match sequences of
+A document's sentences are normalised (case, punctuation, names of the work and
+of holders), looked up in a table of known licence sentences and replaced by
+their identifiers; others that speak of licences become <Unknown>. Rules then match sequences of
 identifiers, in order: a rule takes its sentences away from later ones, so that a
 full text wins over a mention and "any later version" over the version alone.
 
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from sparkodds.llm.common import read
 
-#: Sentences that hold one of these may speak of a licence.
+#: Sentences that hold one of these speak of a licence, known or not.
 SPEAKS = (
     r"(?i)licen[cs]e|copyright|spdx|permission|redistribut|warrant|public domain|general public|creative commons"
     r"|endorse|free software|gnu.org"
@@ -216,7 +216,7 @@ def sentences(text: Column) -> Column:
     text = F.regexp_replace(text, *TAG)
     for pattern, before, after in CUTS:
         text = F.regexp_replace(text, pattern, java(before) + CUT + java(after))
-    return F.filter(F.split(text, CUT), lambda s: s.rlike(SPEAKS))
+    return F.split(text, CUT)
 
 
 def normal(sentence: Column) -> Column:
@@ -228,10 +228,10 @@ def normal(sentence: Column) -> Column:
 
 def identifiers(text: Column) -> Column:
     """The identifiers of a text's licence sentences in order, as <A><B>; <Unknown>
-    for those that aren't known. Texts that don't speak of licences aren't cut."""
+    for those that aren't known but speak of licences."""
     known = F.create_map(*(F.lit(x) for name, all_of in SENTENCES.items() for s in all_of for x in (s, f"<{name}>")))
-    named = F.transform(sentences(text), lambda s: F.coalesce(F.element_at(known, normal(s)), F.lit("<Unknown>")))
-    return F.when(text.rlike(SPEAKS), F.array_join(named, "")).otherwise("")
+    unknown = lambda s: F.when(s.rlike(SPEAKS), "<Unknown>").otherwise("")
+    return F.array_join(F.transform(sentences(text), lambda s: F.coalesce(F.element_at(known, normal(s)), unknown(s))), "")
 
 
 def apply_rules(ids: Column) -> Column:
