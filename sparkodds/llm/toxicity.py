@@ -57,6 +57,9 @@ LOOK_ALIKES = {
 }
 #: Signs that hide a letter, and signs put between letters.
 HIDING, BETWEEN = "*#%&?", " .-_*"
+#: Signs that often stand before and after a word and mean nothing there; marks
+#: around a token that are no sign.
+BEFORE, AFTER, MARKS = HIDING + "(|+", HIDING + "!$+|", ".,;:)\"'"
 
 #: Letters of the language model: a to z, ß to ÿ, any other letter; 0 is the word's edge.
 LETTERS = "abcdefghijklmnopqrstuvwxyz" + "".join(chr(c) for c in range(0xDF, 0x100) if c != 0xF7)
@@ -67,6 +70,7 @@ WORDS = re.compile(r"[^\W\d_]+")
 _SIGNS = re.escape("".join(LOOK_ALIKES) + HIDING)
 SUSPECT = re.compile(rf"[{_SIGNS}]")
 TOKEN = re.compile(r"\S+")
+EDGES = re.compile(rf"([{re.escape(BEFORE)}]*)(.*?)([{re.escape(AFTER)}]*)", re.DOTALL)
 REPEATED = re.compile(r"([^\W\d_])\1\1")
 _ONE = rf"[^\W_]|[{re.escape(''.join(LOOK_ALIKES))}]"
 SPACED = re.compile(rf"(?<!\w)(?:{_ONE})(?:[{re.escape(BETWEEN)}](?:{_ONE})){{3,}}(?!\w)")
@@ -78,7 +82,7 @@ CHARS = 500_000
 SPAN = 60
 
 #: Natural logarithms of the channel's probabilities.
-AS_IS, AS_SIGN, HIDDEN, DROPPED, LITERAL_SIGN = -0.05, -0.7, -4.0, -1.0, -6.0
+AS_IS, AS_SIGN, HIDDEN, DROPPED, LITERAL_SIGN, EDGE_SIGN = -0.05, -0.7, -4.0, -1.0, -6.0, -2.0
 
 
 def code_table() -> np.ndarray:
@@ -140,11 +144,14 @@ class Decoder:
         self.logp, self.remembered = logp, remembered
         self.code = {c: i for i, c in enumerate(LETTERS, 1)}
         self.seen: dict[str, str] = {}
+        self.ends: dict[str, tuple[np.ndarray, np.ndarray]] = {"": (logp[:, :, 0].astype(float), np.zeros((CODES, CODES), int))}
 
     def choices(self, span: str) -> list[list[tuple[str, float]]]:
         """What each character may stand for, "" for nothing, with log probabilities."""
+        before, word, _ = EDGES.fullmatch(span).groups()
         out = []
         for i, c in enumerate(span):
+            edge = not len(before) <= i < len(before) + len(word)
             found: list[tuple[str, float]] = []
             if c.isalpha():
                 found.append((c, AS_IS))
@@ -156,14 +163,33 @@ class Decoder:
                     found.append(("", DROPPED))
                 if c in HIDING:
                     found += [(x, HIDDEN) for x in LETTERS]
-                found.append(("", AS_IS if c in BETWEEN else LITERAL_SIGN))
+                found.append(("", EDGE_SIGN if edge else AS_IS if c in BETWEEN else LITERAL_SIGN))
             out.append(found)
         return out
 
+    def end(self, signs: str, found: list[list[tuple[str, float]]]) -> tuple[np.ndarray, np.ndarray]:
+        """For every state before the last ``signs``: the likeliest way to the word's
+        edge, its score and its first letter's code, 0 for none. ``found`` has the signs' choices."""
+        if signs not in self.ends:
+            if len(self.ends) > 1000:
+                self.ends = {"": self.ends[""]}
+            after = self.end(signs[1:], found[1:])[0]
+            score = after + max(p for x, p in found[0] if not x)
+            letter = np.zeros((CODES, CODES), int)
+            for x, p in sorted(x for x in found[0] if x[0]):
+                c = self.code[x]
+                total = p + self.logp[:, :, c] + after[:, c][None]
+                better = total > score
+                score, letter = np.where(better, total, score), np.where(better, c, letter)
+            self.ends[signs] = score, letter
+        return self.ends[signs]
+
     def viterbi(self, span: str) -> str:
         """The likeliest letters behind a span."""
+        signs = EDGES.fullmatch(span)[3]
+        choices = self.choices(span)
         best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-        for found in self.choices(span):
+        for found in choices[: len(span) - len(signs)]:
             after: dict[tuple[int, int], tuple[float, str]] = {}
             for (a, b), (score, text) in best.items():
                 for letter, p in found:
@@ -176,7 +202,17 @@ class Decoder:
                     if state not in after or (-total, text + letter) < (-after[state][0], after[state][1]):
                         after[state] = (total, text + letter)
             best = after
-        return min((-(score + float(self.logp[a, b, 0])), text) for (a, b), (score, text) in best.items())[1]
+        # The same signs end many words, so what they give is kept.
+        tail = choices[len(span) - len(signs) :]
+        total = self.end(signs, tail)[0]
+        _, text, (a, b) = min((-(score + float(total[state])), text, state) for state, (score, text) in best.items())
+        done = [text]
+        for i in range(len(signs)):
+            c = int(self.end(signs[i:], tail[i:])[1][a, b])
+            if c:
+                done.append(LETTERS[c - 1])
+                a, b = b, c
+        return "".join(done)
 
     def restored(self, span: str) -> str:
         if len(span) > SPAN:
@@ -188,12 +224,21 @@ class Decoder:
         return self.seen[span]
 
     def token(self, match: re.Match) -> str:
-        """A run without white space: decoded if signs stand among its letters."""
-        whole = match[0]
-        core = whole.rstrip("".join([HIDING, ".,;:!?)\"'$+|"])).lstrip(HIDING + "(\"'|+")
+        """A run without white space: decoded if signs stand at its letters."""
+        core = match[0].strip(MARKS)
         if not SUSPECT.search(core) or not WORDS.search(core):
+            return match[0]
+        return match[0].replace(core, self.part(core), 1)
+
+    def part(self, core: str) -> str:
+        """Decoded with the signs at its edges if one is a letter, else between them."""
+        before, word, signs = EDGES.fullmatch(core).groups()
+        if not WORDS.search(word):
+            return core
+        found = self.restored(word) if SUSPECT.search(word) or before or signs else word
+        if (before or signs) and (whole := self.restored(core)) != found:
             return whole
-        return whole.replace(core, self.restored(core), 1)
+        return f"{before}{found if SUSPECT.search(word) else word}{signs}"
 
     def text(self, text: str) -> str:
         """Lower-cased text with suspicious spans restored."""

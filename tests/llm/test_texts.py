@@ -134,6 +134,34 @@ def test_viterbi_is_the_best_path(decoder):
         assert decoder.viterbi(span) in {t for s, t in best if abs(s - top) < 1e-6}
 
 
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("|diot", "idiot"),
+        ("an idio+ one", "an idiot one"),
+        ("+he word$ of", "the words of"),
+        ("thi* place\").", "this place\")."),
+        ("(the) **words** loser!! of***", "(the) **words** loser!! of***"),
+    ],
+)
+def test_signs_at_edges(decoder, text, want):
+    assert decoder.text(text) == want
+
+
+def test_viterbi_is_the_best_path_with_signs_at_edges(decoder):
+    for span in ["|diot", "idio+", "wor$$", "lose*", "(he", "(*f", "of!!", "+he|", "o*?"]:
+        best = []
+        for path in itertools.product(*decoder.choices(span)):
+            text, a, b = "".join(x for x, _ in path), 0, 0
+            score = sum(p for _, p in path)
+            for x in text:
+                score += float(decoder.logp[a, b, c := decoder.code[x]])
+                a, b = b, c
+            best.append((score + float(decoder.logp[a, b, 0]), text))
+        top = max(s for s, _ in best)
+        assert decoder.viterbi(span) in {t for s, t in best if abs(s - top) < 1e-6}
+
+
 def test_held_out_toxicity(spark):
     """The labels that the model hasn't learned from, on a table large enough to learn."""
     sf = "/root/testdata/sf0.1"
