@@ -16,8 +16,9 @@ probabilities is the restored word. The restored text is then scored.
 
 Defined results: null and empty texts get the score of a document without
 findings; without usable labels every score is the share of toxic labels (0
-without any); several labels of a doc_id count as toxic if one is. Only doc_id
-and text, and doc_id and toxic of the labels, are read.
+without any); several labels of a doc_id count as toxic if one is; a token of more
+than SPAN characters is decoded part by part, cut at what is no sign, other spans
+as a whole at any length. Only doc_id and text, and doc_id and toxic of the labels, are read.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from os.path import commonprefix
 
 import numpy as np
 import pandas as pd
@@ -71,6 +73,7 @@ _SIGNS = re.escape("".join(LOOK_ALIKES) + HIDING)
 SUSPECT = re.compile(rf"[{_SIGNS}]")
 TOKEN = re.compile(r"\S+")
 EDGES = re.compile(rf"([{re.escape(BEFORE)}]*)(.*?)([{re.escape(AFTER)}]*)", re.DOTALL)
+PART = re.compile(rf"(?:[^\W_]|[{_SIGNS}])+")
 REPEATED = re.compile(r"([^\W\d_])\1\1")
 _ONE = rf"[^\W_]|[{re.escape(''.join(LOOK_ALIKES))}]"
 SPACED = re.compile(rf"(?<!\w)(?:{_ONE})(?:[{re.escape(BETWEEN)}](?:{_ONE})){{3,}}(?!\w)")
@@ -78,7 +81,7 @@ SPACED = re.compile(rf"(?<!\w)(?:{_ONE})(?:[{re.escape(BETWEEN)}](?:{_ONE})){{3,
 #: Characters that are counted at once.
 CHARS = 500_000
 
-#: Longest span that is decoded; longer ones (keys, digests) aren't words.
+#: Longest span that is remembered, and longest token that is decoded as one span.
 SPAN = 60
 
 #: Natural logarithms of the channel's probabilities.
@@ -189,7 +192,8 @@ class Decoder:
         signs = EDGES.fullmatch(span)[3]
         choices = self.choices(span)
         best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-        for found in choices[: len(span) - len(signs)]:
+        done = []  # what all paths begin with
+        for nth, found in enumerate(choices[: len(span) - len(signs)], 1):
             after: dict[tuple[int, int], tuple[float, str]] = {}
             for (a, b), (score, text) in best.items():
                 for letter, p in found:
@@ -202,11 +206,15 @@ class Decoder:
                     if state not in after or (-total, text + letter) < (-after[state][0], after[state][1]):
                         after[state] = (total, text + letter)
             best = after
+            if nth % 32 == 0:
+                texts = [text for _, text in best.values()]
+                done.append(commonprefix([min(texts), max(texts)]))
+                best = {state: (score, text[len(done[-1]) :]) for state, (score, text) in best.items()}
         # The same signs end many words, so what they give is kept.
         tail = choices[len(span) - len(signs) :]
         total = self.end(signs, tail)[0]
         _, text, (a, b) = min((-(score + float(total[state])), text, state) for state, (score, text) in best.items())
-        done = [text]
+        done.append(text)
         for i in range(len(signs)):
             c = int(self.end(signs[i:], tail[i:])[1][a, b])
             if c:
@@ -216,7 +224,7 @@ class Decoder:
 
     def restored(self, span: str) -> str:
         if len(span) > SPAN:
-            return span
+            return self.viterbi(span)
         if span not in self.seen:
             if len(self.seen) >= self.remembered:
                 self.seen.clear()
@@ -224,10 +232,13 @@ class Decoder:
         return self.seen[span]
 
     def token(self, match: re.Match) -> str:
-        """A run without white space: decoded if signs stand at its letters."""
+        """A run without white space: decoded if signs stand at its letters. A long one
+        is cut at what is no sign."""
         core = match[0].strip(MARKS)
         if not SUSPECT.search(core) or not WORDS.search(core):
             return match[0]
+        if len(core) > SPAN:
+            return PART.sub(lambda m: self.part(m[0]), match[0])
         return match[0].replace(core, self.part(core), 1)
 
     def part(self, core: str) -> str:

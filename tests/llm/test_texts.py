@@ -162,6 +162,13 @@ def test_viterbi_is_the_best_path_with_signs_at_edges(decoder):
         assert decoder.viterbi(span) in {t for s, t in best if abs(s - top) < 1e-6}
 
 
+def test_spans_of_any_length(decoder):
+    assert decoder.text("an idi" + "o" * 3000 + "t") == "an idiot"
+    assert decoder.text("an " + " ".join("stupididiot" * 200)) == "an " + "stupididiot" * 200
+    joined = "the,words,of,this,place," * 4 + "$tup1d/1d10t;and," + "the,other,words," * 4
+    assert decoder.text(joined) == joined.replace("$tup1d/1d10t", "stupid/idiot")
+
+
 def test_held_out_toxicity(spark):
     """The labels that the model hasn't learned from, on a table large enough to learn."""
     sf = "/root/testdata/sf0.1"
