@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sparkodds.llm import align, arc, forest, jaccard_join, lang_id, licences, line_dedup, mixing, spelling, tokenise, topk, toxicity
+from sparkodds.llm import align, arc, forest, jaccard_join, lang_id, licences, line_dedup, mixing, sanitise, spelling, tokenise, topk, toxicity
 
 QUERIES = {
     "op1_lang_id": lang_id.op1_lang_id,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_forest": forest.op8_forest,
     "op9_jaccard": jaccard_join.op9_jaccard,
     "op10_warc": arc.op10_warc,
+    "op11_personal_data": sanitise.op11_personal_data,
     "op12_variants": spelling.op12_variants,
     "op13_align": align.op13_align,
 }
