@@ -82,9 +82,10 @@ def _entity(kind: str, match: Column) -> Column:
     return F.lower(match)
 
 
-def running(values: Column) -> Column:
-    """For each number of an array the sum of those before it."""
-    last = lambda a: F.element_at(a, -1)
+def running(name: str) -> Column:
+    """For each number of an array column the sum of those before it. A column, not
+    an expression, since it is read once for each block."""
+    values, last = F.col(name), lambda a: F.element_at(a, -1)
     summed = lambda a, start: F.aggregate(a, F.array(start), lambda acc, x: F.concat(acc, F.array(last(acc) + x)))
     n = F.floor((F.size(values) + (BLOCK - 1)) / BLOCK).cast("int")
     blocks = F.transform(F.sequence(F.lit(1), n), lambda b: F.slice(values, (b - 1) * BLOCK + 1, F.lit(BLOCK)))
@@ -93,11 +94,15 @@ def running(values: Column) -> Column:
     return F.when(F.size(values) > 0, F.flatten(sums)).otherwise(F.array().cast("array<int>"))
 
 
-def places(gaps: Column, matches: Column) -> Column:
-    """Where matches begin: each behind all gaps and matches before it, and its own gap."""
-    before = F.slice(gaps, F.lit(1), F.size(matches))
-    step = F.zip_with(before, matches, lambda g, m: F.length(g) + F.length(m))
-    return F.zip_with(running(step), before, lambda at, g: at + F.length(g))
+def steps(gaps: Column, matches: Column) -> Column:
+    """The lengths of each match with the gap before it."""
+    return F.zip_with(F.slice(gaps, F.lit(1), F.size(matches)), matches, lambda g, m: F.length(g) + F.length(m))
+
+
+def places(name: str, matches: Column) -> Column:
+    """Where matches begin, from the column of their steps."""
+    ends = F.zip_with(running(name), F.col(name), lambda before, step: before + step)
+    return F.zip_with(ends, matches, lambda end, m: end - F.length(m))
 
 
 def _near(gap: Column, left: bool) -> Column:
@@ -122,7 +127,7 @@ def _spans(nth: int, kind: str, near: bool) -> Column:
             fields += [_near(F.get(gaps, i), True).alias("left"), _near(F.get(gaps, i + 1), False).alias("right")]
         return F.when(_valid(kind, match), F.struct(*fields))
 
-    return F.array_compact(F.transform(places(gaps, matches), span))
+    return F.array_compact(F.transform(places(f"__s_{kind}", matches), span))
 
 
 def with_base(docs: DataFrame, near: bool = False) -> DataFrame:
@@ -137,6 +142,7 @@ def with_base(docs: DataFrame, near: bool = False) -> DataFrame:
     for kind, pattern in KINDS.items():
         cut = F.when(F.size(f"__m_{kind}") > 0, F.split("__text", pattern, -1)).otherwise(none)
         rows = rows.withColumn(f"__g_{kind}", cut)
+    rows = rows.withColumns({f"__s_{kind}": steps(F.col(f"__g_{kind}"), F.col(f"__m_{kind}")) for kind in KINDS})
     spans = [_spans(nth, kind, near) for nth, kind in enumerate(KINDS)]
     return rows.select("row", F.col("__text"), F.array_sort(F.concat(*spans)).alias("base"))
 
@@ -213,7 +219,8 @@ def find(docs: DataFrame, terms: DataFrame) -> DataFrame:
         fields = [at.alias("start"), F.lit(len(KINDS)).alias("kind"), (at + F.length(match)).alias("end"), label.alias("label")]
         return F.when(label.isNotNull() & alone, F.struct(*fields))
 
-    rows = rows.withColumn("__known", F.when(some, known)).withColumn("__at", F.when(some, places(F.col("__g"), F.col("__m"))))
+    rows = rows.withColumn("__known", F.when(some, known)).withColumn("__s", steps(F.col("__g"), F.col("__m")))
+    rows = rows.withColumn("__at", places("__s", F.col("__m")))
     more = F.when(some, F.array_compact(F.transform("__at", span)))
     names = F.array(*(F.lit(k.upper()) for k in KINDS))
     base = F.transform("base", lambda b: F.struct(b["start"], b["kind"], b["end"], F.get(names, b["kind"]).alias("label")))
