@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from datetime import date
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sparkodds import schemas
@@ -15,8 +16,8 @@ from sparkodds.plans import calibration as calibration_plan
 from sparkodds.plans import fixtures as fx
 from sparkodds.plans import oracles as o
 from sparkodds.plans.queries import AGREE, _arb, _context, _duel_inputs, _innings, _pre, _window, query
-from sparkodds.session import materialize
-from sparkodds.sources import landing, typed
+from sparkodds.session import materialize, new_path
+from sparkodds.sources import landing, sinks, typed
 
 ISO = "strftime({c}, '%Y-%m-%dT%H:%M:%SZ')"
 
@@ -165,6 +166,53 @@ def upsert_merge(t):
     return latest.upsert(historical, live, ["o_orderkey"])
 
 
+@query(
+    "stored_added_column",
+    """SELECT o_orderkey AS id, year(o_orderdate)::INT AS season, CASE WHEN o_orderkey % 3 = 0 THEN 'F' ELSE o_orderstatus END AS status,
+        CASE WHEN o_orderkey % 2 = 0 AND o_orderkey % 3 <> 0 THEN o_orderpriority END AS priority FROM orders""",
+)
+def stored_added_column(t):
+    """Three days' upserts into one partitioned table: the second brings a column,
+    the third lacks it again."""
+    path = new_path(t.spark)
+    rows = t.orders.select(F.col("o_orderkey").alias("id"), F.year("o_orderdate").alias("season"), F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority"))
+    third = rows.filter("id % 3 = 0").select("status", "season", "id").withColumn("status", F.lit("F"))
+    for day in (rows.drop("priority"), rows.filter("id % 2 = 0"), third):
+        sinks.upsert_table(day, path, ["id"], ["season"], check_moves=False)
+    return sinks.table(t.spark, path)
+
+
+@query(
+    "stored_versions",
+    """SELECT o_orderstatus, count(*) AS n, 1 AS version FROM orders GROUP BY 1 UNION ALL
+       SELECT o_orderstatus, count(*), 2 FROM orders WHERE o_orderdate >= TIMESTAMP '1995-01-01' GROUP BY 1""",
+)
+def stored_versions(t):
+    """A reader of the first version, beside one of the version that replaced it."""
+    path, by = new_path(t.spark), ["o_orderstatus"]
+    first = sinks.rebuild(t.orders, path)
+    sinks.rebuild(t.orders.filter("o_orderdate >= '1995-01-01'"), path)
+    each = [(first, 1), (sinks.table(t.spark, path), 2)]
+    return union(*(df.groupBy(*by).agg(F.count("*").alias("n")).withColumn("version", F.lit(v)) for df, v in each))
+
+
+@query(
+    "stored_appends",
+    """SELECT n_nationkey AS nation, count(*) AS n, count(*) AS n_ids, true AS ascending FROM customer JOIN nation ON c_nationkey = n_nationkey
+       WHERE n_nationkey < 4 GROUP BY 1""",
+)
+def stored_appends(t):
+    """Four appends with ingestion time and ids; whether later ones have greater ids."""
+    path = new_path(t.spark)
+    for nation in range(4):
+        sinks.append(t.customer.filter(F.col("c_nationkey") == nation).select("c_custkey", F.col("c_nationkey").alias("nation")), path)
+    found = sinks.table(t.spark, path).groupBy("nation").agg(
+        F.count("timestamp").alias("n"), F.countDistinct("id").alias("n_ids"), F.min("id").alias("low"), F.max("id").alias("high")
+    )
+    before = F.lag("high").over(Window.orderBy("nation"))  # four rows
+    return found.select("nation", "n", "n_ids", F.coalesce(F.col("low") > before, F.lit(True)).alias("ascending"))
+
+
 @query(
     "delete_insert",
     """SELECT o_custkey, o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')

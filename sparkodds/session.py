@@ -55,15 +55,20 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def new_path(spark: SparkSession) -> str:
+    """A path for a table of this process, which ``drop_intermediate`` deletes."""
+    _WRITTEN.append(f"{shared_folder(spark)}/{uuid.uuid4().hex}")
+    return _WRITTEN[-1]
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Cut lineage through a written table: what reads the result several times
     computes it once, and a lost executor loses nothing. As parquet the table is
     pruned by column, and its size on disk tells Spark whether it may be
     broadcast."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    path = new_path(spark)
     df.write.parquet(path)
-    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

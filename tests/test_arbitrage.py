@@ -7,6 +7,7 @@ from sparkodds.operators import books
 from sparkodds.operators import episodes as ep
 from sparkodds.plans import arbitrage
 from sparkodds.schemas import table_schema
+from sparkodds.sources import sinks
 from sparkodds.streaming.books import stream_quotes
 
 T0 = datetime(2026, 7, 30, 16, 0, 0)
@@ -116,10 +117,10 @@ def test_doubleheader_keys(spark):
 
 def test_written_tables(spark, tmp_path):
     arbitrage.build(*inputs(spark, OPEN + CROSS), path=str(tmp_path))
-    info = spark.read.parquet(f"{tmp_path}/arb_build_info").first()
+    info = sinks.table(spark, f"{tmp_path}/arb_build_info").first()
     assert (info.n_games, info.n_episodes, info.n_profitable, info.n_arb_states) == (1, 1, 1, 1)
     assert info.built_at is not None
     # a rebuild replaces
     arbitrage.build(*inputs(spark, OPEN), path=str(tmp_path))
-    assert spark.read.parquet(f"{tmp_path}/arb_episodes").count() == 0
-    assert ep.duration_buckets(spark.read.parquet(f"{tmp_path}/arb_episodes")).first()["s10p"] == 0
+    assert sinks.table(spark, f"{tmp_path}/arb_episodes").count() == 0
+    assert ep.duration_buckets(sinks.table(spark, f"{tmp_path}/arb_episodes")).first()["s10p"] == 0

@@ -1,5 +1,6 @@
 import json
 import time
+from concurrent.futures import ThreadPoolExecutor
 from datetime import date
 
 import pytest
@@ -58,24 +59,24 @@ def test_upsert_table(spark, tmp_path):
     d1, d2 = date(2026, 7, 1), date(2026, 7, 2)
     sinks.upsert_table(spark.createDataFrame([(1, d1, "a"), (2, d1, "b"), (3, d2, "c")], ddl), path, ["id"], ["day"])
     sinks.upsert_table(spark.createDataFrame([("B", 2, d1), ("d", 4, d1)], "v string, id bigint, day date"), path, ["id"], ["day"])
-    assert sorted((r.id, r.v) for r in spark.read.parquet(path).collect()) == [(1, "a"), (2, "B"), (3, "c"), (4, "d")]
+    assert sorted((r.id, r.v) for r in sinks.table(spark, path).collect()) == [(1, "a"), (2, "B"), (3, "c"), (4, "d")]
     with pytest.raises(ValueError, match="move between partitions"):
         sinks.upsert_table(spark.createDataFrame([(1, d2, "z")], ddl), path, ["id"], ["day"])
     # the same batch again changes nothing
     again = spark.createDataFrame([(2, d1, "B")], ddl)
     sinks.upsert_table(again, path, ["id"], ["day"])
-    assert spark.read.parquet(path).count() == 4
+    assert sinks.table(spark, path).count() == 4
     whole = str(tmp_path / "w")
     for v in ("x", "y"):
         sinks.upsert_table(spark.createDataFrame([(1, v)], "id bigint, v string"), whole, ["id"])
-    assert [tuple(r) for r in spark.read.parquet(whole).collect()] == [(1, "y")]
+    assert [tuple(r) for r in sinks.table(spark, whole).collect()] == [(1, "y")]
 
 
 def test_replace_keys_append_and_csv(spark, tmp_path):
     path = str(tmp_path / "m")
     sinks.replace_keys(spark.createDataFrame([("a", 1), ("b", 2)], "k string, v int"), path, "k")
     sinks.replace_keys(spark.createDataFrame([("a", 3), ("a", 4)], "k string, v int"), path, "k")
-    assert sorted(tuple(r) for r in spark.read.parquet(path).collect()) == [("a", 3), ("a", 4), ("b", 2)]
+    assert sorted(tuple(r) for r in sinks.table(spark, path).collect()) == [("a", 3), ("a", 4), ("b", 2)]
     log = str(tmp_path / "log")
     for _ in range(2):
         sinks.append(spark.createDataFrame([("start", "kalshi")], "event string, platform string"), log)
@@ -93,7 +94,7 @@ def test_stream_upsert(spark, tmp_path):
         spark.createDataFrame(batch, "id bigint, n int, v string").coalesce(1).write.mode("append").parquet(source)
         stream = spark.readStream.schema("id bigint, n int, v string").parquet(source)
         streaming.upsert_stream(stream, path, str(tmp_path / "cp"), ["id"], ["n"]).awaitTermination()
-    assert sorted(tuple(r) for r in spark.read.parquet(path).collect()) == [(1, 3, "c"), (2, 1, "x")]
+    assert sorted(tuple(r) for r in sinks.table(spark, path).collect()) == [(1, 3, "c"), (2, 1, "x")]
     for _ in range(50):
         if len(log.rows) >= 4:
             break
@@ -162,30 +163,57 @@ def test_last_of_one_batch_wins(spark, tmp_path):
     rows = [(1, i, f"v{i}") for i in range(200)]
     for _ in range(2):
         sinks.upsert_table(spark.createDataFrame(rows, "id bigint, _order int, v string").repartition(7), path, ["id"], order=["_order"])
-    assert [tuple(r) for r in spark.read.parquet(path).collect()] == [(1, "v199")]
+    assert [tuple(r) for r in sinks.table(spark, path).collect()] == [(1, "v199")]
 
 
-def test_a_writer_that_dies_loses_nothing(spark, tmp_path, monkeypatch):
+def test_a_writer_that_dies_loses_nothing(spark, tmp_path):
     path = str(tmp_path / "t")
-    sinks.rebuild(spark.range(5), path)
+    before = sinks.rebuild(spark.range(5), path, view="kept")
     boom = spark.range(5).select(F.expr("id div 0 AS id"))
     with pytest.raises(Exception, match="DIVIDE_BY_ZERO"):
-        sinks.rebuild(boom, path)
-    assert spark.read.parquet(path).count() == 5
-    # between the two renames
-    fs, at = sinks._file_system(spark, path)
-    fs.rename(at(path), at(f"{path}.prior"))
-    assert sinks.exists(spark, path) and spark.read.parquet(path).count() == 5
-
-
-def test_appends_reserve_their_ids(spark, tmp_path):
+        sinks.rebuild(boom, path, view="kept")
+    assert sinks.table(spark, path).count() == spark.table("kept").count() == 5
+    # a reader keeps the version that it began with
+    sinks.rebuild(spark.range(7), path, view="kept")
+    assert (before.count(), sinks.table(spark, path).count(), spark.table("kept").count()) == (5, 7, 7)
+    sinks.rebuild(spark.range(9), path, view="kept")
+    assert sinks.drop_versions(spark, path, keep=2) == 1 and len(sinks.versions(spark, path)) == 2
+    assert sinks.table(spark, path).count() == 9
+    spark.sql("DROP VIEW kept")
+    with pytest.raises(FileNotFoundError):
+        sinks.table(spark, str(tmp_path / "nothing"))
+
+
+def test_appenders_share_no_ids(spark, tmp_path):
     path = str(tmp_path / "log")
-    starts = [sinks.reserve_ids(spark, path, 10) for _ in range(3)]
-    assert starts == [0, 10, 20]
-    for _ in range(3):
-        sinks.append(spark.range(50).selectExpr("id AS n").repartition(3), path)
-    ids = [r.id for r in spark.read.parquet(path).select("id").collect()]
-    assert len(set(ids)) == 150 and min(ids) >= 30
+    rows = spark.range(50).selectExpr("id AS n").repartition(3)
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(lambda i: sinks.append(rows, path), range(4)))
+    sinks.append(spark.range(1).selectExpr("-1L AS n"), path)
+    stored = sinks.table(spark, path)
+    ids = [r.id for r in stored.select("id").collect()]
+    assert len(set(ids)) == 201
+    assert stored.orderBy(F.desc("id")).first().n == -1  # the last one is above the others
+    sinks.append(spark.range(0).selectExpr("id AS n"), path)
+    assert sinks.table(spark, path).count() == 201
+
+
+@pytest.mark.parametrize("partitions", [[], ["p"]])
+def test_added_columns_survive(spark, tmp_path, partitions):
+    path = str(tmp_path / "t")
+    for rows, ddl in (
+        ([(1, "a")], "id bigint, p string"),
+        ([(2, "b", "new")], "id bigint, p string, c string"),
+        ([(3, "b")], "id bigint, p string"),
+        ([(4, "a", 0.5)], "id bigint, p string, d double"),
+        ([(5, "x")], "id bigint, p string"),
+    ):
+        sinks.upsert_table(spark.createDataFrame(rows, ddl), path, ["id"], partitions)
+    got = {r.id: (r.p, r.c, r.d) for r in sinks.table(spark, path).collect()}
+    assert got == {1: ("a", None, None), 2: ("b", "new", None), 3: ("b", None, None), 4: ("a", None, 0.5), 5: ("x", None, None)}
+    sinks.replace_keys(spark.createDataFrame([(2, "b")], "id bigint, p string"), path, "id", partitions)
+    assert {r.id: r.d for r in sinks.table(spark, path).collect()}[4] == 0.5
+    assert set(sinks.table(spark, path).columns) == {"id", "p", "c", "d"}
 
 
 def test_array_payloads_are_quarantined(spark):

@@ -6,6 +6,7 @@ from sparkodds.functions.tickers import team_dimension
 from sparkodds.operators.quality import QualityError
 from sparkodds.plans import refresh
 from sparkodds.schemas import conform
+from sparkodds.sources import sinks
 
 E1, E2 = "KXMLBGAME-26APR301235STLPIT", "KXMLBGAME-26JUN301235STLPIT"
 
@@ -32,7 +33,7 @@ def test_map_is_published_only_when_good(spark, tmp_path):
         refresh.publish_map(*raw(spark), path)
     with pytest.raises(QualityError, match="disagree"):
         refresh.publish_map(*raw(spark, winner="PIT"), path, min_rate=0.5)
-    assert spark.read.parquet(path).count() == 1
+    assert sinks.table(spark, path).count() == 1
 
 
 def test_land_markets(spark, tmp_path):
@@ -41,10 +42,10 @@ def test_land_markets(spark, tmp_path):
     old = markets.selectExpr("ticker", "event_ticker", "'active' AS status")
     for _ in range(2):  # a repeated run changes nothing
         refresh.land_markets(events, old, markets.filter(f"event_ticker = '{E1}'"), trades, str(tmp_path))
-    stored = {r.ticker: r.status for r in spark.read.parquet(f"{tmp_path}/markets").collect()}
+    stored = {r.ticker: r.status for r in sinks.table(spark, f"{tmp_path}/markets").collect()}
     assert len(stored) == 4 and sorted(stored.values()) == ["active", "active", "finalized", "finalized"]
-    assert spark.read.parquet(f"{tmp_path}/kalshi_trade_pulls").count() == 2
-    assert spark.read.parquet(f"{tmp_path}/trades").count() == 1
+    assert sinks.table(spark, f"{tmp_path}/kalshi_trade_pulls").count() == 2
+    assert sinks.table(spark, f"{tmp_path}/trades").count() == 1
     with pytest.raises(QualityError, match="no rows in events"):
         refresh.land_markets(events.limit(0), old, markets, trades, str(tmp_path))
 
@@ -61,8 +62,8 @@ def test_last_item_of_the_pages_wins(spark, tmp_path):
     ).selectExpr("*", place).drop("page", "pos").repartition(5)
     for _ in range(2):
         refresh.land_markets(events, repeats.limit(0), repeats, trades, str(tmp_path))
-    assert [r.status for r in spark.read.parquet(f"{tmp_path}/markets").collect()] == ["s299"]
-    assert [(r.count_fp, str(r.trade_date)) for r in spark.read.parquet(f"{tmp_path}/trades").collect()] == [("199", "2026-04-30")]
+    assert [r.status for r in sinks.table(spark, f"{tmp_path}/markets").collect()] == ["s299"]
+    assert [(r.count_fp, str(r.trade_date)) for r in sinks.table(spark, f"{tmp_path}/trades").collect()] == [("199", "2026-04-30")]
 
 
 def test_land_games(spark, tmp_path):
@@ -82,7 +83,7 @@ def test_land_games(spark, tmp_path):
         refresh.land_games(schedules, responses, str(tmp_path))
 
     def table(name):
-        return spark.read.parquet(f"{tmp_path}/{name}")
+        return sinks.table(spark, f"{tmp_path}/{name}")
 
     assert sorted((r.game_pk, r.coded_game_state) for r in table("mlb_games").collect()) == [(1, "F"), (2, "F")]
     assert [(r.game_pk, r.event) for r in table("mlb_plays").collect()] == [(1, "Walk")]
