@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sparkodds import schemas
 from sparkodds.functions import timefn as tf
 from sparkodds.functions.tickers import date_prefix, pair_key, slug_date
-from sparkodds.operators import latest, matching, planning, quality, snapshots
+from sparkodds.operators import connections, latest, matching, planning, quality, snapshots
 from sparkodds.operators.unions import union
 from sparkodds.plans import calibration as calibration_plan
 from sparkodds.plans import fixtures as fx
@@ -213,6 +213,28 @@ def stored_appends(t):
     return found.select("nation", "n", "n_ids", F.coalesce(F.col("low") > before, F.lit(True)).alias("ascending"))
 
 
+@query(
+    "reconnects",
+    """WITH m AS (SELECT user_id, ts, event_id, row_number() OVER w AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+    kept AS (SELECT user_id, ts, CASE WHEN n % 50 = 40 THEN n - 39 WHEN n % 50 > 40 THEN n - 40 ELSE n END AS seq FROM m WHERE n % 11 <> 5),
+    told AS (SELECT *, lag(seq) OVER w AS last, lag(ts) OVER w AS before FROM kept WINDOW w AS (PARTITION BY user_id ORDER BY ts, seq))
+    SELECT CASE WHEN last IS NULL THEN 'start' ELSE 'reconnect' END AS event, user_id, ts AS timestamp,
+        CASE WHEN last IS NULL THEN 'first message' WHEN seq > last + 1 THEN (seq - last - 1) || ' messages missing after ' || last
+             WHEN seq < last THEN 'numbered from ' || seq || ' again after ' || last
+             ELSE 'silent for ' || (epoch_us(ts) - epoch_us(before)) // 1000 || ' ms' END AS details
+    FROM told WHERE last IS NULL OR seq > last + 1 OR seq < last OR epoch_us(ts) - epoch_us(before) > 86400000000""",
+)
+def reconnects(t):
+    """Interruptions of each user's events: every eleventh is lost, and every
+    fiftieth or so begins to count anew."""
+    by = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    n = F.row_number().over(by)
+    sent = t.events.select("user_id", "ts", n.alias("n")).filter("n % 11 <> 5")
+    seq = F.when(F.col("n") % 50 == 40, F.col("n") - 39).when(F.col("n") % 50 > 40, F.col("n") - 40).otherwise(F.col("n"))
+    messages = sent.select("user_id", "ts", seq.cast("bigint").alias("seq"))
+    return connections.reconnects(messages, ["user_id"], "ts", silence_seconds=86400, slice_seconds=30 * 86400)
+
+
 @query(
     "delete_insert",
     """SELECT o_custkey, o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')

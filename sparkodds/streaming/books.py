@@ -1,114 +1,95 @@
 """Structured Streaming: order-book replay and top-of-book changes.
 
-State is keyed by (market, side), which spreads a market over two keys, and a
-micro-batch is bounded by the source's rate limit (``maxFilesPerTrigger``,
-``maxOffsetsPerTrigger``). A long-running stream passes ``ttl_ms``, after which
-state without updates expires; a venue sends a fresh snapshot after every
-reconnect. Expiry runs on processing time, and such a query never runs out of
-batches, so leave it unset for ``availableNow``. Needs the RocksDB state store.
+Both apply their updates by event time (``streaming.ordered``), so the result does
+not depend on how the updates are cut into files and micro-batches, as long as
+none is later than ``delay``. State is keyed by (market, side), which spreads a
+market over two keys, and a micro-batch is bounded by the source's rate limit
+(``maxFilesPerTrigger``, ``maxOffsetsPerTrigger``). Needs the RocksDB state store.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from typing import Any
 
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessorHandle
 
 from sparkodds.functions.books import complement, levels, top_of
-from sparkodds.operators.replay import BOOK, REPLAY_SCHEMA, apply_update, book_text
+from sparkodds.functions.timefn import from_micros
+from sparkodds.operators.replay import BOOK, ORDER, apply_update, book_text
+from sparkodds.streaming.ordered import InOrder, in_order
 
-CHANGE_SCHEMA = (
-    "game_key string, update_type string, timestamp timestamp_ntz, seq bigint, price double, size double"
-)
+DELAY = "10 seconds"
 
 
-def _time_mode(ttl_ms: int | None) -> str:
-    return "None" if ttl_ms is None else "ProcessingTime"
+class BookReplay(InOrder):
+    """Holds one side's levels; yields the whole side after each applied update."""
 
+    def __init__(self, fields: Sequence[tuple[str, str]], order: Sequence[str], names: Sequence[str], keep: Sequence[str]):
+        super().__init__(fields, order, names)
+        self.keep = list(keep)
 
-class BookReplay(StatefulProcessor):
-    """Holds one side's levels; emits the whole side after each applied update."""
+    def start(self, handle: StatefulProcessorHandle) -> None:
+        self.side = handle.getValueState("side", "prices array<string>, quantities array<bigint>")
 
-    def __init__(self, ttl_ms: int | None = None):
-        self.ttl_ms = ttl_ms
+    def apply(self, key: Any, at: int, rows: list[dict[str, Any]]) -> Iterator[Row]:
+        book = dict(zip(*self.side.get(), strict=True)) if self.side.exists() else None
+        for r in rows:
+            if book is None and not r["is_snapshot"]:
+                continue
+            book = apply_update(book or {}, r["levels"] if r["is_snapshot"] else None, r["price"], r["delta"])
+            yield self.row(*key, *(r[c] for c in (*ORDER, *self.keep)), book_text(book))
+        if book is not None:
+            self.side.update((list(book), list(book.values())))
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getValueState("seen", "seen boolean", self.ttl_ms)
-        self.levels = handle.getMapState("levels", "price string", "qty bigint", self.ttl_ms)
 
-    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        seen = self.seen.exists()
-        before = {k[0]: v[0] for k, v in self.levels.iterator()} if seen else {}
-        book = dict(before)
-        for r in sorted(rows, key=lambda r: (r["source_ts"], r["seq"])):
-            if not (seen or r["is_snapshot"]):
-                continue
-            seen = True
-            delta = None if r["delta"] is None else int(r["delta"] * 100)
-            book = apply_update(book, r["levels"] if r["is_snapshot"] else None, r["price"], delta)
-            yield Row(
-                market_id=key[0], side=key[1], source_ts=r["source_ts"], seq=r["seq"], book_json=book_text(book)
-            )
-        if seen:
-            self.seen.update((True,))
-            for price in before.keys() - book.keys():
-                self.levels.removeKey((price,))
-            for price, qty in book.items():
-                if before.get(price) != qty:
-                    self.levels.updateValue((price,), (qty,))
-
-    def close(self) -> None:
-        pass
-
-
-def replay_stream(updates: DataFrame, ttl_ms: int | None = None) -> DataFrame:
-    """Streaming twin of ``operators.replay.replay``; same columns."""
-    return updates.groupBy(*BOOK).transformWithState(
-        statefulProcessor=BookReplay(ttl_ms),
-        outputStructType=REPLAY_SCHEMA,
-        outputMode="Append",
-        timeMode=_time_mode(ttl_ms),
-    )
+def _times_back(made: DataFrame, like: DataFrame) -> DataFrame:
+    """Columns that travelled as microseconds in their type, in the order of ``made``."""
+    naive = {f.name for f in like.schema.fields if f.dataType.typeName() == "timestamp_ntz"}
+    return made.select(*(from_micros(c).alias(c) if c in naive else F.col(c) for c in made.columns))
+
 
+def _output(like: DataFrame, columns: Sequence[str]) -> str:
+    kinds = {f.name: f.dataType.simpleString() for f in like.schema.fields}
+    return ", ".join(f"`{c}` {'bigint' if kinds[c] == 'timestamp_ntz' else kinds[c]}" for c in columns)
 
-class TopChanges(StatefulProcessor):
-    """Holds a leg's last price and size; emits the rows that change either."""
 
-    def __init__(self, ttl_ms: int | None = None):
-        self.ttl_ms = ttl_ms
+def replay_stream(updates: DataFrame, delay: str = DELAY, keep: Sequence[str] = ()) -> DataFrame:
+    """Streaming twin of ``operators.replay.replay``: the same rows with the
+    update's ``keep`` columns, such as the receive time and the platform."""
+    cents = updates.withColumn("delta", (F.col("delta") * 100).cast("bigint"))
+    used = cents.select(*BOOK, *ORDER, "is_snapshot", "levels", "price", "delta", *keep)
+    output = f"{_output(used, [*BOOK, *ORDER, *keep])}, book_json string"
+    made = in_order(used, BOOK, "source_ts", ["source_ts", "seq"], BookReplay, output, delay, keep=keep)
+    rows = _times_back(made, used)
+    return rows.select(*BOOK, *ORDER, "book_json", *keep)
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "price double, size double", self.ttl_ms)
 
-    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+class TopChanges(InOrder):
+    """Holds a leg's last price and size; yields the rows that change either."""
+
+    def start(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", "price double, size double")
+
+    def apply(self, key: Any, at: int, rows: list[dict[str, Any]]) -> Iterator[Row]:
         known = self.last.exists()
         last = tuple(self.last.get()) if known else None
-        for r in sorted(rows, key=lambda r: (r["timestamp"], r["seq"])):
+        for r in rows:
             now = (r["price"], r["size"])
             if not known or now != last:
-                yield Row(
-                    game_key=key[0], update_type=key[1], timestamp=r["timestamp"], seq=r["seq"],
-                    price=r["price"], size=r["size"],
-                )
+                yield self.row(*key, r["timestamp"], r["seq"], *now)
             known, last = True, now
-        if known:
-            self.last.update(last)
+        self.last.update(last)
 
-    def close(self) -> None:
-        pass
 
-
-def top_changes_stream(quotes: DataFrame, ttl_ms: int | None = None) -> DataFrame:
+def top_changes_stream(quotes: DataFrame, delay: str = DELAY) -> DataFrame:
     """Streaming twin of ``operators.books.bbo_changes`` on quotes with a ``seq``."""
-    return quotes.groupBy("game_key", "update_type").transformWithState(
-        statefulProcessor=TopChanges(ttl_ms),
-        outputStructType=CHANGE_SCHEMA,
-        outputMode="Append",
-        timeMode=_time_mode(ttl_ms),
-    )
+    keys = ["game_key", "update_type"]
+    used = quotes.select(*keys, "timestamp", "seq", "price", "size")
+    made = in_order(used, keys, "timestamp", ["timestamp", "seq"], TopChanges, _output(used, used.columns), delay)
+    return _times_back(made, used)
 
 
 def stream_quotes(books: DataFrame, dimension: DataFrame) -> DataFrame:
