@@ -4,13 +4,26 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkodds.functions.timefn import micros, time_slice
+from sparkodds.functions.timefn import micros
 from sparkodds.session import materialize
 
 
+#: Bins of one level are so many times as wide as those of the level below.
+STEP, LEVELS = 8, 16
+
+
+def _level(length: Column, width: int) -> Column:
+    """The greatest level whose bins are no wider than an interval."""
+    level = F.lit(0)
+    for k in range(1, LEVELS):
+        if width * STEP**k < 2**62:
+            level = F.when(length >= width * STEP**k, k).otherwise(level)
+    return level
+
+
 def interval_join(
     points: DataFrame,
     intervals: DataFrame,
@@ -22,31 +35,34 @@ def interval_join(
 ) -> DataFrame:
     """Points joined to every interval of the same key with start <= ts < end.
 
-    Intervals are listed once per time bin they touch, so the join is an
-    equi-join on (key, bin): a hot key is spread over its bins and a point meets
-    only intervals near it. Choose the bin about as wide as the intervals are
-    long or somewhat shorter; it does not change the result.
+    Intervals are listed by time bin, so the join is an equi-join on (key, bin): a
+    hot key is spread over its bins and a point meets only intervals near it. Bins
+    come in levels, each STEP times as wide as the one below, and an interval is
+    listed in the widest bins that are no wider than itself: at most STEP + 1 times
+    from ``bin_seconds`` on, however long it is. A point is listed once for each
+    level that intervals are in, which is one where they are about as long.
 
-    The points' first and last time cut intervals without an end, the intervals'
-    prune the points' files. The listed intervals are written, so that Spark
-    knows their size when it chooses a join; nothing is broadcast by hint.
+    One pass over the intervals finds their levels and the time that they span,
+    which prunes the points' files; the points are read by the join alone. The
+    listed intervals are written, so that Spark knows their size when it chooses a
+    join; nothing is broadcast by hint.
     """
     width = int(bin_seconds * 1_000_000)
-    known = intervals.filter(F.col(start) < F.col(end))
-    low, high = known.agg(F.min(start).cast("string"), F.max(end).cast("string")).first()
+    known = intervals.filter(F.col(start) < F.col(end)).withColumn("_level", _level(micros(end) - micros(start), width))
+    low, high, levels = known.agg(F.min(start).cast("string"), F.max(end).cast("string"), F.collect_set("_level")).first()
     kind = dict(points.dtypes)[ts]
     points = points.filter((F.col(ts) >= F.lit(low).cast(kind)) & (F.col(ts) < F.lit(high).cast(kind)))
-    first, last = points.agg(F.min(micros(ts)), F.max(micros(ts))).first()
+    levels = sorted(levels) or [0]
+    wide = F.element_at(F.array(*(F.lit(width * STEP**k).cast("bigint") for k in range(max(levels) + 1))), F.col("_level") + 1)
     # the end is exclusive: an interval ending on a bin edge does not reach into it
-    from_bin = F.floor(F.greatest(micros(start), F.lit(first)) / F.lit(float(width))).cast("bigint")
-    to_bin = F.floor(F.least(micros(end) - 1, F.lit(last)) / F.lit(float(width))).cast("bigint")
-    met = known.filter((micros(end) > F.lit(first)) & (micros(start) <= F.lit(last)))  # none without points
-    binned = materialize(met.withColumn("_bin", F.explode(F.sequence(from_bin, to_bin))))
+    from_bin, to_bin = (F.floor(at / wide.cast("decimal(20,0)")).cast("bigint") for at in (micros(start), micros(end) - 1))
+    binned = materialize(known.withColumn("_bin", F.explode(F.sequence(from_bin, to_bin))))
+    listed = points.withColumn("_level", F.lit(levels[0]) if len(levels) == 1 else F.explode(F.array(*map(F.lit, levels))))
     return (
-        points.withColumn("_bin", time_slice(ts, bin_seconds))
-        .join(binned, [*keys, "_bin"], "inner")
+        listed.withColumn("_bin", F.floor(micros(ts) / wide.cast("decimal(20,0)")).cast("bigint"))
+        .join(binned, [*keys, "_level", "_bin"], "inner")
         .filter((F.col(ts) >= F.col(start)) & (F.col(ts) < F.col(end)))
-        .drop("_bin")
+        .drop("_level", "_bin")
     )
 
 

@@ -2,11 +2,6 @@
 
 from __future__ import annotations
 
-import bisect
-import math
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -400,61 +395,31 @@ def venue_b_moneylines(events: DataFrame, day: str | None = None) -> DataFrame:
     )
 
 
-class _Remaining:
-    """The unused events of one pair: timed ones sorted by start, and the rest."""
-
-    def __init__(self) -> None:
-        self.timed: list[tuple[float, str]] = []
-        self.untimed: set[str] = set()
-
-    def __len__(self) -> int:
-        return len(self.timed) + len(self.untimed)
-
-    def add(self, event: str, at: float) -> None:
-        if math.isnan(at):
-            self.untimed.add(event)
-        else:
-            bisect.insort(self.timed, (at, event))
-
-    def take(self, at: float) -> str | None:
-        """The last one unconditionally, else the nearest start within the tolerance."""
-        if not len(self):
-            return None
-        if len(self) == 1:
-            return self.untimed.pop() if self.untimed else self.timed.pop()[1]
-        if math.isnan(at):
-            return None
-        here = bisect.bisect_left(self.timed, (at, ""))
-        nearby = [here] if here < len(self.timed) else []
-        if here:
-            # the first of the events that share the nearest earlier start
-            nearby.append(bisect.bisect_left(self.timed, (self.timed[here - 1][0], "")))
-        gap, event, i = min(
-            ((abs(self.timed[i][0] - at), self.timed[i][1], i) for i in nearby), default=(math.inf, "", -1)
+def _serve(asks: Column, events: Column) -> Column:
+    """The (ask, event) pairs of one team pair and day: asks, in order, each take an
+    unused event. The last event is taken whatever its start, else the one whose
+    start is nearest within the tolerance (ties: the smaller ticker)."""
+    tolerance = START_TOLERANCE_SECONDS * 1_000_000
+
+    def step(acc: Column, ask: Column) -> Column:
+        left = acc["left"]
+        timed = F.filter(left, lambda e: F.abs(e["at"] - ask["at"]) <= tolerance)
+        nearest = F.array_min(F.transform(timed, lambda e: F.struct(F.abs(e["at"] - ask["at"]).alias("gap"), e.alias("event"))))["event"]
+        # an array of one, so that the choice is made once and then used twice
+        chosen = F.array(F.when(F.size(left) == 1, F.get(left, F.lit(0))).otherwise(nearest))
+        taken = F.transform(
+            chosen,
+            lambda c: F.when(c.isNull(), acc).otherwise(
+                F.struct(
+                    F.filter(left, lambda e: e["event_ticker"] != c["event_ticker"]).alias("left"),
+                    F.concat(acc["pairs"], F.array(F.struct(ask.alias("ask"), c.alias("event")))).alias("pairs"),
+                )
+            ),
         )
-        if gap > START_TOLERANCE_SECONDS:
-            return None
-        del self.timed[i]
-        return event
-
-
-def _assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows of whole pairs in order, events before the asks they serve."""
-    pair, left = None, _Remaining()
-    for pdf in batches:
-        out = []
-        for day, lo, hi, is_ask, name, at in zip(
-            pdf["game_date"], pdf["_lo"], pdf["_hi"], pdf["_ask"], pdf["name"], pdf["_at"]
-        ):
-            if (day, lo, hi) != pair:
-                pair, left = (day, lo, hi), _Remaining()
-            if not is_ask:
-                left.add(name, at)
-            else:
-                chosen = left.take(at)
-                if chosen is not None:
-                    out.append((name, chosen))
-        yield pd.DataFrame(out, columns=["slug", "event_ticker"])
+        return F.get(taken, F.lit(0))
+
+    none = F.filter(F.transform(asks, lambda a: F.struct(a.alias("ask"), F.get(events, F.lit(0)).alias("event"))), lambda p: F.lit(False))
+    return F.aggregate(asks, F.struct(events.alias("left"), none.alias("pairs")), step, lambda acc: acc["pairs"])
 
 
 def match_venues(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -462,44 +427,33 @@ def match_venues(a: DataFrame, b: DataFrame) -> DataFrame:
     served in slug order. A chosen event is used up; of listings that were landed
     twice the one that sorts first counts.
 
-    Pairs with one event need no order-dependent choice and stay aggregates and
-    joins. Pairs with several (a doubleheader day) are sorted by Spark and read
-    as a stream that holds only the pair's unused events.
+    Pairs with one event need no order-dependent choice and stay aggregates and a
+    join. Of the others (doubleheader days) the listings of one pair and day, a
+    handful, meet as arrays, and a fold serves them.
     """
     key = ["game_date", "_lo", "_hi"]
     a = keep_first(a, ["event_ticker"], [c for c in a.columns if c != "event_ticker"])
     b = keep_first(b, ["slug"], [c for c in b.columns if c != "slug"])
-    left = a.select("*", *_low_high("away", "home"))
-    right = b.select("*", *_low_high("away", "home"))
-    counts = left.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"), F.min("event_ticker").alias("event_ticker"))
-    single = (
-        right.groupBy(*key).agg(F.min("slug").alias("slug"))
-        .join(counts.filter("_n = 1"), key)
-        .select("slug", "event_ticker")
-    )
-
-    def rows(df: DataFrame, name: str, ask: bool) -> DataFrame:
-        at = F.coalesce(micros("start_utc") / F.lit(1e6), F.lit(float("nan")))
-        return df.select(*key, F.lit(ask).alias("_ask"), F.col(name).alias("name"), at.alias("_at"))
-
-    crowded = union(rows(left, "event_ticker", False), rows(right, "slug", True)).join(
-        counts.filter("_n > 1").select(*key), key, "left_semi"
-    )
-    ordered = crowded.repartition(*key).sortWithinPartitions(*key, "_ask", "name")
-    pairs = union(single, ordered.mapInPandas(_assign, "slug string, event_ticker string"))
-    return (
-        pairs.join(b.select("slug", "event_slug", "game_date", "away", "home"), "slug")
-        .join(a.select("event_ticker", "away_ticker", "home_ticker"), "event_ticker")
-        .select(
-            "game_date",
-            F.col("away").alias("away_team"),
-            F.col("home").alias("home_team"),
-            F.col("away_ticker").alias("kalshi_ticker_away"),
-            F.col("home_ticker").alias("kalshi_ticker_home"),
-            F.col("slug").alias("poly_slug"),
-            F.col("event_ticker").alias("kalshi_event_ticker"),
-            F.col("event_slug").alias("poly_event_slug"),
-        )
+    at = F.when(F.col("start_utc").isNotNull(), micros("start_utc")).alias("at")
+    event = F.struct("event_ticker", "away_ticker", "home_ticker", at)
+    ask = F.struct("slug", "event_slug", "away", "home", at)
+    left = a.select(*_low_high("away", "home"), "game_date", event.alias("event"))
+    right = b.select(*_low_high("away", "home"), "game_date", ask.alias("ask"))
+    counts = materialize(left.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"), F.min("event").alias("event")))
+    single = right.groupBy(*key).agg(F.min("ask").alias("ask")).join(counts.filter("_n = 1"), key).select("game_date", "ask", "event")
+    many = counts.filter("_n > 1").select(*key)
+    events = left.join(many, key, "left_semi").groupBy(*key).agg(F.sort_array(F.collect_list("event")).alias("events"))
+    asks = right.join(many, key, "left_semi").groupBy(*key).agg(F.sort_array(F.collect_list("ask")).alias("asks"))
+    served = events.join(asks, key).select("game_date", F.inline(_serve(F.col("asks"), F.col("events"))))
+    return union(single, served).select(
+        "game_date",
+        F.col("ask.away").alias("away_team"),
+        F.col("ask.home").alias("home_team"),
+        F.col("event.away_ticker").alias("kalshi_ticker_away"),
+        F.col("event.home_ticker").alias("kalshi_ticker_home"),
+        F.col("ask.slug").alias("poly_slug"),
+        F.col("event.event_ticker").alias("kalshi_event_ticker"),
+        F.col("ask.event_slug").alias("poly_event_slug"),
     )
 
 

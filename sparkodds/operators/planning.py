@@ -70,6 +70,40 @@ def completed(markets: DataFrame) -> DataFrame:
     return markets.filter(F.col("status") == "finalized").select("ticker")
 
 
+PHASES = ["historical", "live"]
+
+
+def run_phases(plan: DataFrame) -> DataFrame:
+    """(ticker, phase, min_ts): the parts of a run that ``trade_plan`` asks for."""
+    wanted = F.filter(
+        F.array(*(F.struct(F.lit(p).alias("phase"), F.col(p).alias("wanted")) for p in PHASES)), lambda x: x["wanted"]
+    )
+    return plan.select("ticker", "min_ts", F.explode(wanted).alias("x")).select("ticker", F.col("x.phase").alias("phase"), "min_ts")
+
+
+def run_states(planned: DataFrame, pages: DataFrame) -> DataFrame:
+    """(ticker, phase, n_pages, state) of every planned part, by the pages that have
+    arrived, (ticker, phase, page, is_last) numbered from 1: ``complete`` if the
+    last page is there and none before it is missing, ``landed`` if some are,
+    ``planned`` if none is. Pages that arrive twice count once; a market without
+    trades has one page, an empty last one. Pages that nobody asked for are left
+    out."""
+    arrived = pages.groupBy("ticker", "phase").agg(
+        F.countDistinct("page").alias("n_pages"), F.max(F.when(F.col("is_last"), F.col("page"))).alias("_last"), F.max("page").alias("_top")
+    )
+    whole = (F.col("_top") == F.col("_last")) & (F.col("n_pages") == F.col("_last"))
+    state = F.when(F.col("n_pages").isNull(), "planned").when(whole, "complete").otherwise("landed")
+    return planned.select("ticker", "phase").join(arrived, ["ticker", "phase"], "left").select(
+        "ticker", "phase", F.coalesce("n_pages", F.lit(0)).cast("bigint").alias("n_pages"), state.alias("state")
+    )
+
+
+def completed_in_run(states: DataFrame, markets: DataFrame) -> DataFrame:
+    """Finalized markets of which every planned part is complete."""
+    whole = states.groupBy("ticker").agg(F.bool_and(F.col("state") == "complete").alias("_whole")).filter("_whole")
+    return completed(markets).join(whole, "ticker", "left_semi")
+
+
 def game_worklist(games: DataFrame, pulls: DataFrame, today: date) -> DataFrame:
     """Final games never pulled, or not found but recent enough to try again, by date."""
     floor = (today - timedelta(days=RETRY_NOT_FOUND_DAYS)).isoformat()

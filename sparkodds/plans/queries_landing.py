@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import date
+from datetime import date, datetime
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -213,6 +213,56 @@ def stored_appends(t):
     return found.select("nation", "n", "n_ids", F.coalesce(F.col("low") > before, F.lit(True)).alias("ascending"))
 
 
+@query(
+    "pull_run_states",
+    """WITH phases AS (SELECT o_orderkey, o_orderstatus, unnest(['historical', 'live']) AS phase, o_orderdate FROM orders),
+    planned AS (SELECT * FROM phases WHERE phase = 'live' OR o_orderdate < TIMESTAMP '1996-01-01'),
+    sent AS (SELECT l_orderkey, CASE WHEN l_linenumber > 3 THEN 'live' ELSE 'historical' END AS phase,
+        CASE WHEN l_linenumber > 3 THEN l_linenumber - 3 ELSE l_linenumber END AS page,
+        l_linenumber = 3 OR l_linenumber = max(l_linenumber) OVER (PARTITION BY l_orderkey) AS is_last, l_partkey FROM lineitem),
+    kept AS (SELECT l_orderkey, phase, list_distinct(list(page)) AS pages, list_distinct(list(page) FILTER (is_last)) AS ends
+             FROM sent WHERE l_partkey % 9 <> 0 GROUP BY 1, 2),
+    told AS (SELECT p.*, CASE WHEN pages IS NULL THEN 'planned' WHEN len(ends) > 0 AND len(list_intersect(pages, range(1, list_max(ends) + 1))) = list_max(ends)
+        THEN 'complete' ELSE 'landed' END AS state FROM planned p LEFT JOIN kept k ON k.l_orderkey = p.o_orderkey AND k.phase = p.phase),
+    marks AS (SELECT o_orderkey, o_orderstatus = 'F' AND bool_and(state = 'complete') AS marked FROM told GROUP BY o_orderkey, o_orderstatus)
+    SELECT phase, state, count(*) AS n, count(*) FILTER (marked) AS n_marked FROM told JOIN marks USING (o_orderkey) GROUP BY 1, 2""",
+)
+def pull_run_states(t):
+    """Parts of a run by state, and how many belong to markets that the run marks:
+    orders as markets, line items as pages, every ninth lost."""
+    market = F.col("o_orderkey").cast("string").alias("ticker")
+    early = F.col("o_orderdate") < F.lit("1996-01-01").cast("timestamp_ntz")
+    plan = t.orders.select(market, F.lit(None).cast("bigint").alias("min_ts"), early.alias("historical"), F.lit(True).alias("live"))
+    markets = t.orders.select(market, F.when(F.col("o_orderstatus") == "F", "finalized").otherwise("active").alias("status"))
+    late = F.col("l_linenumber") > 3
+    lines = t.lineitem.groupBy("l_orderkey").agg(F.max("l_linenumber").alias("_end"))
+    pages = t.lineitem.filter("l_partkey % 9 <> 0").join(lines, "l_orderkey").select(
+        F.col("l_orderkey").cast("string").alias("ticker"),
+        F.when(late, "live").otherwise("historical").alias("phase"),
+        F.when(late, F.col("l_linenumber") - 3).otherwise(F.col("l_linenumber")).alias("page"),
+        ((F.col("l_linenumber") == 3) | (F.col("l_linenumber") == F.col("_end"))).alias("is_last"),
+    )
+    states = materialize(planning.run_states(planning.run_phases(plan), pages))
+    marked = planning.completed_in_run(states, markets).withColumn("marked", F.lit(True))
+    return states.join(marked, "ticker", "left").groupBy("phase", "state").agg(F.count("*").alias("n"), F.count("marked").alias("n_marked"))
+
+
+@query(
+    "parameters_and_frames",
+    """SELECT c_nationkey, count(*) AS n, sum(o_totalprice)::DECIMAL(18,2)::DOUBLE AS total FROM orders JOIN customer ON o_custkey = c_custkey
+       WHERE o_orderdate >= TIMESTAMP '1996-01-01' AND o_orderstatus IN ('F', 'O') AND c_mktsegment <> 'it''s; --' GROUP BY 1 HAVING count(*) >= 3""",
+)
+def parameters_and_frames(t):
+    """One text with named parameters, a list among them, and frames by name; no
+    value is written into the text."""
+    text = """SELECT c_nationkey, count(*) AS n, cast(cast(sum(o_totalprice) AS decimal(18,2)) AS double) AS total
+        FROM {orders} JOIN {customers} ON o_custkey = c_custkey
+        WHERE o_orderdate >= :since AND array_contains(:states, o_orderstatus) AND c_mktsegment <> :unwanted
+        GROUP BY c_nationkey HAVING count(*) >= :least"""
+    values = {"since": datetime(1996, 1, 1), "states": F.array(F.lit("F"), F.lit("O")), "unwanted": "it's; --", "least": 3}
+    return typed.ask(t.spark, text, values, orders=t.orders, customers=t.customer.filter("c_acctbal IS NOT NULL"))
+
+
 @query(
     "reconnects",
     """WITH m AS (SELECT user_id, ts, event_id, row_number() OVER w AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),

@@ -3,7 +3,7 @@ the match is good enough."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkodds import schemas
@@ -19,14 +19,10 @@ def ordered(df: DataFrame, name: str) -> DataFrame:
     return df.select(*schemas.conformed(df, name), *(c for c in df.columns if c == "_order"))
 
 
-def land_markets(
-    events: DataFrame, historical: DataFrame, live: DataFrame, trades: DataFrame, path: str
-) -> None:
-    """Upsert one run's items into the raw tables below ``path``. The live tier
-    wins over the historical one, then the last in its pages where the items have
-    ``_order`` (``landing.page_items``). Trades are stored by date, so a run
-    rewrites the days it has trades of. Finalized markets are marked as complete
-    last, so a run that fails earlier marks nothing."""
+def land_markets(events: DataFrame, historical: DataFrame, live: DataFrame, path: str) -> DataFrame:
+    """Upsert one run's listings into the raw tables below ``path`` and give the
+    markets back. The live tier wins over the historical one, then the last in its
+    pages where the items have ``_order`` (``landing.page_items``)."""
     events = quality.require_rows(ordered(events, "events"), "events")
     tiers = [ordered(historical, "markets"), ordered(live, "markets")]
     paged = ["_order"] if all("_order" in t.columns for t in tiers) else []
@@ -35,16 +31,45 @@ def land_markets(
     quality.require_rows(markets, "markets")
     sinks.upsert_table(events, f"{path}/events", ["event_ticker"], order=[c for c in events.columns if c == "_order"])
     sinks.upsert_table(markets, f"{path}/markets", ["ticker"])
-    trades = ordered(trades, "trades").withColumn("trade_date", F.substring("created_time", 1, 10))
-    sinks.upsert_table(
-        trades,
-        f"{path}/trades",
-        ["trade_id"],
-        partition_by=["trade_date"],
-        order=[c for c in trades.columns if c == "_order"],
-        check_moves=False,
-    )
-    sinks.upsert_table(planning.completed(markets), f"{path}/kalshi_trade_pulls", ["ticker"])
+    return markets
+
+
+def plan_trades(spark: SparkSession, path: str, run_id: str, cutoff: str) -> DataFrame:
+    """Plan a run from the stored tables: which parts of which markets to pull and
+    from when. The plan is stored as ``trade_runs`` and given back."""
+
+    def stored(name: str) -> DataFrame:
+        empty = spark.createDataFrame([], schemas.table_schema(name))
+        return schemas.conform(sinks.table(spark, f"{path}/{name}"), name) if sinks.exists(spark, f"{path}/{name}") else empty
+
+    plan = planning.trade_plan(stored("markets"), stored("trades"), stored("kalshi_trade_pulls"), cutoff)
+    run = planning.run_phases(plan).select(F.lit(run_id).alias("run_id"), "ticker", "phase", "min_ts", F.lit("planned").alias("state"), F.lit(0).cast("bigint").alias("n_pages"))
+    sinks.upsert_table(run, f"{path}/trade_runs", ["run_id", "ticker", "phase"], ["run_id"])
+    return sinks.table(spark, f"{path}/trade_runs").filter(F.col("run_id") == run_id)
+
+
+def land_trades(pages: DataFrame, path: str, run_id: str) -> DataFrame:
+    """Upsert a run's trade pages, (ticker, phase, page, is_last, trades), and mark
+    what they complete: finalized markets of which every planned part is there to
+    its last page. Trades are stored by date, so a run rewrites the days it has
+    trades of. Marks come last, so a run that fails earlier marks nothing, and
+    pages that come later complete it. Gives the run's states."""
+    spark = pages.sparkSession
+    pages = materialize(pages)
+    items = pages.select("page", F.posexplode("trades").alias("_pos", "_i")).select("_i.*", F.struct("page", "_pos").alias("_order"))
+    trades = ordered(items, "trades").withColumn("trade_date", F.substring("created_time", 1, 10))
+    if not trades.isEmpty():
+        sinks.upsert_table(trades, f"{path}/trades", ["trade_id"], partition_by=["trade_date"], order=["_order"], check_moves=False)
+    runs = sinks.table(spark, f"{path}/trade_runs").filter(F.col("run_id") == run_id)
+    seen = pages.select("ticker", "phase", "page", "is_last").withColumn("run_id", F.lit(run_id))
+    sinks.upsert_table(seen, f"{path}/trade_pages", ["run_id", "ticker", "phase", "page"], ["run_id"])
+    arrived = sinks.table(spark, f"{path}/trade_pages").filter(F.col("run_id") == run_id)
+    states = materialize(planning.run_states(runs, arrived))
+    kept = runs.drop("state", "n_pages").join(states, ["ticker", "phase"])
+    sinks.upsert_table(kept, f"{path}/trade_runs", ["run_id", "ticker", "phase"], ["run_id"])
+    done = planning.completed_in_run(states, sinks.table(spark, f"{path}/markets"))
+    sinks.upsert_table(done, f"{path}/kalshi_trade_pulls", ["ticker"])
+    return states
 
 
 def land_games(schedules: DataFrame, responses: DataFrame, path: str) -> None:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkodds.functions.timefn import iso_to_utc
@@ -64,3 +64,9 @@ def register_views(tables: dict[str, DataFrame]) -> None:
         df.createOrReplaceTempView(name)
         if name in VIEWS:
             VIEWS[name](df).createOrReplaceTempView(f"{name}_typed")
+
+
+def ask(spark: SparkSession, text: str, values: dict[str, object] | None = None, **frames: DataFrame) -> DataFrame:
+    """A SQL text over frames, named in it as ``{name}``, with ``:name`` parameters.
+    Values reach Spark as literals of their own and never become part of the text."""
+    return spark.sql(text, values, **frames)

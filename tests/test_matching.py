@@ -159,3 +159,27 @@ def test_match_venues_equals_sequential(spark, seed):
     assert sorted((r.poly_slug, r.kalshi_event_ticker) for r in matched.collect()) == greedy(a, b)
     rest = matching.unmatched_venues(dfa, dfb, matched)
     assert rest.count() == 130 - 2 * matched.count()
+
+
+def test_a_crowded_pair_day_is_served_without_python(spark):
+    """A thousand listings of one pair and day: each takes the nearest start that is left."""
+    n, rng = 1000, random.Random(4)
+    start = datetime(2026, 7, 30)
+    events = [(f"E{i:05d}", date(2026, 7, 30), "NYY", "BOS", f"a{i}", f"h{i}", start + timedelta(seconds=rng.randrange(80_000)) if i % 50 else None) for i in range(n)]
+    asks = [(f"s{i:05d}", "ev", date(2026, 7, 30), "BOS", "NYY", start + timedelta(seconds=rng.randrange(80_000)) if i % 40 else None) for i in range(n)]
+    a = spark.createDataFrame(events, "event_ticker string, game_date date, away string, home string, away_ticker string, home_ticker string, start_utc timestamp_ntz")
+    b = spark.createDataFrame(asks, "slug string, event_slug string, game_date date, away string, home string, start_utc timestamp_ntz")
+    left, want = {e[0]: e[-1] for e in events}, []
+    for slug, *_, at in asks:
+        if len(left) == 1:
+            chosen = next(iter(left))
+        else:
+            near = [(abs((s - at).total_seconds()), e) for e, s in left.items() if s and at and abs((s - at).total_seconds()) <= 6 * 3600]
+            chosen = min(near)[1] if near else None
+        if chosen:
+            del left[chosen]
+            want.append((slug, chosen))
+    matched = matching.match_venues(a, b)
+    assert sorted((r.poly_slug, r.kalshi_event_ticker) for r in matched.collect()) == want
+    plan = matched._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Pandas" not in plan

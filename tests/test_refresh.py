@@ -5,7 +5,6 @@ import pytest
 from sparkodds.functions.tickers import team_dimension
 from sparkodds.operators.quality import QualityError
 from sparkodds.plans import refresh
-from sparkodds.schemas import conform
 from sparkodds.sources import sinks
 
 E1, E2 = "KXMLBGAME-26APR301235STLPIT", "KXMLBGAME-26JUN301235STLPIT"
@@ -36,18 +35,54 @@ def test_map_is_published_only_when_good(spark, tmp_path):
     assert sinks.table(spark, path).count() == 1
 
 
+TRADE = "struct<trade_id string, ticker string, count_fp string, created_time string, is_block_trade boolean>"
+PAGES = f"ticker string, phase string, page int, is_last boolean, trades array<{TRADE}>"
+
+
+def trade(i, ticker, count="1"):
+    return (i, ticker, count, "2026-04-30T16:00:00Z", False)
+
+
 def test_land_markets(spark, tmp_path):
     events, markets, *_ = raw(spark)
-    trades = conform(spark.createDataFrame([("t1", f"{E1}-STL", False)], "trade_id string, ticker string, is_block_trade boolean"), "trades")
     old = markets.selectExpr("ticker", "event_ticker", "'active' AS status")
     for _ in range(2):  # a repeated run changes nothing
-        refresh.land_markets(events, old, markets.filter(f"event_ticker = '{E1}'"), trades, str(tmp_path))
+        refresh.land_markets(events, old, markets.filter(f"event_ticker = '{E1}'"), str(tmp_path))
     stored = {r.ticker: r.status for r in sinks.table(spark, f"{tmp_path}/markets").collect()}
     assert len(stored) == 4 and sorted(stored.values()) == ["active", "active", "finalized", "finalized"]
-    assert sinks.table(spark, f"{tmp_path}/kalshi_trade_pulls").count() == 2
-    assert sinks.table(spark, f"{tmp_path}/trades").count() == 1
     with pytest.raises(QualityError, match="no rows in events"):
-        refresh.land_markets(events.limit(0), old, markets, trades, str(tmp_path))
+        refresh.land_markets(events.limit(0), old, markets, str(tmp_path))
+
+
+def test_a_market_is_marked_when_its_trades_are_there(spark, tmp_path):
+    path = str(tmp_path)
+    events, markets, *_ = raw(spark)
+    refresh.land_markets(events, markets.limit(0), markets, path)
+    plan = refresh.plan_trades(spark, path, "r1", "2026-04-30T18:00:00Z")
+    phases = {(r.ticker[-3:], r.phase, r.state) for r in plan.collect() if r.ticker.startswith(E1)}
+    assert phases == {(t, p, "planned") for t in ("STL", "PIT") for p in ("historical", "live")}
+    stl, pit, other = f"{E1}-STL", f"{E1}-PIT", f"{E2}-STL"
+    pages = [
+        (stl, "historical", 1, False, [trade("t1", stl, "1"), trade("t1", stl, "2")]), (stl, "historical", 2, True, [trade("t2", stl)]),
+        (stl, "live", 1, True, []), (pit, "historical", 1, True, [trade("t3", pit)]), (pit, "live", 2, True, []),
+        (other, "live", 1, True, []), (other, "historical", 1, True, []), ("unknown", "live", 1, True, []),
+    ]
+    states = refresh.land_trades(spark.createDataFrame(pages, PAGES), path, "r1")
+    got = {(r.ticker, r.phase): (r.n_pages, r.state) for r in states.collect()}
+    assert got[stl, "historical"] == (2, "complete") and got[stl, "live"] == (1, "complete")
+    assert got[pit, "historical"] == (1, "complete") and got[pit, "live"] == (1, "landed")  # its first page is missing
+    assert got[f"{E2}-PIT", "live"] == (0, "planned") and len(got) == 8
+
+    def marked():
+        return sorted(r.ticker for r in sinks.table(spark, f"{path}/kalshi_trade_pulls").collect())
+
+    assert marked() == [stl]  # the other market is still active, the third isn't whole
+    stored = {r.trade_id: r.count_fp for r in sinks.table(spark, f"{path}/trades").collect()}
+    assert stored == {"t1": "2", "t2": "1", "t3": "1"}
+    refresh.land_trades(spark.createDataFrame([(pit, "live", 1, False, [trade("t4", pit)])], PAGES), path, "r1")
+    assert marked() == sorted([stl, pit])
+    again = {r.ticker for r in refresh.plan_trades(spark, path, "r2", "2026-04-30T18:00:00Z").collect()}
+    assert again == {f"{E2}-STL", f"{E2}-PIT"}
 
 
 def test_last_item_of_the_pages_wins(spark, tmp_path):
@@ -56,13 +91,12 @@ def test_last_item_of_the_pages_wins(spark, tmp_path):
     repeats = spark.range(300).selectExpr(
         f"'{E1}-STL' AS ticker", f"'{E1}' AS event_ticker", "concat('s', id) AS status", "id div 10 AS page", "id % 10 AS pos"
     ).selectExpr("ticker", "event_ticker", "status", place).repartition(5)
-    trades = spark.range(200).selectExpr(
-        "'t' AS trade_id", f"'{E1}-STL' AS ticker", "cast(id as string) AS count_fp", "false AS is_block_trade",
-        "'2026-04-30T16:00:00Z' AS created_time", "id div 10 AS page", "id % 10 AS pos"
-    ).selectExpr("*", place).drop("page", "pos").repartition(5)
     for _ in range(2):
-        refresh.land_markets(events, repeats.limit(0), repeats, trades, str(tmp_path))
+        refresh.land_markets(events, repeats.limit(0), repeats, str(tmp_path))
     assert [r.status for r in sinks.table(spark, f"{tmp_path}/markets").collect()] == ["s299"]
+    refresh.plan_trades(spark, str(tmp_path), "r", "2026-04-30T18:00:00Z")
+    pages = [(f"{E1}-STL", "live", n + 1, n == 19, [trade("t", f"{E1}-STL", str(10 * n + i)) for i in range(10)]) for n in range(20)]
+    refresh.land_trades(spark.createDataFrame(pages, PAGES).repartition(5), str(tmp_path), "r")
     assert [(r.count_fp, str(r.trade_date)) for r in sinks.table(spark, f"{tmp_path}/trades").collect()] == [("199", "2026-04-30")]
 
 

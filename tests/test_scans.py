@@ -160,3 +160,15 @@ def test_interval_without_an_end(spark, frame, rows):
     assert got == sorted(r[2] for r in rows for k, lo, hi in spans if r[0] == k and lo <= r[1] < hi)
     assert intervals.interval_join(frame, df.limit(0), ["k"], "ts", "lo", "hi").count() == 0
     assert intervals.interval_join(frame.limit(0), df, ["k"], "ts", "lo", "hi").count() == 0
+
+
+def test_long_intervals_are_listed_a_few_times(spark, frame, monkeypatch):
+    listed = []
+    monkeypatch.setattr(intervals, "materialize", lambda df: listed.append(df) or df)
+    spans = [("hot", T0 - timedelta(days=1), T0 + timedelta(days=700)), ("hot", T0, T0 + timedelta(minutes=9)), ("k1", T0, T0 + timedelta(hours=4))]
+    df = spark.createDataFrame(spans, "k string, lo timestamp_ntz, hi timestamp_ntz")
+    joined = intervals.interval_join(frame, df, ["k"], "ts", "lo", "hi", 600.0)
+    per_interval = [r["count"] for r in listed[0].groupBy("k", "lo").count().collect()]
+    assert len(per_interval) == 3 and max(per_interval) <= intervals.STEP + 2
+    points = frame.filter("k IN ('hot', 'k1')").count()
+    assert points <= joined.count() <= 3 * points
