@@ -277,11 +277,10 @@ def _sql() -> str:
 WITH known(s, id) AS (VALUES {values}),
 cut AS (
   SELECT doc_id, generate_subscripts(p, 1) AS nth, unnest(p) AS s
-  FROM (SELECT doc_id, string_split({cut}, {_quoted(CUT)}) AS p FROM documents
-        WHERE regexp_matches(text, {_quoted(SPEAKS)}))),
+  FROM (SELECT doc_id, string_split({cut}, {_quoted(CUT)}) AS p FROM documents)),
 named AS (
-  SELECT doc_id, string_agg(coalesce(id, '<Unknown>'), '' ORDER BY nth) AS ids
-  FROM (SELECT doc_id, nth, trim({normal_sql}) AS s FROM cut WHERE regexp_matches(s, {_quoted(SPEAKS)}))
+  SELECT doc_id, string_agg(CASE WHEN id IS NOT NULL THEN id WHEN speaks THEN '<Unknown>' ELSE '' END, '' ORDER BY nth) AS ids
+  FROM (SELECT doc_id, nth, trim({normal_sql}) AS s, regexp_matches(s, {_quoted(SPEAKS)}) AS speaks FROM cut)
     LEFT JOIN known USING (s)
   GROUP BY doc_id),
 ruled AS (SELECT doc_id, ids, {ruled} AS r FROM named)
