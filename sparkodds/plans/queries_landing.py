@@ -138,6 +138,40 @@ def quarantine(t):
     return labelled.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
+_G = "dates[].games[]"
+
+
+@query(
+    "payload_faults",
+    f"""WITH f AS (SELECT o_custkey, unnest([
+        CASE WHEN o_orderkey % 5 = 0 THEN '{_G}.gamePk' END, CASE WHEN o_orderkey % 7 = 0 THEN '{_G}.status' END,
+        CASE WHEN o_orderkey % 7 <> 0 AND o_orderkey % 4 = 0 THEN '{_G}.status.detailedState' END,
+        CASE WHEN o_orderkey % 11 = 0 THEN '{_G}.teams.home.team.name' END, CASE WHEN o_orderkey % 13 = 0 THEN '{_G}.doubleHeader' END]) AS path
+        FROM orders WHERE o_custkey % 10 <> 3)
+    SELECT path, 'missing' AS reason, count(*) AS n, count(DISTINCT o_custkey) AS payloads FROM f WHERE path IS NOT NULL GROUP BY 1
+    UNION ALL SELECT 'dates[].date', 'missing', count(*), count(*) FROM (SELECT DISTINCT o_custkey FROM orders WHERE o_custkey % 10 <> 3 AND o_custkey % 6 = 0) HAVING count(*) > 0
+    UNION ALL SELECT '$', 'malformed', count(*), count(*) FROM (SELECT DISTINCT o_custkey FROM orders WHERE o_custkey % 10 = 3) HAVING count(*) > 0""",
+)
+def payload_faults(t):
+    """Planted faults by path: a customer's orders as the games of a schedule page."""
+    key = F.col("o_orderkey")
+    unless = lambda n, c: F.when(key % n != 0, c)
+    team = lambda name: F.struct(F.struct(F.lit(1).alias("id"), name.alias("name")).alias("team"))
+    game = F.struct(
+        unless(5, key).alias("gamePk"), F.lit("R").alias("gameType"), F.lit("2026-04-30T16:35:00Z").alias("gameDate"), F.lit("2026-04-30").alias("officialDate"),
+        unless(7, F.struct(F.lit("F").alias("codedGameState"), unless(4, F.lit("Final")).alias("detailedState"))).alias("status"),
+        F.struct(team(F.lit("A")).alias("away"), team(unless(11, F.lit("H"))).alias("home")).alias("teams"),
+        F.struct(F.lit(1).alias("id")).alias("venue"), unless(13, F.lit("N")).alias("doubleHeader"), F.lit(1).alias("gameNumber"),
+    )
+    pages = t.orders.groupBy("o_custkey").agg(F.collect_list(game).alias("games"))  # a customer has a few dozen orders
+    dated = F.struct(F.when(F.col("o_custkey") % 6 != 0, "2026-04-30").alias("date"), "games")
+    text = F.to_json(F.struct(F.array(dated).alias("dates")))
+    payload = F.when(F.col("o_custkey") % 10 == 3, F.expr("left(text, length(text) - 4)")).otherwise(F.col("text")).alias("payload")
+    landed = materialize(pages.select("o_custkey", text.alias("text")).select("o_custkey", payload))
+    found = landing.faults(landing.parse(landed, "payload", schemas.SCHEDULE, ["o_custkey"]), "schedule", ["o_custkey"])
+    return found.groupBy("path", "reason").agg(F.sum("n").alias("n"), F.countDistinct("o_custkey").alias("payloads"))
+
+
 # Latest row, upsert
 
 

@@ -77,10 +77,12 @@ def land_games(schedules: DataFrame, responses: DataFrame, path: str) -> None:
 
     schedules: page, payload. responses: game_pk, not_found, and the payloads
     ``plays``, ``win_probability`` and ``live`` as text, NULL where there was none.
-    What can't be read goes to ``quarantine`` with its reason. The pulls are marked
+    What can't be read goes to ``quarantine`` with its reason; required fields that
+    schedule pages lack are counted by path in ``payload_faults``. The pulls are marked
     last: a run that fails earlier is pulled again, a game that wasn't found is
     tried again while it is recent (``planning.game_worklist``)."""
     pages = landing.parse(schedules, "payload", schemas.SCHEDULE, ["page"])
+    sinks.append(landing.faults(pages, "schedule", ["page"]), f"{path}/payload_faults")
     listed = materialize(landing.schedule_games(pages.filter(F.col(landing.CORRUPT).isNull()), ["page"]))
     games = quality.require_rows(planning.schedule_games(listed, "page"), "mlb_games")
     sinks.upsert_table(schemas.conform(games, "mlb_games"), f"{path}/mlb_games", ["game_pk"])

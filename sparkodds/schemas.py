@@ -123,6 +123,24 @@ FULL_BOOK_MESSAGE = (
     " bids array<struct<px struct<value string>, qty string>>, offers array<struct<px struct<value string>, qty string>>>"
 )
 
+_GAME = "dates[].games[]"
+_TEAMS = [f"{_GAME}.teams.{side}{part}" for side in ("away", "home") for part in ("", ".team", ".team.id", ".team.name")]
+
+# The schema of each payload and the fields that it must have, at any
+# depth; ``[]`` stands for every item of a list, and alone at the end for the item itself.
+PAYLOADS = {
+    "schedule": (
+        SCHEDULE,
+        ["dates", "dates[]", "dates[].date", "dates[].games", _GAME]
+        + [f"{_GAME}.{c}" for c in ("gamePk", "gameType", "gameDate", "officialDate", "status", "status.codedGameState", "status.detailedState")]
+        + [f"{_GAME}.teams", *_TEAMS, *(f"{_GAME}.{c}" for c in ("venue", "doubleHeader", "gameNumber"))],
+    ),
+    "play_by_play": (
+        PLAY_BY_PLAY,
+        ["allPlays", "allPlays[]"] + [f"allPlays[].{c}" for c in ("about", "about.atBatIndex", "about.halfInning", "about.inning", "result")],
+    ),
+}
+
 
 def struct_type(ddl: str) -> T.StructType:
     return T.StructType.fromDDL(ddl)

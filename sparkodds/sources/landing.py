@@ -72,6 +72,34 @@ def invalid_reason(columns: Sequence[str], required: Sequence[str]) -> Column:
     return reason
 
 
+def _missing(parent: Column, parts: Sequence[str]) -> Column:
+    """How often the field at the end of a path is absent where its parent is there."""
+    name, *rest = parts
+    field = parent[name.removesuffix("[]")]
+    if name.endswith("[]"):
+        of_item = (lambda x: _missing(x, rest)) if rest else (lambda x: x.isNull().cast("int"))
+        return F.coalesce(F.aggregate(F.transform(field, of_item), F.lit(0), lambda n, x: n + x), F.lit(0))
+    return _missing(field, rest) if rest else (parent.isNotNull() & field.isNull()).cast("int")
+
+
+def faults(parsed: DataFrame, name: str, keep: Sequence[str] = ()) -> DataFrame:
+    """(``keep``, path, reason, n): where payloads of a registered kind, parsed under
+    its schema, lack required fields, lists' items included, and how often. An
+    absent field's own fields are not told again; a payload that can't be read is
+    one fault at the path ``$``."""
+    _, required = schemas.PAYLOADS[name]
+    broken = F.col(CORRUPT).isNotNull() if CORRUPT in parsed.columns else F.lit(False)
+    top = sorted({p.split(".")[0].removesuffix("[]") for p in required})
+    rows = parsed.select(*keep, broken.alias("_broken"), F.struct(*top).alias("_root"))
+    each = [
+        F.struct(F.lit(p).alias("path"), F.lit("missing").alias("reason"), F.when(F.col("_broken"), 0).otherwise(_missing(F.col("_root"), p.split("."))).alias("n"))
+        for p in required
+    ]
+    unread = F.struct(F.lit("$").alias("path"), F.lit("malformed").alias("reason"), F.col("_broken").cast("int").alias("n"))
+    told = rows.select(*keep, F.explode_outer(F.filter(F.array(unread, *each), lambda x: x["n"] > 0)).alias("_f"))
+    return told.filter("_f IS NOT NULL").select(*keep, "_f.path", "_f.reason", F.col("_f.n").cast("bigint").alias("n"))
+
+
 def with_defaults(df: DataFrame, defaults: dict[str, object]) -> DataFrame:
     return df.withColumns({c: F.coalesce(c, F.lit(v)) for c, v in defaults.items()})
 

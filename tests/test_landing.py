@@ -53,6 +53,20 @@ def test_required_types_defaults_and_names(spark):
     assert events.select(F.col("markets")[0]["market_sides"][0]["team_id"]).first()[0] == 3
 
 
+def test_faults_at_any_depth(spark):
+    about = {"atBatIndex": 0, "inning": 1, "halfInning": "top"}
+    payloads = [
+        {"allPlays": [{"about": about, "result": {}}]},
+        {"allPlays": [{"about": {"inning": 1, "halfInning": "top"}, "result": {}}, {"about": about}, None, {"result": {}}]},
+        {}, {"allPlays": []}, {"allPlays": [{"about": {"atBatIndex": "x"}, "result": {}}]},
+    ]
+    df = spark.createDataFrame([(i, json.dumps(p)) for i, p in enumerate(payloads)], "game_pk int, payload string")
+    found = landing.faults(landing.parse(df, "payload", schemas.PLAY_BY_PLAY, ["game_pk"]), "play_by_play", ["game_pk"])
+    assert sorted(map(tuple, found.collect())) == [
+        (1, "allPlays[]", "missing", 1), (1, "allPlays[].about", "missing", 1), (1, "allPlays[].about.atBatIndex", "missing", 1),
+        (1, "allPlays[].result", "missing", 1), (2, "allPlays", "missing", 1), (4, "$", "malformed", 1)]
+
+
 def test_upsert_table(spark, tmp_path):
     path = str(tmp_path / "t")
     ddl = "id bigint, day date, v string"
