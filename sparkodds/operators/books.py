@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from sparkodds.functions.books import complement, levels, top_of
@@ -55,16 +55,24 @@ def source_time() -> Column:
     )
 
 
-def quotes(snapshots: DataFrame, matched: DataFrame, key: str = "game_key") -> DataFrame:
+STORED = ["id", "timestamp", "platform", "market_id", "side", "book_json", "source_timestamp"]
+
+
+def quotes(snapshots: DataFrame, matched: DataFrame, key: str = "game_key", seen: Observation | None = None) -> DataFrame:
     """Best price and size of every stored book side, on exchange time.
 
     An empty side is a row with NULL price and size. Rows without a readable
-    source time are dropped (``missing_source_time`` counts them).
+    source time are dropped; ``missing_source_time`` counts them, and so does
+    ``seen``, in the pass that writes the quotes (n_snapshots, n_missing).
     """
+    timed = snapshots.select(*STORED, source_time().alias("_event_ts"))
+    if seen is not None:
+        timed = timed.observe(
+            seen, F.count(F.lit(1)).alias("n_snapshots"), F.count_if(F.col("_event_ts").isNull()).alias("n_missing")
+        )
     price = F.when(F.col("update_type") == "k_ask", complement("_top.price")).otherwise(F.col("_top.price"))
     return (
-        snapshots.withColumn("_event_ts", source_time())
-        .filter(F.col("_event_ts").isNotNull())
+        timed.filter(F.col("_event_ts").isNotNull())
         .join(book_dimension(matched, key), ["platform", "market_id", "side"])
         # a step of its own, so that each book is parsed once
         .withColumn("_levels", levels("book_json"))

@@ -1,15 +1,17 @@
 """Data-quality checks. A check is a one-row aggregate; many checks of one table
-share a single pass."""
+share a single pass, and checks that a row fails by itself are counted in the pass
+that writes the table (``written``)."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from sparkodds.functions.timefn import boundaries_between, from_micros, seconds
 from sparkodds.operators.unions import union
+from sparkodds.session import materialize
 
 # Known market statuses, team count, thresholds.
 KNOWN_STATUSES = [
@@ -32,6 +34,39 @@ def violations(df: DataFrame, checks: dict[str, Column]) -> DataFrame:
     )
 
 
+N_ROWS = "n_rows"
+
+
+def written(df: DataFrame, checks: dict[str, Column] | None = None, **metrics: Column) -> tuple[DataFrame, dict[str, object]]:
+    """Write an intermediate table and count in the same pass: its rows, for each
+    check the rows for which the condition holds, and further aggregates without
+    DISTINCT. They are observed in the stage that writes; of its tasks Spark
+    counts each once, also when it runs again after a lost executor."""
+    aggregates = {N_ROWS: F.count(F.lit(1)), **{n: F.count_if(c) for n, c in (checks or {}).items()}, **metrics}
+    named = [c.alias(n) for n, c in aggregates.items()]
+    seen = Observation()
+    stored = materialize(df.observe(seen, *named))
+    # a plan that Spark finds to be empty may not get as far as the counting
+    found = seen.get or stored.agg(*named).first().asDict()
+    return stored, {n: found[n] for n in aggregates}
+
+
+def written_rows(df: DataFrame, what: str, least: int = 1) -> DataFrame:
+    """Write a required source; abort if it holds too few rows, without a second
+    look at it."""
+    stored, found = written(df)
+    if found[N_ROWS] < least:
+        raise QualityError(f"{found[N_ROWS]} rows in {what}, not {least}" if found[N_ROWS] else f"no rows in {what}")
+    return stored
+
+
+def gate_counts(found: dict[str, object], checks: dict[str, Column]) -> None:
+    """Raise when rows written by ``written`` fail any of its checks."""
+    bad = {n: found[n] for n in checks if found[n]}
+    if bad:
+        raise QualityError(", ".join(f"{n}: {v}" for n, v in bad.items()))
+
+
 def castability(df: DataFrame, types: dict[str, str]) -> DataFrame:
     """Non-NULL values that do not cast, per column, in one pass."""
     return violations(
@@ -198,22 +233,35 @@ def win_probability_checks(wp: DataFrame) -> DataFrame:
     )
 
 
-def prepared_checks(df: DataFrame, name: str) -> DataFrame:
-    """Prices inside (0, 1) and outcomes 0 or 1."""
+def bad_prepared(name: str) -> dict[str, Column]:
+    """Prices outside (0, 1), outcomes but 0 and 1."""
     p, y = F.col("p"), F.col("y")
-    return violations(df, {f"{name}_p_y": (p <= 0) | (p >= 1) | ~y.isin(0, 1)})
+    return {f"{name}_p_y": (p <= 0) | (p >= 1) | ~y.isin(0, 1)}
+
+
+def bad_start() -> dict[str, Column]:
+    return {"null_start": F.col("sched_start").isNull()}
+
+
+def bad_states() -> dict[str, Column]:
+    return {
+        "gross_negative": F.col("gross_arb") < -1e-10,
+        "k_spread_negative": F.col("k_spread") < -0.0002,
+        "p_spread_negative": F.col("p_spread") < -0.0002,
+    }
+
+
+def bad_episodes() -> dict[str, Column]:
+    return {"duration_negative": F.col("duration_s") < -1e-10}
+
+
+def prepared_checks(df: DataFrame, name: str) -> DataFrame:
+    return violations(df, bad_prepared(name))
 
 
 def state_checks(states: DataFrame) -> DataFrame:
-    return violations(
-        states,
-        {
-            "gross_negative": F.col("gross_arb") < -1e-10,
-            "k_spread_negative": F.col("k_spread") < -0.0002,
-            "p_spread_negative": F.col("p_spread") < -0.0002,
-        },
-    )
+    return violations(states, bad_states())
 
 
 def episode_checks(eps: DataFrame) -> DataFrame:
-    return violations(eps, {"duration_negative": F.col("duration_s") < -1e-10})
+    return violations(eps, bad_episodes())

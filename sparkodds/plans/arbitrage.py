@@ -5,13 +5,12 @@ The tables below ``path`` are replaced when all stages have passed their checks.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 
 from sparkodds.operators import books, episodes, quality, states
 from sparkodds.operators.slices import DEFAULT_SLICE_SECONDS
-from sparkodds.operators.unions import union
 from sparkodds.session import materialize
 from sparkodds.sources import sinks
 
@@ -25,6 +24,7 @@ class Arbitrage:
     bbo: DataFrame
     states: DataFrame
     episodes: DataFrame
+    counts: dict[str, object] = field(default_factory=dict)
 
 
 def build(
@@ -39,9 +39,13 @@ def build(
     through: str = "episodes",
 ) -> Arbitrage:
     """All stages up to ``through`` (quotes, bbo, states or episodes); with
-    ``path`` and all stages also as parquet tables arb_* below it."""
-    out = Arbitrage(None, None, None, None)
-    out.quotes = materialize(books.quotes(snapshots, matched, key))
+    ``path`` and all stages also as parquet tables arb_* below it. ``counts`` says
+    how many snapshots there were, how many lacked a source time, and how many
+    written rows failed a check; all are counted in the passes that write. The
+    first two are seen before the join, so a lost executor may add to them."""
+    out, source = Arbitrage(None, None, None, None), Observation()
+    out.quotes = materialize(books.quotes(snapshots, matched, key, source))
+    out.counts.update(source.get)
     if through == "quotes":
         return out
     changes = books.bbo_changes(out.quotes, since, slice_seconds)
@@ -53,13 +57,13 @@ def build(
     if through == "states":
         out.states = assembled
         return out
-    out.states = materialize(assembled)
+    out.states, found = quality.written(assembled, quality.bad_states())
+    out.counts.update({n: found[n] for n in quality.bad_states()})
     out.episodes = episodes.episodes(out.states, metadata, slice_seconds, blackout_seconds)
     if path:
-        out.episodes = materialize(out.episodes)
-        quality.gate(
-            union(quality.state_checks(out.states), quality.episode_checks(out.episodes))
-        )
+        out.episodes, found = quality.written(out.episodes, quality.bad_episodes())
+        out.counts.update({n: found[n] for n in quality.bad_episodes()})
+        quality.gate_counts(out.counts, {**quality.bad_states(), **quality.bad_episodes()})
         info = episodes.build_info(out.bbo, out.states, out.episodes)
         for name in ("quotes", "bbo", "states", "episodes"):
             setattr(out, name, sinks.rebuild(getattr(out, name), f"{path}/arb_{name}"))

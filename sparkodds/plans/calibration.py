@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkodds.operators import quality, snapshots
@@ -45,6 +45,17 @@ def build(
 
 def checks(universe: DataFrame, c: Calibration, n_teams: int | None = quality.N_TEAMS) -> DataFrame:
     """(check, n_bad) over the prepared tables."""
+    by_row = [
+        quality.prepared_checks(c.pre, "pre"),
+        quality.prepared_checks(c.innings, "inning"),
+        quality.prepared_checks(c.window_trades, "window"),
+        quality.violations(c.pre, quality.bad_start()),
+    ]
+    return union(*by_row, checks_across(universe, c, n_teams))
+
+
+def checks_across(universe: DataFrame, c: Calibration, n_teams: int | None = quality.N_TEAMS) -> DataFrame:
+    """The checks that compare rows."""
     unmapped = universe.join(c.context.select("ticker"), "ticker", "left_anti").agg(
         F.count(F.lit(1)).alias("n_bad")
     )
@@ -52,10 +63,6 @@ def checks(universe: DataFrame, c: Calibration, n_teams: int | None = quality.N_
         unmapped.select(F.lit("unmapped_markets").alias("check"), "n_bad"),
         quality.duplicates(c.pre, ["game_pk", "side"], "pre_grain"),
         quality.duplicates(c.innings, ["game_pk", "side", "entering"], "inning_grain"),
-        quality.prepared_checks(c.pre, "pre"),
-        quality.prepared_checks(c.innings, "inning"),
-        quality.prepared_checks(c.window_trades, "window"),
-        quality.violations(c.pre, {"null_start": F.col("sched_start").isNull()}),
         quality.one_sided(c.pre, "game_pk", "side").select(F.lit("one_sided").alias("check"), "n_bad"),
     ]
     if n_teams is not None:
@@ -68,9 +75,21 @@ def checks(universe: DataFrame, c: Calibration, n_teams: int | None = quality.N_
 
 def write(c: Calibration, trades: DataFrame, universe: DataFrame, path: str, n_teams: int | None = quality.N_TEAMS) -> Calibration:
     """Rebuild the prepared tables below ``path``. They are written aside and gated
-    first, so tables that fail a check replace nothing."""
-    staged = Calibration(c.context, materialize(c.window_trades), materialize(c.pre), materialize(c.innings))
-    quality.gate(checks(universe, staged, n_teams))
+    first, so tables that fail a check replace nothing. What a row fails by itself
+    is counted while it is written."""
+
+    def staging(df: DataFrame, bad: dict[str, Column]) -> DataFrame:
+        stored, found = quality.written(df, bad)
+        quality.gate_counts(found, bad)
+        return stored
+
+    staged = Calibration(
+        c.context,
+        staging(c.window_trades, quality.bad_prepared("window")),
+        staging(c.pre, {**quality.bad_prepared("pre"), **quality.bad_start()}),
+        staging(c.innings, quality.bad_prepared("inning")),
+    )
+    quality.gate(checks_across(universe, staged, n_teams))
     info = snapshots.build_info(trades, c.context, staged.pre, staged.innings)
     stored = Calibration(
         c.context,

@@ -23,12 +23,11 @@ def land_markets(events: DataFrame, historical: DataFrame, live: DataFrame, path
     """Upsert one run's listings into the raw tables below ``path`` and give the
     markets back. The live tier wins over the historical one, then the last in its
     pages where the items have ``_order`` (``landing.page_items``)."""
-    events = quality.require_rows(ordered(events, "events"), "events")
+    events = quality.written_rows(ordered(events, "events"), "events")
     tiers = [ordered(historical, "markets"), ordered(live, "markets")]
     paged = ["_order"] if all("_order" in t.columns for t in tiers) else []
     tiers = tiers if paged else [t.drop("_order") for t in tiers]
-    markets = materialize(merge_tiers(tiers, ["ticker"], paged).drop("_order"))
-    quality.require_rows(markets, "markets")
+    markets = quality.written_rows(merge_tiers(tiers, ["ticker"], paged).drop("_order"), "markets")
     sinks.upsert_table(events, f"{path}/events", ["event_ticker"], order=[c for c in events.columns if c == "_order"])
     sinks.upsert_table(markets, f"{path}/markets", ["ticker"])
     return markets
@@ -84,7 +83,7 @@ def land_games(schedules: DataFrame, responses: DataFrame, path: str) -> None:
     pages = landing.parse(schedules, "payload", schemas.SCHEDULE, ["page"])
     sinks.append(landing.faults(pages, "schedule", ["page"]), f"{path}/payload_faults")
     listed = materialize(landing.schedule_games(pages.filter(F.col(landing.CORRUPT).isNull()), ["page"]))
-    games = quality.require_rows(planning.schedule_games(listed, "page"), "mlb_games")
+    games = quality.written_rows(planning.schedule_games(listed, "page"), "mlb_games")
     sinks.upsert_table(schemas.conform(games, "mlb_games"), f"{path}/mlb_games", ["game_pk"])
     responses = materialize(responses)
     found = responses.filter("NOT not_found")
