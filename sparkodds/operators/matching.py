@@ -308,16 +308,25 @@ def match_report(resolved: DataFrame, markets: DataFrame, games: DataFrame) -> D
     )
 
 
+def match_problems(report: DataFrame, min_rate: float = MIN_MATCH_RATE) -> DataFrame:
+    """(measure, found) of a match report that keep it from being published."""
+    bad = {
+        "n_flipped": F.col("n_flipped") > 0,
+        "match_rate": F.col("match_rate") < min_rate,
+        "n_disagree": F.col("n_disagree") > 0,
+    }
+    rows = [F.struct(F.lit(c).alias("measure"), F.col(c).cast("double").alias("found"), b.alias("_bad")) for c, b in bad.items()]
+    return report.select(F.inline(F.array(*rows))).filter("_bad").drop("_bad")
+
+
 def gate_match(report: DataFrame, min_rate: float = MIN_MATCH_RATE) -> None:
     """Raise when the match is not good enough to publish."""
-    row = report.first()
-    problems = []
-    if row["n_flipped"]:
-        problems.append(f"{row['n_flipped']} events violate the away-then-home order")
-    if row["match_rate"] < min_rate:
-        problems.append(f"match rate {row['match_rate']:.2%} below {min_rate:.0%}")
-    if row["n_disagree"]:
-        problems.append(f"{row['n_disagree']} finalized markets disagree with the schedule's winner")
+    say = {
+        "n_flipped": "{:.0f} events violate the away-then-home order",
+        "match_rate": "match rate {:.2%} below " + f"{min_rate:.0%}",
+        "n_disagree": "{:.0f} finalized markets disagree with the schedule's winner",
+    }
+    problems = [say[r["measure"]].format(r["found"]) for r in match_problems(report, min_rate).collect()]
     if problems:
         raise QualityError("; ".join(problems))
 

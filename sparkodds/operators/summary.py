@@ -164,17 +164,13 @@ def persistent_summary(eps: DataFrame, min_seconds: float = PERSISTENT_SECONDS)
 
 
 def freshness(pre: DataFrame, side: str = "home", n_games: DataFrame | None = None) -> DataFrame:
-    """Snapshot age at the start, in minutes. Ages lie in the snapshot window, so
-    their distinct values are bounded and Spark's exact ``percentile`` fits."""
+    """Snapshot age at the start, in minutes."""
     ages = pre.filter(F.col("side") == side).select(
         boundaries_between("minute", "created_time", "sched_start").alias("_mins")
     )
-    out = ages.agg(
-        F.count(F.lit(1)).alias("n_snapshots"),
-        F.percentile("_mins", F.lit(0.5)).alias("median_mins"),
-        F.percentile("_mins", F.lit(0.9)).alias("p90_mins"),
-        F.percentile("_mins", F.lit(0.99)).alias("p99_mins"),
-    )
+    probs = {"median_mins": 0.5, "p90_mins": 0.9, "p99_mins": 0.99}
+    # a snapshot has both times, so every one has an age
+    out = exact_quantiles(ages, [], "_mins", probs).select(F.coalesce("n", F.lit(0)).alias("n_snapshots"), *probs)
     if n_games is None:
         return out
     return one_row(out, n_games.select("n_games")).withColumn(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sparkodds import schemas
 from sparkodds.functions import timefn as tf
-from sparkodds.functions.tickers import date_prefix, pair_key, slug_date
+from sparkodds.functions.tickers import TEAM_IDS, date_prefix, pair_key, slug_date, team_dimension
 from sparkodds.operators import connections, latest, matching, planning, quality, snapshots
 from sparkodds.operators.unions import union
 from sparkodds.plans import calibration as calibration_plan
@@ -281,6 +281,76 @@ def pull_run_states(t):
     return states.join(marked, "ticker", "left").groupBy("phase", "state").agg(F.count("*").alias("n"), F.count("marked").alias("n_marked"))
 
 
+@query(
+    "typed_views",
+    o.with_(GAME_LISTS, final="""SELECT year(game_date::TIMESTAMP)::INT AS season, count(*) AS n, max(official_date::DATE) AS last_day,
+        max(epoch_us(game_date::TIMESTAMP)) AS last_start FROM listings GROUP BY 1"""),
+)
+def typed_views(t):
+    """A SQL text over the typed view of landed games."""
+    typed.register_views({"mlb_games": _schedule(t)})
+    return t.spark.sql("""SELECT year(game_date) AS season, count(*) AS n, max(official_date) AS last_day,
+        max(unix_micros(cast(game_date AS timestamp))) AS last_start FROM mlb_games_typed GROUP BY 1""")
+
+
+@query(
+    "exported_csv",
+    "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders",
+)
+def exported_csv(t):
+    """Orders as people get them, read again."""
+    path = new_path(t.spark)
+    rows = t.orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
+    sinks.export_csv(rows, path)
+    return t.spark.read.schema(rows.schema).option("header", True).csv(path)
+
+
+@query(
+    "required_tables",
+    """SELECT 'orders' AS name, true AS present, (SELECT count(*) FROM orders) AS n_rows UNION ALL
+       SELECT 'lineitem', true, (SELECT count(*) FROM lineitem) UNION ALL SELECT 'never_landed', false, NULL""",
+)
+def required_tables(t):
+    """Which of the required tables and views there are, and their rows."""
+    names = ["orders", "lineitem", "never_landed"]
+    typed.register_views({n: getattr(t, n) for n in names[:2]})
+    missing = quality.tables_missing(t.spark, names)
+    return union(*[
+        t.spark.range(1).select(F.lit(n).alias("name"), F.lit(False).alias("present"), F.lit(None).cast("bigint").alias("n_rows"))
+        if n in missing
+        else t.spark.table(n).agg(F.count("*").alias("n_rows")).select(F.lit(n).alias("name"), F.lit(True).alias("present"), "n_rows")
+        for n in names
+    ])
+
+
+@query(
+    "games_with_ends",
+    o.with_(GAME_LISTS, final="""SELECT game_pk, game_date::TIMESTAMP AS game_date, official_date::DATE AS official_date, away_team_id, home_team_id,
+        game_number, (SELECT max(l_shipdate) FROM lineitem WHERE l_orderkey = game_pk AND l_linenumber > 1) AS actual_end FROM listings"""),
+)
+def games_with_ends(t):
+    """Schedule rows with the end of their last play, where there is one."""
+    plays = t.lineitem.filter("l_linenumber > 1").select(F.col("l_orderkey").alias("game_pk"), fx.iso("l_shipdate").alias("end_time"))
+    return matching.load_games(_schedule(t), plays)
+
+
+@query(
+    "team_ids",
+    f"""WITH teams(abbr, team_id) AS (VALUES {', '.join(str(pair) for pair in TEAM_IDS.items())}),
+    ranked AS (SELECT *, row_number() OVER (ORDER BY abbr) - 1 AS n FROM teams)
+    SELECT team_id, count(*) AS n_customers, count(DISTINCT abbr) AS n_names, min(abbr) AS first_name
+    FROM customer LEFT JOIN ranked ON n = c_custkey % 33 GROUP BY team_id""",
+)
+def team_ids(t):
+    """Customers by the team their label names: two labels of one team are one,
+    unknown labels have none."""
+    labels = F.array(*[F.lit(a) for a in sorted(TEAM_IDS)])
+    named = t.customer.select(F.get(labels, (F.col("c_custkey") % 33).cast("int")).alias("abbr"))
+    return named.join(team_dimension(t.spark), "abbr", "left").groupBy("team_id").agg(
+        F.count("*").alias("n_customers"), F.countDistinct("abbr").alias("n_names"), F.min("abbr").alias("first_name")
+    )
+
+
 @query(
     "parameters_and_frames",
     """SELECT c_nationkey, count(*) AS n, sum(o_totalprice)::DECIMAL(18,2)::DOUBLE AS total FROM orders JOIN customer ON o_custkey = c_custkey
@@ -657,27 +727,32 @@ def dq_games(t):
     check_rows(
         play_near_start="""SELECT count(*) FROM (SELECT l_orderkey, l_linenumber, min(l_shipdate) AS s FROM lineitem GROUP BY 1, 2)
             JOIN orders ON l_orderkey = o_orderkey WHERE abs(date_diff('hour', o_orderdate + INTERVAL 61 DAY, s)) > 48""",
-        wp_range="SELECT 0",
-        wp_complement="SELECT 0",
+        wp_range="""SELECT count(*) FROM (SELECT l_linenumber, min(l_quantity) * 2 AS h FROM lineitem GROUP BY l_orderkey, l_linenumber)
+            WHERE l_linenumber = 5 OR (l_linenumber = 6 AND h = 100)""",
+        wp_complement="SELECT count(*) FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem WHERE l_linenumber IN (5, 6))",
     ),
 )
 def dq_play_times(t):
-    return union(
-        quality.play_time_checks(fx.plays(t), fx.games(t)), quality.win_probability_checks(fx.win_probability(t))
-    )
+    """Planted: chances above 100, and half a point too much."""
+    n, home = F.col("at_bat_index"), F.col("home_wp")
+    odds = fx.win_probability(t).withColumn("home_wp", home + F.when(n == 5, 100).when(n == 6, 0.5).otherwise(0))
+    return union(quality.play_time_checks(fx.plays(t), fx.games(t)), quality.win_probability_checks(odds))
 
 
 @query(
     "dq_domain",
     check_rows(
         status="SELECT count(DISTINCT o_orderstatus) FROM orders WHERE o_orderstatus <> 'F'",
-        market_status="SELECT 0",
+        market_status="SELECT count(DISTINCT o_orderkey % 10) FROM orders WHERE o_orderkey % 10 IN (3, 7)",
     ),
 )
 def dq_domain(t):
+    """Planted: two statuses that aren't known, and markets without any."""
+    end = F.substring("ticker", -1, 1)
+    status = F.when(end.isin("3", "7"), F.concat(F.lit("held "), end)).when(end != "5", F.col("status"))
     return union(
         quality.unknown_values(t.orders, "o_orderstatus", ["F"], "status"),
-        quality.unknown_values(fx.raw_markets(t), "status", quality.KNOWN_STATUSES, "market_status"),
+        quality.unknown_values(fx.raw_markets(t).withColumn("status", status), "status", quality.KNOWN_STATUSES, "market_status"),
     )
 
 
@@ -715,19 +790,37 @@ def dq_minimum_rows(t):
     return quality.below_minimum({"orders": (t.orders, big), "lineitem": (t.lineitem, big), "nation": (t.nation, 1)})
 
 
+def planted_sql(rel: str) -> str:
+    return f"""SELECT count(*) + count(*) FILTER (game_pk % 23 = 0) FROM {rel}
+        WHERE p <= 0 OR p >= 1 OR game_pk % 43 = 0 OR game_pk % 47 = 0"""
+
+
 @query(
     "dq_prepared",
     o.with_(*o.CALIB, o.INNINGS, final=check_rows(
-        unmapped_markets="SELECT 0", pre_grain="SELECT 0", inning_grain="SELECT 0",
-        pre_p_y="SELECT count(*) FROM pre WHERE p <= 0 OR p >= 1", inning_p_y="SELECT count(*) FROM innings WHERE p <= 0 OR p >= 1",
-        window_p_y="SELECT count(*) FROM window_trades WHERE p <= 0 OR p >= 1", null_start="SELECT 0",
+        unmapped_markets="SELECT count(*) FROM context WHERE game_pk % 19 = 0",
+        pre_grain="SELECT count(*) FROM pre WHERE game_pk % 23 = 0",
+        inning_grain="SELECT count(*) FROM innings WHERE game_pk % 23 = 0",
+        pre_p_y=planted_sql("pre"), inning_p_y=planted_sql("innings"), window_p_y=planted_sql("window_trades"),
+        null_start="SELECT count(*) + count(*) FILTER (game_pk % 23 = 0) FROM pre WHERE game_pk % 31 = 0",
         one_sided="SELECT count(*) FROM (SELECT 1 FROM pre GROUP BY game_pk HAVING count(DISTINCT side) <> 2)",
         n_teams="SELECT abs(count(DISTINCT team) - 25) FROM pre",
     )),
 )
 def dq_prepared(t):
-    context = _context(t)
-    built = calibration_plan.Calibration(context, _window(t), materialize(_pre(t)), materialize(_innings(t)))
+    """Planted: markets without a game, rows twice, prices of 1, outcomes of 2, no start."""
+    k = F.col("game_pk")
+
+    def planted(df):
+        rows = union(df, df.filter(k % 23 == 0))
+        return rows.withColumns({
+            "p": F.when(k % 43 == 0, 1.0).otherwise(F.col("p")), "y": F.when(k % 47 == 0, 2).otherwise(F.col("y")),
+        })
+
+    pre = planted(materialize(_pre(t))).withColumn("sched_start", F.when(k % 31 != 0, F.col("sched_start")))
+    built = calibration_plan.Calibration(
+        _context(t).filter(k % 19 != 0), planted(materialize(_window(t))), pre, planted(materialize(_innings(t)))
+    )
     return calibration_plan.checks(snapshots.universe(fx.markets(t)), built, 25)
 
 
