@@ -17,6 +17,7 @@ and slices then replay independently.
 from __future__ import annotations
 
 import json
+from bisect import bisect_left, insort
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -136,10 +137,13 @@ def hundredths(text: str) -> int:
     return round(float(text) * 100)
 
 
+def level_text(price: str, qty: int) -> str:
+    return json.dumps([price, f"{qty // 100}.{qty % 100:02d}"])
+
+
 def book_text(book: dict[str, int]) -> str:
     """Levels by rising price, quantities with two decimals."""
-    rows = sorted(book.items(), key=lambda kv: float(kv[0]))
-    return json.dumps([[p, f"{q // 100}.{q % 100:02d}"] for p, q in rows])
+    return Side(book).text()
 
 
 def apply_update(book: dict[str, int], levels: str | None, price: str | None, delta: int | None) -> dict[str, int]:
@@ -155,20 +159,49 @@ def apply_update(book: dict[str, int], levels: str | None, price: str | None, de
     return book
 
 
+class Side:
+    """A book side whose levels stay in order with their texts, so that an update
+    touches its own level only."""
+
+    def __init__(self, book: dict[str, int]):
+        self.book = book
+        self._list()
+
+    def _list(self) -> None:
+        self.order = sorted((float(p), p) for p in self.book)
+        self.texts = {p: level_text(p, q) for p, q in self.book.items()}
+
+    def apply(self, levels: str | None, price: str | None, delta: int | None) -> None:
+        had = price in self.book
+        self.book = apply_update(self.book, levels, price, delta)
+        if levels is not None:
+            self._list()
+        elif price in self.book:
+            self.texts[price] = level_text(price, self.book[price])
+            if not had:
+                insort(self.order, (float(price), price))
+        elif had:
+            del self.texts[price]
+            del self.order[bisect_left(self.order, (float(price), price))]
+
+    def text(self) -> str:
+        return "[" + ", ".join([self.texts[p] for _, p in self.order]) + "]"
+
+
 def _replay_rows(keep: Sequence[str]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Rows of whole (book side, slice) groups in order: one side is held at a
         time and dropped when the next group begins."""
-        group, book = None, {}
+        group, side_now = None, Side({})
         for pdf in batches:
             texts = []
             for market, side, cut, ts, levels, price, delta in zip(
                 pdf["market_id"], pdf["side"], pdf["slice"], pdf["source_ts"], pdf["levels"], pdf["price"], pdf["delta"]
             ):
                 if (market, side, cut) != group:
-                    group, book = (market, side, cut), {}
-                book = apply_update(book, levels, price, None if levels is not None else int(delta))
-                texts.append(None if pd.isna(ts) else book_text(book))
+                    group, side_now = (market, side, cut), Side({})
+                side_now.apply(levels, price, None if levels is not None else int(delta))
+                texts.append(None if pd.isna(ts) else side_now.text())
             # the opening book itself is not an update
             out = pdf[["market_id", "side", "source_ts", "seq", *keep]].assign(book_json=texts)
             yield out[pdf["source_ts"].notna()]

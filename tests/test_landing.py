@@ -156,6 +156,22 @@ def test_gates(spark):
         quality.require_rows(spark.range(0), "events")
 
 
+def test_counted_while_written(spark):
+    rows = spark.range(100).select((F.col("id") % 10).alias("v"))
+    checks = {"nines": F.col("v") == 9, "negative": F.col("v") < 0}
+    stored, found = quality.written(rows, checks, top=F.max("v"))
+    assert found == {"n_rows": 100, "nines": 10, "negative": 0, "top": 9} and stored.count() == 100
+    with pytest.raises(quality.QualityError, match="^nines: 10$"):
+        quality.gate_counts(found, checks)
+    for empty in (spark.range(0), spark.range(9).filter("id > 9"), rows.limit(0), rows.join(rows.filter("false"), "v")):
+        assert quality.written(empty)[1] == {"n_rows": 0}
+    with pytest.raises(quality.QualityError, match="no rows in games"):
+        quality.written_rows(spark.range(0), "games")
+    with pytest.raises(quality.QualityError, match="100 rows in games, not 101"):
+        quality.written_rows(rows, "games", 101)
+    assert quality.written_rows(rows.repartition(7), "games", 100).count() == 100
+
+
 def test_partitions_keep_their_type_and_null(spark, tmp_path):
     """Text that looks like a number, and no value at all, in many partitions."""
     path, ddl = str(tmp_path / "t"), "id bigint, p string, v string"
