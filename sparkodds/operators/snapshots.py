@@ -66,10 +66,21 @@ def interval_starts(plays: DataFrame) -> DataFrame:
 
 def pre_window_trades(trades: DataFrame, context: DataFrame, hours: float = 24, bin_hours: float = 4) -> DataFrame:
     """Every trade in the half-open window of ``hours`` before its market's start."""
+    return window_trades(window_prints(trades, context, hours, bin_hours))
+
+
+def window_prints(trades: DataFrame, context: DataFrame, hours: float = 24, bin_hours: float = 4) -> DataFrame:
+    """The trades of ``pre_window_trades`` with their cents. ``window_trades`` and
+    ``snapshots_at_start`` both read them, so a job that needs both joins once."""
     windows = context.withColumn("_open", F.col("sched_start") - seconds(hours * 3600))
+    prints = trades.select("ticker", "created_time", "taker_outcome_side", "yes_price_dollars")
     return interval_join(
-        trades, windows, ["ticker"], "created_time", "_open", "sched_start", bin_hours * 3600
-    ).select(
+        prints, windows, ["ticker"], "created_time", "_open", "sched_start", bin_hours * 3600
+    ).withColumn("p_cents", cents("yes_price_dollars"))
+
+
+def window_trades(prints: DataFrame) -> DataFrame:
+    return prints.select(
         "game_pk",
         "ticker",
         "side",
@@ -127,6 +138,13 @@ def pre_snapshots(
     in_window = interval_join(
         ticks, windows, ["ticker"], "created_time", "_open", "sched_start", bin_hours * 3600
     )
+    return snapshots_at_start(in_window, context, weather, win_probability)
+
+
+def snapshots_at_start(
+    in_window: DataFrame, context: DataFrame, weather: DataFrame, win_probability: DataFrame
+) -> DataFrame:
+    """``pre_snapshots`` of prints in their windows: ticker, created_time, p_cents."""
     prints = _last_prints(in_window, ["ticker"]).join(context, "ticker")
     snap = _latest_across_markets(
         prints,

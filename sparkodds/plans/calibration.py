@@ -33,12 +33,14 @@ def build(
     hours: float = 24,
     bin_hours: float = 4,
 ) -> Calibration:
-    """The prepared frames, lazy but for the market dimension all of them read."""
+    """The prepared frames, lazy but for the market dimension all of them read and
+    the trades before the starts, which are joined once for two of them."""
     context = materialize(snapshots.market_context(snapshots.universe(markets), event_map, games))
+    prints = materialize(snapshots.window_prints(trades, context, hours, bin_hours))
     return Calibration(
         context,
-        snapshots.pre_window_trades(trades, context, hours, bin_hours),
-        snapshots.pre_snapshots(trades, context, weather, win_probability, hours, bin_hours),
+        snapshots.window_trades(prints),
+        snapshots.snapshots_at_start(prints, context, weather, win_probability),
         snapshots.interval_snapshots(trades, context, plays, win_probability, bin_hours=bin_hours),
     )
 

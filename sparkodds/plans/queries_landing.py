@@ -824,6 +824,29 @@ def dq_prepared(t):
     return calibration_plan.checks(snapshots.universe(fx.markets(t)), built, 25)
 
 
+@query(
+    "calibration_job",
+    o.with_(*o.CALIB, o.INNINGS, final="""SELECT 'pre' AS name, side, count(*) AS n, round(sum(p), 6) AS total, sum(y)::BIGINT AS n_won FROM pre GROUP BY side
+        UNION ALL SELECT 'window', side, count(*), round(sum(p), 6), sum(y) FROM window_trades GROUP BY side
+        UNION ALL SELECT 'inning', side, count(*), round(sum(p), 6), sum(y) FROM innings GROUP BY side"""),
+)
+def calibration_job(t):
+    """The prepared tables as the whole job writes them, gated and read back."""
+    trades, markets = fx.trades(t), fx.markets(t)
+    built = calibration_plan.build(
+        markets, trades, fx.event_map(t), fx.games(t), fx.plays(t), fx.win_probability(t), fx.weather(t), fx.WINDOW_HOURS, fx.BIN_HOURS
+    )
+    # games that traded on one side only are no error of the fixture's
+    staged = {"pre": quality.bad_prepared("pre") | quality.bad_start(), "window": quality.bad_prepared("window"), "inning": quality.bad_prepared("inning")}
+    parts = []
+    for (name, bad), df in zip(staged.items(), (built.pre, built.window_trades, built.innings), strict=True):
+        stored, found = quality.written(df, bad)
+        quality.gate_counts(found, bad)
+        sums = stored.groupBy("side").agg(F.count("*").alias("n"), F.round(F.sum("p"), 6).alias("total"), F.sum("y").cast("bigint").alias("n_won"))
+        parts.append(sums.select(F.lit(name).alias("name"), "side", "n", "total", "n_won"))
+    return union(*parts)
+
+
 @query(
     "dq_states_episodes",
     o.with_(*o.ARB, final=check_rows(
