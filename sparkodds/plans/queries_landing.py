@@ -13,6 +13,7 @@ from sparkodds.functions.tickers import TEAM_IDS, date_prefix, pair_key, slug_da
 from sparkodds.operators import connections, latest, matching, planning, quality, snapshots
 from sparkodds.operators.unions import union
 from sparkodds.plans import calibration as calibration_plan
+from sparkodds.plans import collection
 from sparkodds.plans import fixtures as fx
 from sparkodds.plans import oracles as o
 from sparkodds.plans.queries import AGREE, _arb, _context, _duel_inputs, _innings, _pre, _window, query
@@ -600,6 +601,48 @@ def cross_venue_match(t):
     return matching.match_venues(materialize(_venue_a(t)), materialize(_venue_b(t)))
 
 
+def _closed(df):
+    """Listings that a later run still finds: those of every other first team."""
+    return df.filter(F.ascii(F.substring(F.least("away", "home"), 5, 1)) % 2 == 0)
+
+
+FOUND_AGAIN = "ascii(substr(least(b.away, b.home), 5, 1)) % 2 = 0"
+
+
+@query(
+    "matched_pairs_store",
+    greedy(f"""SELECT b.game_date, b.away AS away_team, b.home AS home_team, a.away_ticker AS kalshi_ticker_away,
+      a.home_ticker AS kalshi_ticker_home, b.slug AS poly_slug, a.event_ticker AS kalshi_event_ticker,
+      b.event_slug || if({FOUND_AGAIN}, '-2', '') AS poly_event_slug, true AS same_id
+      FROM paired p JOIN moneylines b ON p.slug = b.slug JOIN a_sides a ON p.chosen = a.event_ticker"""),
+)
+def matched_pairs_store(t):
+    """Two runs into one store, the second without the games that have closed and
+    with new event slugs; whether an event keeps its id."""
+    path = new_path(t.spark)
+    a, b = materialize(_venue_a(t)), materialize(_venue_b(t))
+    collection.store_pairs(matching.match_venues(a, b), path)
+    first = materialize(collection.stored_pairs(t.spark, path))
+    later = _closed(b).withColumn("event_slug", F.concat("event_slug", F.lit("-2")))
+    collection.store_pairs(matching.match_venues(_closed(a), later), path)
+    ids = first.select("kalshi_event_ticker", F.col("id").alias("_first"))
+    return collection.stored_pairs(t.spark, path).join(ids, "kalshi_event_ticker").withColumn("same_id", F.expr("id = _first")).drop("id", "_first")
+
+
+@query(
+    "matched_pairs_day",
+    greedy("""SELECT DISTINCT x.platform, x.market_id FROM (SELECT unnest([{'platform': 'kalshi', 'market_id': a.away_ticker},
+        {'platform': 'kalshi', 'market_id': a.home_ticker}, {'platform': 'polymarket', 'market_id': p.slug}]) AS x
+      FROM paired p JOIN a_sides a ON p.chosen = a.event_ticker WHERE a.game_date = DATE '2017-07-01')"""),
+)
+def matched_pairs_day(t):
+    """Two runs on one day: what the second subscribes to, closed games included."""
+    path, day = new_path(t.spark), date(2017, 7, 1)
+    a, b = materialize(_venue_a(t)), materialize(_venue_b(t))
+    collection.run(a, b, path, day)
+    return collection.run(_closed(a), _closed(b), path, day).subscriptions
+
+
 @query(
     "cross_venue_single",
     o.with_(o.DUELS, o.PARSED, A_SIDE, B_SIDE, final="""SELECT a.event_ticker AS kalshi_event_ticker, min(slug) AS poly_slug
