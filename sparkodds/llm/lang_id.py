@@ -7,10 +7,12 @@ segmentation has to be chosen. The piece probabilities are learned by expectatio
 maximisation with the same lattices.
 
 Training takes a bounded sample: about ``train_docs`` labelled documents, those of
-smallest hash (documented parameter). Its word counts are made by Spark; each task turns
+smallest hash (documented parameter). Its word counts are made by Spark, of runs of
+letters in parts of at most 40; each task turns
 its words into expected piece counts, at most one row for each piece and
-language, and only those sums meet. Prediction covers every whole text; a word's
-probabilities are remembered within a task.
+language, and only those sums meet. Prediction covers every whole text and sums all
+segmentations of a run of letters however long it is, with logarithms where sums
+leave a double's range; a word's probabilities are remembered within a task.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0, as
 is everything when no document has a language; ties go to the language that sorts
@@ -39,7 +41,7 @@ REMEMBERED, CHARS = 300_000, 2_000_000
 
 
 def words(text: str) -> list[str]:
-    return pieces.cut_long(LETTERS.findall(text.lower()))
+    return LETTERS.findall(text.lower())
 
 
 def spaced(units: list[str]) -> list[str]:
@@ -60,7 +62,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
         for part in parts:
             out: dict[tuple[str, str], int] = {}
             for lang, text in zip(part["lang"], part["text"], strict=True):
-                for w in words(text):
+                for w in pieces.cut_long(words(text)):
                     out[lang, w] = out.get((lang, w), 0) + 1
             yield pd.DataFrame([(a, b, n) for (a, b), n in out.items()], columns=["lang", "word", "n"]).astype({"n": "int64"})
 
@@ -122,15 +124,18 @@ def predict(docs: DataFrame, vocabulary: pieces.Vocabulary, model: Model, keep:
             best, share = [], []
             for piece in spans([len(t) for t in texts], CHARS) if n_lang else ():
                 split = [words(t) for t in texts[piece]]
-                new = {w for s in split for w in s if w not in known}
+                new = {w for s in split for w in s if len(w) < pieces.UNIT and w not in known}
                 if len(known) + len(new) > REMEMBERED:
-                    known, held, new = {}, held[:0], {w for s in split for w in s}
+                    known, held, new = {}, held[:0], {w for s in split for w in s if len(w) < pieces.UNIT}
                 if new:
                     added = sorted(new)
                     known.update(zip(added, range(len(held), len(held) + len(added)), strict=True))
                     held = np.concatenate([held, pieces.log_probability(vocabulary, model.p, spaced(added))])
                 for s in split:
-                    total = np.log(model.prior) + (held[[known[w] for w in s]].sum(axis=0) if s else 0)
+                    total = np.log(model.prior) + (held[[known[w] for w in s if len(w) < pieces.UNIT]].sum(axis=0) if s else 0)
+                    rare = [w for w in s if len(w) >= pieces.UNIT]  # too long to be met again
+                    if rare:
+                        total = total + pieces.log_probability(vocabulary, model.p, spaced(rare)).sum(axis=0)
                     top = int(total.argmax())
                     best.append(model.languages[top] if s else "und")
                     share.append(1 / np.exp(total - total[top]).sum() if s else 0.0)

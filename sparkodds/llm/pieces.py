@@ -14,10 +14,14 @@ from functools import cached_property
 
 import numpy as np
 
-#: Longest unit; longer runs are cut, so that lattices stay small. Products of
-#: probabilities may leave a double's range before that, see shares().
+#: Longest unit whose lattice is held whole; longer runs are cut (cut_long) or
+#: scored in a window (window_log_probability). Products of probabilities may
+#: leave a double's range before that, see shares() and log_sums().
 UNIT = 40
 
+#: Characters whose edges are looked up at once in a window.
+BLOCK = 4096
+
 #: Sums of products below this have lost digits, or all of them.
 LOW = 1e-290
 
@@ -216,15 +220,67 @@ def shares(alpha: np.ndarray, weights: dict[tuple[int, int], np.ndarray]) -> dic
     return share
 
 
+def log_sums(weights: dict[tuple[int, int], np.ndarray], rows: np.ndarray, n: int, back: bool = False) -> np.ndarray:
+    """Logarithms of the sums over all segmentations up to each boundary, or from
+    it on (``back``), of the units ``rows``: for those whose sums leave a double's
+    range."""
+    first = next(iter(weights.values()))
+    out = np.full((len(rows), n + 1, *first.shape[1:]), -np.inf)
+    out[:, n if back else 0] = 0
+    with np.errstate(divide="ignore"):
+        for (start, end), w in sorted(weights.items(), key=lambda x: -x[0][0] if back else x[0][1]):
+            a, b = (end, start) if back else (start, end)
+            out[:, b] = np.logaddexp(out[:, b], out[:, a] + np.log(w[rows]))
+    return out
+
+
+def low_units(ends: np.ndarray) -> np.ndarray:
+    """Units of which some sum has left a double's range."""
+    return np.flatnonzero((ends < LOW).reshape(len(ends), -1).any(axis=1))
+
+
 def log_probability(vocabulary: Vocabulary, p: np.ndarray, units: Sequence[str]) -> np.ndarray:
     """Log probability of each unit under each language, all segmentations summed."""
     out = np.zeros((len(units), *p.shape[1:]))
     for n, at in same_length(units).items():
+        if n > UNIT:
+            for i in at:
+                out[i] = window_log_probability(vocabulary, p, units[i])
+            continue
         cut = edges(vocabulary, [units[i] for i in at], n)
-        out[at] = np.log(np.maximum(forward(vocabulary, p, cut, n)[0][:, n], 1e-300))
+        alpha, weights = forward(vocabulary, p, cut, n)
+        low = low_units(alpha[:, n])
+        found = np.log(np.maximum(alpha[:, n], LOW))
+        if len(low):
+            found[low] = log_sums(weights, low, n)[:, n]
+        out[at] = found
     return out
 
 
+def window_log_probability(vocabulary: Vocabulary, p: np.ndarray, unit: str) -> np.ndarray:
+    """As log_probability, of one unit of any length and in memory that doesn't grow
+    with it: sums wait for their boundary in a window as long as the longest piece,
+    and at each boundary the greatest of them is taken out as a logarithm."""
+    reach = vocabulary.longest
+    ahead, out = np.zeros((reach + 1, *p.shape[1:])), np.zeros(p.shape[1:])
+    ahead[0] = 1
+    for at in range(0, len(unit), BLOCK):
+        part = unit[at : at + BLOCK + reach - 1]
+        leaving: list[list[tuple[int, int]]] = [[] for _ in part]
+        for (start, end), ids in edges(vocabulary, [part], len(part)).items():
+            leaving[start].append((end - start, int(ids[0])))
+        for own in leaving[:BLOCK]:
+            lengths, ids = np.array(own).T
+            ahead[lengths] += ahead[0] * edge_weights(vocabulary, p, ids)
+            ahead[:-1], ahead[-1] = ahead[1:].copy(), 0
+            top = ahead.max(axis=0)
+            top = np.where(top > 0, top, 1.0)
+            ahead /= top
+            out += np.log(top)
+    with np.errstate(divide="ignore"):
+        return out + np.log(ahead[0])
+
+
 def expected_counts(vocabulary: Vocabulary, p: np.ndarray, units: Sequence[str], counts: np.ndarray) -> np.ndarray:
     """How often each piece is used in the units, on average over their
     segmentations (p has one column for each row of counts' second axis)."""
@@ -237,9 +293,16 @@ def expected_counts(vocabulary: Vocabulary, p: np.ndarray, units: Sequence[str],
         beta[:, n] = 1
         for (start, end), w in sorted(weights.items(), key=lambda x: -x[0][0]):
             beta[:, start] += w * beta[:, end]
-        scale = counts[at] / np.maximum(alpha[:, n], 1e-300)
+        low = low_units(alpha[:, n])
+        if len(low):
+            log_alpha, log_beta = log_sums(weights, low, n), log_sums(weights, low, n, back=True)
+        scale = counts[at] / np.maximum(alpha[:, n], LOW)
         for (start, end), ids in cut.items():
             use = alpha[:, start] * weights[start, end] * beta[:, end] * scale
+            if len(low):
+                with np.errstate(divide="ignore"):
+                    share = log_alpha[:, start] + np.log(weights[start, end][low]) + log_beta[:, end] - log_alpha[:, n]
+                use[low] = np.exp(share) * counts[at][low]
             known = (ids >= 0) & (ids < len(vocabulary))
             for column in range(p.shape[1]):
                 total[:, column] += np.bincount(ids[known], use[known, column], len(vocabulary))

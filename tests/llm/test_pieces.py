@@ -1,6 +1,7 @@
 import itertools
 import math
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -58,6 +59,75 @@ def test_expected_counts():
     assert np.allclose(pieces.expected_counts(v, p, units, counts)[:, 0], want)
 
 
+def exact_sums(v, p, unit, lang):
+    """Sums over all segmentations of the unit's beginnings, as fractions."""
+    out = [Fraction(1)]
+    for end in range(1, len(unit) + 1):
+        total = Fraction(0)
+        for start in range(end):
+            if unit[start:end] in v.ids:
+                total += out[start] * Fraction(p[v.ids[unit[start:end]], lang])
+            elif end - start == 1:
+                total += out[start] * math.prod(Fraction(p[v.byte[b], lang]) for b in unit[start].encode())
+        out.append(total)
+    return out
+
+
+def log_of_sums(v, p, unit, lang):
+    """The logarithm of the sum over all segmentations, boundary by boundary."""
+    out = [0.0]
+    for end in range(1, len(unit) + 1):
+        total = -math.inf
+        for start in range(max(0, end - v.longest), end):
+            if unit[start:end] in v.ids:
+                total = np.logaddexp(total, out[start] + math.log(p[v.ids[unit[start:end]], lang]))
+            elif end - start == 1:
+                total = np.logaddexp(total, out[start] + sum(math.log(p[v.byte[b], lang]) for b in unit[start].encode()))
+        out.append(total)
+    return out[-1]
+
+
+@pytest.mark.parametrize("n", [5, 39, 40, 41, 200, 5000])
+def test_sums_of_any_size(n):
+    v, rng = small(), np.random.default_rng(n)
+    p = rng.random((len(v), 2)) * [1e-9, 1e-2]
+    units = ["".join(rng.choice(list("abb\u4e2d\u0e9a"), n).tolist()) for _ in range(3 if n < 1000 else 1)]
+    got = pieces.log_probability(v, p, units)
+    for u, g in zip(units, got, strict=True):
+        for lang in range(2):
+            assert g[lang] == pytest.approx(log_of_sums(v, p, u, lang), rel=1e-10)
+
+
+def test_expected_counts_below_a_doubles_range():
+    v, rng = small(), np.random.default_rng(3)
+    p, unit = rng.random((len(v), 1)) * 1e-12, "ab" + "\u4e2d" * 20 + "abab"
+    got = pieces.expected_counts(v, p, [unit, "ab"], np.array([[2.0], [0.0]]))[:, 0]
+    assert got[[v.byte[b] for b in "\u4e2d".encode()]] == pytest.approx(40.0)
+    there, back = exact_sums(v, p, unit, 0), exact_sums(v, p, unit[:2], 0)
+    as_one = Fraction(p[v.ids["ab"], 0]) / back[2]  # the share of "ab" in one piece at the start
+    tail = exact_sums(v, p, unit[-4:], 0)[4]
+    at_end = sum(
+        Fraction(math.prod(Fraction(p[v.ids[x], 0]) for x in s)) * s.count("ab") for s in segmentations("abab", v.pieces[:6])
+    ) / tail
+    assert there[-1] < Fraction(1, 10**300) and got[v.ids["ab"]] == pytest.approx(2 * float(as_one + at_end))
+
+
+def test_languages_of_scripts_without_spaces(spark, vocabulary):
+    """Runs of characters that are no pieces are told apart at any length."""
+    rare = [chr(c) for c in range(0x4E00, 0x9FA5) if chr(c) not in vocabulary.ids]
+    alphabets = {"aa": rare[:400], "bb": rare[5000:5400], "lo": [chr(c) for c in range(0xE81, 0xE8A) if chr(c).isalpha()]}
+    rng = np.random.default_rng(5)
+
+    def text(lang, n):
+        return "".join(rng.choice(alphabets[lang], n).tolist())
+
+    learned = [(f"{lang}{i}", text(lang, 30), lang) for lang in alphabets for i in range(60)]
+    model = lang_id.train(spark.createDataFrame(learned, "doc_id string, text string, lang string"), vocabulary)
+    asked = [(f"{lang}{n}", text(lang, n), lang) for lang in alphabets for n in (10, 39, 40, 41, 150, 9000)]
+    found = lang_id.predict(spark.createDataFrame(asked, "doc_id string, text string, lang string"), vocabulary, model, ["lang", "doc_id"])
+    assert [r.doc_id for r in found.collect() if r.lang != r.lang_pred] == []
+
+
 def test_samples_follow_the_segmentations_shares():
     v = small()
     p = np.zeros(len(v))
