@@ -32,12 +32,20 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id."""
+    """Of each group of near duplicates one row: that of the smallest id, rows
+    without an id last. Rows are told apart by a number of their own, so an id that
+    repeats with another text loses only its copies, and of rows that repeat id and
+    text one stays."""
     long_texts(spark)
-    found = jaccard_join.near_duplicates(docs)
-    others = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("of")).distinct()
-    rows = docs.select(F.struct("*").alias("row"))
-    return rows.join(others, F.col("row.doc_id") == F.col("of"), "left_anti").select("row.*")
+    rows = materialize(docs.select(F.monotonically_increasing_id().alias("of"), F.struct("*").alias("row")))
+    found = jaccard_join.near_duplicates(rows.select(F.col("of").alias("doc_id"), F.col("row.text").alias("text")))
+    others = materialize(found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("of"), "component_id"))
+    grouped = others.union(others.select("component_id", "component_id").distinct())
+    grouped = materialize(grouped.join(rows.select("of", F.col("row.doc_id").alias("id")), "of"))
+    place = F.struct(F.col("id").isNull().alias("none"), "id", "of")
+    stays = grouped.groupBy("component_id").agg(F.min(place)["of"].alias("stays"))
+    gone = grouped.join(stays, "component_id").where(F.col("of") != F.col("stays")).select("of")
+    return rows.join(gone, "of", "left_anti").select("row.*")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

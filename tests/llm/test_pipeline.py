@@ -47,6 +47,24 @@ def test_one_of_each_group(steps):
     assert sorted(r.doc_id for r in after.collect()) == sorted(want)
 
 
+def test_near_duplicates_go_by_row(spark):
+    """Ids that repeat or are missing: a clean text stays, of copies one row does."""
+    passage = " ".join(f"word{i}" for i in range(60))
+    near, clean = passage + " more", " ".join(f"other{i}" for i in range(50))
+    rows = [
+        (3, passage), (1, near), (1, clean),  # id 1 has a copy and a clean text
+        (None, "alone here with seven words in all"), (None, "alone here with seven words in all"),
+        (7, "twice the same id and the same text"), (7, "twice the same id and the same text"),
+        (None, passage), (8, None), (8, None), (None, ""), (9, clean + " x"),
+    ]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.near_duplicates(spark, df, SF)
+    assert kept.columns == df.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted(
+        [(1, near), (1, clean), (None, rows[3][1]), (7, rows[5][1]), (8, None), (8, None), (None, "")], key=str
+    )
+
+
 def test_copies(steps):
     before, after = steps["mixing"]
     want = sorted(r.doc_id for r in mixing.mix(before).collect() for _ in range(r.copies))
