@@ -123,22 +123,25 @@ def predict(docs: DataFrame, vocabulary: pieces.Vocabulary, model: Model, keep:
             texts = [t if isinstance(t, str) else "" for t in part["text"]]
             best, share = [], []
             for piece in spans([len(t) for t in texts], CHARS) if n_lang else ():
-                split = [words(t) for t in texts[piece]]
-                new = {w for s in split for w in s if len(w) < pieces.UNIT and w not in known}
+                split, rare = [words(t) for t in texts[piece]], {}
+                for i, s in enumerate(split):
+                    if max(map(len, s), default=0) >= pieces.UNIT:  # too long to be met again
+                        rare[i] = [w for w in s if len(w) >= pieces.UNIT]
+                        split[i] = [w for w in s if len(w) < pieces.UNIT]
+                new = {w for s in split for w in s if w not in known}
                 if len(known) + len(new) > REMEMBERED:
-                    known, held, new = {}, held[:0], {w for s in split for w in s if len(w) < pieces.UNIT}
+                    known, held, new = {}, held[:0], {w for s in split for w in s}
                 if new:
                     added = sorted(new)
                     known.update(zip(added, range(len(held), len(held) + len(added)), strict=True))
                     held = np.concatenate([held, pieces.log_probability(vocabulary, model.p, spaced(added))])
-                for s in split:
-                    total = np.log(model.prior) + (held[[known[w] for w in s if len(w) < pieces.UNIT]].sum(axis=0) if s else 0)
-                    rare = [w for w in s if len(w) >= pieces.UNIT]  # too long to be met again
-                    if rare:
-                        total = total + pieces.log_probability(vocabulary, model.p, spaced(rare)).sum(axis=0)
-                    top = int(total.argmax())
-                    best.append(model.languages[top] if s else "und")
-                    share.append(1 / np.exp(total - total[top]).sum() if s else 0.0)
+                for i, s in enumerate(split):
+                    total = np.log(model.prior) + (held[[known[w] for w in s]].sum(axis=0) if s else 0)
+                    if i in rare:
+                        total = total + pieces.log_probability(vocabulary, model.p, spaced(rare[i])).sum(axis=0)
+                    top, letters = int(total.argmax()), s or i in rare
+                    best.append(model.languages[top] if letters else "und")
+                    share.append(1 / np.exp(total - total[top]).sum() if letters else 0.0)
             out = part.drop(columns="text")
             out["lang_pred"], out["score"] = (best, share) if n_lang else ("und", 0.0)
             yield out
