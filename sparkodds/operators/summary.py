@@ -28,6 +28,12 @@ def with_value(eps: DataFrame) -> DataFrame:
     return eps.withColumn("max_dollar_value", F.col("bottleneck_liquidity") * F.col("max_net_arb"))
 
 
+def _per_game(total: Column | str) -> Column:
+    """``total`` per game; NaN, as 0 / 0, where there are no games."""
+    n = F.col("n_games")
+    return F.when(n != 0, col(total) / n).otherwise(F.lit(float("nan")))
+
+
 def rates(eps: DataFrame) -> DataFrame:
     """One row: gross and net opportunities, per game too."""
     return eps.agg(
@@ -36,8 +42,8 @@ def rates(eps: DataFrame) -> DataFrame:
         F.countDistinct("game_key").alias("n_games"),
     ).withColumns(
         {
-            "gross_per_game": F.col("n_gross") / F.col("n_games"),
-            "net_per_game": F.col("n_net") / F.col("n_games"),
+            "gross_per_game": _per_game("n_gross"),
+            "net_per_game": _per_game("n_net"),
         }
     )
 
