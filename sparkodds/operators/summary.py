@@ -54,7 +54,7 @@ def total_value(eps: DataFrame) -> DataFrame:
     return eps.agg(
         F.coalesce(F.sum(net_value), F.lit(0.0)).alias("total_value"),
         F.countDistinct("game_key").alias("n_games"),
-    ).withColumn("value_per_game", F.col("total_value") / F.col("n_games"))
+    ).withColumn("value_per_game", _per_game("total_value"))
 
 
 def top_value(eps: DataFrame, k: int = 15) -> DataFrame:
