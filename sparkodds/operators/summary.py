@@ -166,7 +166,7 @@ def persistent_summary(eps: DataFrame, min_seconds: float = PERSISTENT_SECONDS)
         F.count_if(lasting).alias("n_persistent"),
         F.coalesce(F.sum(F.when(lasting, value)), F.lit(0.0)).alias("value_persistent"),
         F.countDistinct("game_key").alias("n_games"),
-    ).withColumn("value_per_game", F.col("value_persistent") / F.col("n_games"))
+    ).withColumn("value_per_game", _per_game("value_persistent"))
 
 
 def freshness(pre: DataFrame, side: str = "home", n_games: DataFrame | None = None) -> DataFrame:

@@ -7,7 +7,7 @@ from sparkodds.operators import summary
 EPISODES = "game_key string, max_net_arb double, bottleneck_liquidity double, duration_s double"
 
 
-@pytest.mark.parametrize("measure", [summary.rates, summary.total_value])
+@pytest.mark.parametrize("measure", [summary.rates, summary.total_value, summary.persistent_summary])
 def test_per_game_without_any_game(spark, measure):
     row = measure(spark.createDataFrame([], EPISODES)).first().asDict()
     per_game = {n: v for n, v in row.items() if n.endswith("per_game")}
@@ -15,7 +15,7 @@ def test_per_game_without_any_game(spark, measure):
     assert not any(v for n, v in row.items() if n not in per_game)
 
 
-@pytest.mark.parametrize("measure", [summary.rates, summary.total_value])
+@pytest.mark.parametrize("measure", [summary.rates, summary.total_value, summary.persistent_summary])
 def test_per_game_of_two_games(spark, measure):
     rows = [("a", 0.5, 4.0, 2.0), ("a", 0.5, 8.0, 2.0), ("b", 0.0, 8.0, 2.0), ("b", 0.25, 8.0, 2.0)]
     row = measure(spark.createDataFrame(rows, EPISODES)).first().asDict()
