@@ -171,3 +171,8 @@ def test_large_amounts_are_plain_numbers(spark):
         fmt.signed_cents(F.lit(-0.0001)).alias("d"), fmt.signed_cents(F.lit(-2000000.5)).alias("e"),
     ).first()
     assert tuple(row) == ("$12345678.9", "123456789.1¢", None, "+0.0¢", "-200000050.0¢")
+
+
+def test_a_ticker_makes_its_time_once(spark):
+    df = spark.range(1).select(parse_event_ticker(F.lit("KXMLBGAME-26JUL301905NYYBOS")).alias("t"))
+    assert df._jdf.queryExecution().analyzed().toString().count("try_make_timestamp_ntz(") == 1
