@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparkodds.operators import asof, intervals, latest, quantiles, slices
+from sparkodds.operators import asof, intervals, latest, quantiles, slices, snapshots
 
 T0 = datetime(2026, 7, 30)
 
@@ -172,3 +172,35 @@ def test_long_intervals_are_listed_a_few_times(spark, frame, monkeypatch):
     assert len(per_interval) == 3 and max(per_interval) <= intervals.STEP + 2
     points = frame.filter("k IN ('hot', 'k1')").count()
     assert points <= joined.count() <= 3 * points
+
+
+def test_intervals_are_computed_once(spark, frame):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("int")
+    def counted(n):
+        seen.add(1)
+        return n
+
+    spans = [("hot", T0 + timedelta(seconds=n), T0 + timedelta(seconds=n + 60), n) for n in range(20)]
+    df = spark.createDataFrame(spans, "k string, lo timestamp_ntz, hi timestamp_ntz, n int").withColumn("n", counted.asNondeterministic()("n"))
+    joined = intervals.interval_join(frame, df.filter("n >= 0"), ["k"], "ts", "lo", "hi", 60.0)
+    assert joined.filter("n < 0").count() == 0 and joined.count() > 0
+    assert seen.value == len(spans)
+
+
+def test_innings_follow_one_another_without_a_second_look(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(intervals, "materialize", lambda df: written.append(df) or df)
+    at = lambda n: T0 + timedelta(minutes=n)
+    plays = spark.createDataFrame(
+        [(1, i, i, at(10 * i)) for i in (1, 2, 3, 5, 6)] + [(1, 9, 3, at(35)), (2, 1, None, at(1)), (2, 2, 1, at(2))],
+        "game_pk int, at_bat_index int, inning int, start_time timestamp_ntz",
+    )
+    context = spark.createDataFrame([("t", 1, "home", "x", 1), ("u", 2, "home", "x", 1)], "ticker string, game_pk int, side string, team string, y int")
+    trades = spark.createDataFrame([("t", at(m), 0.5) for m in (15, 25, 45, 55)], "ticker string, created_time timestamp_ntz, yes_price_dollars double")
+    odds = plays.select("game_pk", "at_bat_index", F.lit(50.0).alias("home_wp"), F.lit(50.0).alias("away_wp"))
+    got = snapshots.interval_snapshots(trades, context, plays, odds)
+    assert sorted((r["ticker"], r["entering"], r["created_time"]) for r in got.collect()) == [("t", 2, at(15)), ("t", 3, at(25)), ("t", 6, at(55))]
+    # the innings' starts are aggregated once
+    assert written[0]._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [") == 1
