@@ -7,6 +7,8 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pandas as pd
 
+from sparkodds.llm.common import give_back
+
 #: Rows whose cells are worked at once.
 ROWS = 200_000
 
@@ -68,7 +70,11 @@ def whole_cells(frames: Iterator[pd.DataFrame], key: Sequence[str]) -> Iterator[
             cut = int(np.searchsorted(cell, cell[-1]))  # the last cell may go on
             if cut:
                 yield whole.iloc[:cut], cell[:cut]
+                give_back()
             held, n = [whole.iloc[cut:]], len(whole) - cut
     if n:
         whole = pd.concat(held, ignore_index=True)
         yield whole, numbered(whole)
+        del whole
+    held.clear()
+    give_back()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,6 +21,15 @@ def long_texts(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def give_back() -> None:
+    """In a Python worker: give freed memory back to the system. Workers live on
+    from stage to stage, and the C library keeps what they have freed, so that a
+    stage would pay for the ones before it. Does nothing where there is no such call."""
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table for a named query."""
     return long_texts(spark).read.parquet(f"{sf_dir}/{name}.parquet")

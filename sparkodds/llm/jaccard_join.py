@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from sparkodds.llm import grid
 from sparkodds.llm import shingles as sh
 from sparkodds.llm.cells import pairs_in, whole_cells
-from sparkodds.llm.common import read, spans
+from sparkodds.llm.common import give_back, read, spans
 from sparkodds.llm.components import components
 from sparkodds.session import materialize
 
@@ -88,6 +88,7 @@ def sets_of(parts: Iterator[pd.DataFrame], late: np.ndarray | None = None) -> It
         texts = [t if isinstance(t, str) else "" for t in part["text"]]
         for piece in spans([len(t) for t in texts], sh.CHUNK):
             yield part.iloc[piece], sh.shingle_sets([t.encode("utf-8", "surrogatepass") for t in texts[piece]], late)
+        give_back()
 
 
 def with_ids(docs: DataFrame) -> DataFrame:

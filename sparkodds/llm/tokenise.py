@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkodds.llm import pieces
-from sparkodds.llm.common import numbered, read, spans
+from sparkodds.llm.common import give_back, numbered, read, spans
 
 #: Of marked text.
 UNITS = re.compile(rf"\n|{pieces.SPACE}?[^{pieces.SPACE}\n]+|{pieces.SPACE}+")
@@ -190,12 +190,14 @@ def encode(
     rows, schema, back = numbered(docs, keep, key=F.col(key).cast("string"), text=F.col("text"))
 
     def cut(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        give_back()
         lattices = Lattices.of(shared.value)
         for part in parts:
             texts = [t if isinstance(t, str) else "" for t in part["text"]]
             keys = [row_key(k, seed) for k in part["key"]]
             for piece in spans([len(t) for t in texts], CHARS):
                 ids = sample(lattices, texts[piece], keys[piece])
+                give_back()
                 out = part.drop(columns=["key", "text"]).iloc[piece].copy()
                 missing = part["text"].iloc[piece].isna()
                 out["pieces"] = pd.Series(

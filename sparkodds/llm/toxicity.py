@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkodds.llm.common import crc_mod, hashed_sample, numbered, read, spans
+from sparkodds.llm.common import crc_mod, give_back, hashed_sample, numbered, read, spans
 
 # What a sign may stand for.
 LOOK_ALIKES = {
@@ -383,6 +383,7 @@ def score(docs: DataFrame, model: Model, logp: np.ndarray, keep: list[Column | s
             out = part.drop(columns="text")
             out["score"] = model.score(np.array(x).reshape(-1, 3))
             yield out
+            give_back()
 
     return back(rows.mapInPandas(parts, f"{schema}, score double"))
 

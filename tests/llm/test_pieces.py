@@ -1,7 +1,9 @@
 import itertools
 import math
+import re
 from collections import Counter
 from fractions import Fraction
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -9,7 +11,7 @@ from awkward import docs
 from pyspark.sql import functions as F
 
 from sparkodds.llm import lang_id, pieces, tokenise
-from sparkodds.llm.common import crc_mod
+from sparkodds.llm.common import crc_mod, give_back
 
 SF = "/root/testdata/sf0.01"
 
@@ -232,3 +234,15 @@ def test_prediction_sums_words(spark, vocabulary):
 def test_long_runs_are_cut():
     assert list(map(len, pieces.cut_long(["x" * 95, "y"]))) == [40, 40, 15, 1]
     assert "".join(itertools.chain.from_iterable(tokenise.units("a  b\n c" + "z" * 90))) == pieces.marked("a  b\n c" + "z" * 90)
+
+
+def test_freed_memory_is_given_back():
+    def held():
+        return int(re.search(r"RssAnon:\s+(\d+)", Path("/proc/self/status").read_text())[1]) >> 10
+
+    blocks = [np.ones(8_000) for _ in range(4_000)]
+    pins = blocks[::100]  # what stays in use between them keeps the C library from shrinking
+    del blocks
+    before = held()
+    give_back()
+    assert held() < before - 100 and len(pins) == 40
