@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkodds.operators import asof, intervals, latest, quantiles, slices, snapshots
+from sparkodds.plans import fixtures as fx
 
 T0 = datetime(2026, 7, 30)
 
@@ -204,3 +205,13 @@ def test_innings_follow_one_another_without_a_second_look(spark, monkeypatch):
     assert sorted((r["ticker"], r["entering"], r["created_time"]) for r in got.collect()) == [("t", 2, at(15)), ("t", 3, at(25)), ("t", 6, at(55))]
     # the innings' starts are aggregated once
     assert written[0]._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [") == 1
+
+
+def test_partitions_by_game_grow_with_the_line_items(spark, monkeypatch):
+    monkeypatch.setattr(fx, "GAME_ROWS", 1_000)
+    for sf in ("sf0.001", "sf0.01"):
+        t = fx.Tables(spark, f"/root/testdata/{sf}")
+        n = t.lineitem.count() // 1_000 + 1
+        ended = snapshots.entering_probability(fx.win_probability(t), fx.plays(t))
+        for df in (fx.plays(t), fx.win_probability(t), snapshots.interval_starts(fx.plays(t)), ended):
+            assert df.rdd.getNumPartitions() == n
