@@ -249,6 +249,21 @@ def test_line_dedup_awkward(spark):
     assert "Python" not in plan and "Pandas" not in plan
 
 
+def test_line_dedup_of_near_copies_keeps_no_square(spark, monkeypatch):
+    """200 near copies: no table on the way has rows for all their pairs."""
+    base, most = " ".join(f"w{i}" for i in range(30)), []
+
+    def written(df, f=line_dedup.materialize):
+        out = f(df)
+        most.append(out.count())
+        return out
+
+    monkeypatch.setattr(line_dedup, "materialize", written)
+    df = spark.createDataFrame([(i, f"{base} own{i}") for i in range(200)], "doc_id long, text string")
+    kept = [r["row"].doc_id for r in line_dedup.dedup(df).where("n_removed = 0").collect()]
+    assert kept == [0] and max(most) <= 12 * 200
+
+
 # -- n-gram join -------------------------------------------------------------
 
 
